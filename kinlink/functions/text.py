@@ -142,7 +142,7 @@ def distinctive_words(clean: Column, words: WordLists) -> Column:
     telling = F.filter(tokens, lambda w: (F.length(w) >= 3) & ~F.array_contains(common, w))
     fallback = F.filter(tokens, lambda w: ~F.array_contains(articles, w))
     chosen = F.when(F.size(telling) > 0, telling).otherwise(fallback)
-    ranked = F.array_sort(F.transform(chosen, lambda w, i: F.struct(-F.length(w), i, w)))
+    ranked = F.array_sort(F.transform(chosen, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
     return F.transform(ranked, lambda s: s["w"])
 
 
