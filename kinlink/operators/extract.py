@@ -66,10 +66,8 @@ def first_page_id(
     """First identifier found along each row's addresses. Only pages somebody asks for are parsed, each once."""
     asked = urls.select(F.col("page_url").alias(url)).distinct()
     read = pages.select(url, html).join(asked, url, "left_semi")
-    ids = read.select(url, html, page_id(visible_text(F.col(html)), prefer_long).alias("page_id_found"))
-    ids = ids.filter(F.col("page_id_found").isNotNull()).groupBy(url).agg(
-        F.min_by("page_id_found", html).alias("page_id_found")
-    )
+    ids = read.select(url, page_id(visible_text(F.col(html)), prefer_long).alias("page_id_found"))
+    ids = ids.filter(F.col("page_id_found").isNotNull()).groupBy(url).agg(F.min("page_id_found").alias("page_id_found"))
     hits = urls.select(query_id, "path_ord", F.col("page_url").alias(url)).join(ids, url)
     return hits.groupBy(query_id).agg(
         F.min_by("page_id_found", "path_ord").alias("page_id_found"), F.min_by(url, "path_ord").alias("page_url")

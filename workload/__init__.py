@@ -1,0 +1,24 @@
+"""Registered queries over the given tables and the SQL that checks them."""
+
+import importlib
+
+MODULES = ["text"]
+
+
+def _merged(attribute: str) -> dict:
+    merged: dict = {}
+    for name in MODULES:
+        part = getattr(importlib.import_module(f"workload.{name}"), attribute)
+        clash = merged.keys() & part.keys()
+        if clash:
+            raise ValueError(f"registered twice: {clash}")
+        merged |= part
+    return merged
+
+
+def queries() -> dict:
+    return _merged("QUERIES")
+
+
+def oracle_sql() -> dict:
+    return _merged("SQL")
