@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ from kinlink import constants as K
 SPACE = r"[\s\p{Z}]+"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also inside array functions where Spark shares nothing."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 @dataclass(frozen=True)
 class WordLists:
     """Word lists of the normalisation job."""
@@ -55,10 +61,87 @@ def quote(word: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in word)
 
 
-def any_word(words) -> str:
-    """Whole-word alternation, longest first."""
-    ordered = sorted(set(words), key=lambda w: (-len(w), w))
-    return r"(?U)\b(?:" + "|".join(quote(w) for w in ordered) + r")\b"
+WORD_BREAK = r"[^\p{L}\p{N}_]+"
+
+
+def keep_words(c: Column, dropped, city: Column | None = None) -> Column:
+    """Words of a text that are not in ``dropped`` nor in the ``city`` array, joined by a space.
+
+    Splitting once and testing words against a hash set costs a fraction of a whole-word alternation.
+    """
+    words = F.split(c, WORD_BREAK)
+    kept = F.filter(words, lambda w: ~w.isin(*dropped))
+    if city is not None:
+        kept = F.filter(kept, lambda w: ~F.array_contains(city, w))
+    return F.array_join(kept, " ")
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^{SPACE}|{SPACE}$", "")
+
+
+def collapse(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, SPACE, " "))
+
+
+def fold_accents(c: Column) -> Column:
+    """Drop combining marks. Plain ASCII text, the common case, skips both passes."""
+    source, target = accent_pairs()
+    folded = F.regexp_replace(F.translate(c, source, target), r"\p{Mn}+", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
+
+
+def fold_upper(c: Column) -> Column:
+    return fold_accents(F.upper(c))
+
+
+def fold_name(c: Column) -> Column:
+    """Upper case without accents; apostrophes, in-word hyphens and slashes become spaces, long dashes hyphens.
+
+    One character pass does accents, apostrophes and slashes; the hyphen passes run only on text that has one.
+    """
+    source, target = accent_pairs()
+    upper = F.upper(c)
+    ascii_only = F.translate(upper, "'`/", "   ")
+    folded = F.regexp_replace(F.translate(upper, source + "'`‘’/", target + "     "), r"\p{Mn}+", "")
+    plain = F.when(upper.rlike(r"[^\x00-\x7F]"), folded).otherwise(ascii_only)
+    joined = F.regexp_replace(plain, "-(?<=[A-Z]-)(?=[A-Z])", " ")
+    return F.translate(joined, "–—", "--")
+
+
+def paren_text(c: Column) -> Column:
+    """First parenthesised text, blank if there is none."""
+    return strip(F.regexp_extract(c, r"\(([^)]+)\)", 1))
+
+
+def without_parens(c: Column) -> Column:
+    """The name without parentheses; untouched when it has no parenthesised text."""
+    return F.when(c.rlike(r"\([^)]+\)"), strip(F.regexp_replace(c, r"\([^)]*\)", " "))).otherwise(c)
+
+
+def drop_brand_segment(c: Column, words: WordLists) -> Column:
+    """Of the parts between " - ", the first that names no brand; the last part if all do."""
+    branded = lambda p: reduce(or_, [F.contains(p, F.lit(b)) for b in words.brands])
+    parts = F.transform(F.split(c, " - "), strip)
+    local = let(parts, lambda ps: F.coalesce(F.get(F.filter(ps, lambda p: ~branded(p)), 0), F.element_at(ps, -1)))
+    # Most texts name no brand at all; one pass over the whole text settles those.
+    chosen = F.when(branded(c), local).otherwise(F.get(parts, 0))
+    return F.when(F.contains(c, F.lit(" - ")), chosen).otherwise(c)
+
+
+WORD_BREAK = r"[^\p{L}\p{N}_]+"
+
+
+def keep_words(c: Column, dropped, city: Column | None = None) -> Column:
+    """Words of a text that are not in ``dropped`` nor in the ``city`` array, joined by a space.
+
+    Splitting once and testing words against a hash set costs a fraction of a whole-word alternation.
+    """
+    words = F.split(c, WORD_BREAK)
+    kept = F.filter(words, lambda w: ~w.isin(*dropped))
+    if city is not None:
+        kept = F.filter(kept, lambda w: ~F.array_contains(city, w))
+    return F.array_join(kept, " ")
 
 
 def strip(c: Column) -> Column:
@@ -81,10 +164,17 @@ def fold_upper(c: Column) -> Column:
 
 
 def fold_name(c: Column) -> Column:
-    """Upper case without accents; apostrophes, in-word hyphens and slashes become spaces, long dashes hyphens."""
-    plain = F.regexp_replace(fold_upper(c), "['`‘’]", " ")
-    joined = F.regexp_replace(plain, "(?<=[A-Z])-(?=[A-Z])", " ")
-    return F.translate(joined, "/–—", " --")
+    """Upper case without accents; apostrophes, in-word hyphens and slashes become spaces, long dashes hyphens.
+
+    One character pass does accents, apostrophes and slashes; the hyphen passes run only on text that has one.
+    """
+    source, target = accent_pairs()
+    upper = F.upper(c)
+    ascii_only = F.translate(upper, "'`/", "   ")
+    folded = F.regexp_replace(F.translate(upper, source + "'`‘’/", target + "     "), r"\p{Mn}+", "")
+    plain = F.when(upper.rlike(r"[^\x00-\x7F]"), folded).otherwise(ascii_only)
+    joined = F.regexp_replace(plain, "-(?<=[A-Z]-)(?=[A-Z])", " ")
+    return F.translate(joined, "–—", "--")
 
 
 def paren_text(c: Column) -> Column:
@@ -106,44 +196,52 @@ def drop_brand_segment(c: Column, words: WordLists) -> Column:
 
 
 def drop_words(c: Column, words) -> Column:
-    """Remove whole words, then collapse spaces."""
-    return collapse(F.regexp_replace(c, any_word(words), " "))
+    """Remove whole words, longest first, then collapse spaces. Everything else in the text stays."""
+    ordered = sorted(set(words), key=lambda w: (-len(w), w))
+    return collapse(F.regexp_replace(c, r"(?U)\b(?:" + "|".join(quote(w) for w in ordered) + r")\b", " "))
 
 
 def alnum_only(c: Column) -> Column:
-    return collapse(F.regexp_replace(c, r"[^A-Z0-9\s]", " "))
+    """Runs of anything but A-Z and 0-9 become one space."""
+    return F.trim(F.regexp_replace(c, "[^A-Z0-9]+", " "))
 
 
-def city_pattern(city: Column) -> Column:
-    """Whole-word pattern of the city's words of three letters or more; never matches when there are none."""
+def city_words(city: Column) -> Column:
+    """The city's folded words of three characters or more."""
     folded = F.regexp_replace(fold_upper(F.coalesce(city, F.lit(""))), "-", " ")
-    long_words = F.filter(F.split(folded, SPACE), lambda w: F.length(w) >= 3)
-    escaped = F.transform(long_words, lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}])", r"\\$1"))
-    return F.when(
-        F.size(long_words) > 0, F.concat(F.lit(r"(?U)\b(?:"), F.array_join(escaped, "|"), F.lit(r")\b"))
-    ).otherwise(F.lit(r"(?!)"))
+    return F.filter(F.split(folded, SPACE), lambda w: F.length(w) >= 3)
+
+
+def odd_city_pattern(words: Column) -> Column:
+    """Pattern of the city words that hold punctuation and so span several words of a text; NULL without any."""
+    odd = F.filter(words, lambda w: w.rlike(WORD_BREAK))
+    escaped = F.transform(odd, lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_])", r"\\$1"))
+    return F.when(F.size(odd) > 0, F.concat(F.lit(r"(?U)\b(?:"), F.array_join(escaped, "|"), F.lit(r")\b")))
 
 
-def name_core(folded: Column, words: WordLists, pattern: Column | None = None) -> Column:
+def name_core(folded: Column, words: WordLists, city: Column | None = None, odd_city: Column | None = None) -> Column:
     """The folded name without brand part, parentheses, brands, legal forms, articles and city words."""
+    spaced = [b for b in words.brands if " " in b]
+    single = [b for b in words.brands if " " not in b]
     c = F.regexp_replace(drop_brand_segment(folded, words), r"\([^)]*\)", " ")
-    c = F.regexp_replace(c, any_word(words.brands), " ")
-    c = F.regexp_replace(c, any_word(words.legal_forms + words.articles), " ")
-    if pattern is not None:
-        c = F.regexp_replace(c, pattern, F.lit(" "))
-    return alnum_only(c)
+    if spaced:
+        c = F.regexp_replace(c, r"(?U)(?=[" + "".join(sorted({b[0] for b in spaced})) + r"])\b(?:" + "|".join(spaced) + r")\b", " ")
+    if odd_city is not None:
+        c = F.when(odd_city.isNull(), c).otherwise(F.regexp_replace(c, F.coalesce(odd_city, F.lit("")), F.lit(" ")))
+    return alnum_only(keep_words(c, [*single, *words.legal_forms, *words.articles], city))
 
 
 def distinctive_words(clean: Column, words: WordLists) -> Column:
     """Words that tell a name apart, longest first; words of equal length keep their order."""
     tokens = F.filter(F.split(F.coalesce(clean, F.lit("")), SPACE), lambda w: F.length(w) >= 2)
-    articles = F.array(*[F.lit(w) for w in words.articles])
-    common = F.array(*[F.lit(w) for w in words.generic + words.articles])
-    telling = F.filter(tokens, lambda w: (F.length(w) >= 3) & ~F.array_contains(common, w))
-    fallback = F.filter(tokens, lambda w: ~F.array_contains(articles, w))
-    chosen = F.when(F.size(telling) > 0, telling).otherwise(fallback)
-    ranked = F.array_sort(F.transform(chosen, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
-    return F.transform(ranked, lambda s: s["w"])
+
+    def choose(known: Column) -> Column:
+        telling = F.filter(known, lambda w: (F.length(w) >= 3) & ~w.isin(*words.generic, *words.articles))
+        fallback = F.filter(known, lambda w: ~w.isin(*words.articles))
+        return let(telling, lambda t: F.when(F.size(t) > 0, t).otherwise(fallback))
+
+    entry = lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))
+    return F.transform(F.sort_array(F.transform(let(tokens, choose), entry)), lambda s: s["w"])
 
 
 def street_clean(street: Column) -> Column:
@@ -186,7 +284,7 @@ def join_address(*parts: Column) -> Column:
 def search_text(*parts: Column) -> Column:
     """Search column of the registry: folded, letters, digits and single spaces only, blank instead of NULL."""
     joined = F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts])
-    return collapse(F.regexp_replace(fold_upper(joined), "[^A-Z0-9 ]", " "))
+    return alnum_only(fold_upper(joined))
 
 
 def first_nonblank(*columns: Column) -> Column:

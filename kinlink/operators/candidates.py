@@ -35,7 +35,7 @@ def _reference_strings(registry: DataFrame, blocks: dict[str, str], texts: list[
     ).filter(F.col("ref_text") != "")
     group = [*blocks, "ref_text"]
     first = top_k_per_entity(strings, group, [F.col(key)], k)
-    return first.groupBy(*group).agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    return first.groupBy(*group).agg(F.sort_array(F.collect_list(key)).alias("ids"))
 
 
 def similar_candidates(

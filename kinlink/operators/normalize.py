@@ -12,7 +12,7 @@ DEFAULT_WORDS = X.WordLists()
 
 
 def with_clean_name(
-    df: DataFrame, source: str, out: str, pattern: str | None = None, words: X.WordLists = DEFAULT_WORDS
+    df: DataFrame, source: str, out: str, city: str | None = None, words: X.WordLists = DEFAULT_WORDS
 ) -> DataFrame:
     """Add ``out``: the cleaned name, or the merely folded one where cleaning leaves fewer than three characters.
 
@@ -20,47 +20,56 @@ def with_clean_name(
     """
     folded, core = f"__{out}_folded", f"__{out}_core"
     df = df.withColumn(folded, X.fold_name(X.or_blank(F.col(source))))
-    df = df.withColumn(core, X.name_core(F.col(folded), words, F.col(pattern) if pattern else None))
+    town = (F.col(f"{city}.words"), F.col(f"{city}.odd")) if city else (None, None)
+    df = df.withColumn(core, X.name_core(F.col(folded), words, *town))
     short = F.length(core) < 3
     return df.withColumn(out, F.when(short, X.alnum_only(F.col(folded))).otherwise(F.col(core))).drop(folded, core)
 
 
+def with_city(df: DataFrame, city: str | None, out: str = "__city") -> DataFrame:
+    """Add the city's words and the pattern of those with punctuation."""
+    words = X.city_words(F.col(city) if city else F.lit(None).cast("string"))
+    df = df.withColumn(f"{out}_words", words)
+    pattern = X.odd_city_pattern(F.col(f"{out}_words"))
+    return df.withColumn(out, F.struct(F.col(f"{out}_words").alias("words"), pattern.alias("odd"))).drop(f"{out}_words")
+
+
 def leading_words(clean: Column, words: X.WordLists) -> Column:
     """The first three distinctive words, or NULL where all of them already spell the name."""
-    telling = X.distinctive_words(clean, words)
-    joined = F.array_join(telling, " ")
-    return F.when((joined != "") & (joined != clean), F.array_join(F.slice(telling, 1, 3), " "))
+
+    def lead(telling: Column) -> Column:
+        joined = F.array_join(telling, " ")
+        return F.when((joined != "") & (joined != clean), F.array_join(F.slice(telling, 1, 3), " "))
+
+    return X.let(X.distinctive_words(clean, words), lead)
 
 
 def name_variants(clean: Column, paren: Column, segment: Column, words: X.WordLists) -> Column:
     """Ordered distinct search variants: parenthesised text, clean name, part without brand, leading words of each."""
     long_enough = lambda c: F.when(F.length(c) >= 3, c)
-    first = F.filter(
-        F.array(long_enough(paren), long_enough(clean), F.nullif(segment, F.lit(""))), lambda v: v.isNotNull()
-    )
-    first = F.array_distinct(first)
-    extra = F.filter(F.transform(first, lambda v: leading_words(v, words)), lambda v: v.isNotNull())
-    return F.array_distinct(F.concat(first, extra))
+    base = F.array_compact(F.array(long_enough(paren), long_enough(clean), F.nullif(segment, F.lit(""))))
+    extend = lambda first: F.concat(first, F.array_compact(F.transform(first, lambda v: leading_words(v, words))))
+    return F.array_distinct(X.let(F.array_distinct(base), extend))
 
 
 def normalize_names(
     df: DataFrame, name: str = "nom", city: str | None = "ville", words: X.WordLists = DEFAULT_WORDS
 ) -> DataFrame:
     """Add nom_clean, nom_parentheses and nom_variantes."""
-    df = df.withColumn("__pattern", X.city_pattern(F.col(city) if city else F.lit(None).cast("string")))
+    df = with_city(df, city)
     df = df.withColumn("__base", X.fold_name(X.or_blank(F.col(name))))
     df = df.withColumn("__paren", X.paren_text(F.col("__base")))
     df = df.withColumn(
         "__segment", F.when(F.contains("__base", F.lit(" - ")), X.drop_brand_segment(F.col("__base"), words))
     )
-    df = with_clean_name(df, name, "nom_clean", "__pattern", words)
-    df = with_clean_name(df, "__paren", "nom_parentheses", "__pattern", words)
-    df = with_clean_name(df, "__segment", "__segment_clean", "__pattern", words)
+    df = with_clean_name(df, name, "nom_clean", "__city", words)
+    df = with_clean_name(df, "__paren", "nom_parentheses", "__city", words)
+    df = with_clean_name(df, "__segment", "__segment_clean", "__city", words)
     df = df.withColumn(
         "nom_variantes",
         name_variants(F.col("nom_clean"), F.col("nom_parentheses"), F.col("__segment_clean"), words),
     )
-    return df.drop("__pattern", "__base", "__paren", "__segment", "__segment_clean")
+    return df.drop("__city", "__base", "__paren", "__segment", "__segment_clean")
 
 
 def normalize_address(df: DataFrame, address: str = "adresse") -> DataFrame:

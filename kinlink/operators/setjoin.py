@@ -37,7 +37,7 @@ def _rare_first(side: DataFrame, keys: list[str], tokens: str, counts: DataFrame
     counted = exploded.join(F.broadcast(counts), "bucket", "left")
     entry = F.struct((F.col("q_count") + F.col("r_count")).alias("n"), "tok", "q_count", "r_count")
     return counted.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(entry)).alias("entries"), *[F.first(c).alias(c) for c in others]
+        F.sort_array(F.collect_list(entry)).alias("entries"), *[F.first(c).alias(c) for c in others]
     )
 
 

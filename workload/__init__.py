@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["text"]
+MODULES = ["text", "build"]
 
 
 def _merged(attribute: str) -> dict:

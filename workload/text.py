@@ -62,8 +62,8 @@ FROM ({NAMES_SQL})
 
 
 def clean_name(spark, sf):
-    df = _names(spark, sf).withColumn("p", X.city_pattern(F.col("ville")))
-    return N.with_clean_name(df, "nom", "nom_clean", "p").select("doc_id", "line_no", "nom_clean")
+    df = N.with_city(_names(spark, sf), "ville")
+    return N.with_clean_name(df, "nom", "nom_clean", "__city").select("doc_id", "line_no", "nom_clean")
 
 
 _FOLDED = f"SELECT *, {D.fold_name('nom')} AS f, {D.city_pattern('ville')} AS pattern FROM ({NAMES_SQL})"
