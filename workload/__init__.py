@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["text", "build"]
+MODULES = ["text", "build", "lookup"]
 
 
 def _merged(attribute: str) -> dict:

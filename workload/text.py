@@ -14,14 +14,20 @@ WORDS = N.DEFAULT_WORDS
 QUERIES, SQL = {}, {}
 
 # A line as a business name: sentence ends become separators, a word before a comma goes into parentheses.
-NAME = F.regexp_replace(F.replace(F.col("line"), F.lit(". "), F.lit(" - ")), "([a-z]+),", "($1)")
+def line_name():
+    return F.regexp_replace(F.replace(F.col("line"), F.lit(". "), F.lit(" - ")), "([a-z]+),", "($1)")
+
+
+def line_city():
+    return F.when(F.col("lang") == "fr", "leau-Tion").when(F.col("lang") == "en", "Thing the of").otherwise("Einheit Ción")
+
+
 NAME_SQL = "regexp_replace(replace(line, '. ', ' - '), '([a-z]+),', '(\\1)', 'g')"
-CITY = F.when(F.col("lang") == "fr", "leau-Tion").when(F.col("lang") == "en", "Thing the of").otherwise("Einheit Ción")
 CITY_SQL = "CASE WHEN lang = 'fr' THEN 'leau-Tion' WHEN lang = 'en' THEN 'Thing the of' ELSE 'Einheit Ción' END"
 
 
 def _names(spark, sf):
-    return T.lines(spark, sf).select("doc_id", "line_no", NAME.alias("nom"), CITY.alias("ville"))
+    return T.lines(spark, sf).select("doc_id", "line_no", line_name().alias("nom"), line_city().alias("ville"))
 
 
 NAMES_SQL = f"SELECT doc_id, line_no, {NAME_SQL} AS nom, {CITY_SQL} AS ville FROM ({T.LINES_DUCK})"
