@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["text", "build", "lookup"]
+MODULES = ["text", "build", "lookup", "match"]
 
 
 def _merged(attribute: str) -> dict:

@@ -138,3 +138,88 @@ DEPT_REGION = T.duck(T.DEPT_REGION_SQL)
 PROSPECTS = T.duck(T.PROSPECTS_SQL)
 SITE_PAGES = T.duck(T.SITE_PAGES_SQL)
 SITES = T.duck(T.SITES_SQL)
+
+
+# --- pair scoring --------------------------------------------------------------------------------------------------
+def partial(a: str, b: str) -> str:
+    """Best window ratio; both directions when the lengths are equal."""
+
+    def windows(short: str, long: str) -> str:
+        window = f"substr({long}, greatest(0, e - len({short})) + 1, least(len({long}), e) - greatest(0, e - len({short})))"
+        inner = f"list_transform([{window}], lambda w: {ratio(short, 'w')})[1]"
+        return f"list_max(list_transform(range(1, len({long}) + len({short})), lambda e: {inner}))"
+
+    one, two = windows(a, b), windows(b, a)
+    return f"""(CASE WHEN {a} = '' OR {b} = '' THEN CASE WHEN {a} = {b} THEN 1.0 ELSE 0.0 END
+      WHEN len({a}) < len({b}) THEN {one} WHEN len({a}) > len({b}) THEN {two} ELSE greatest({one}, {two}) END)"""
+
+
+def measures(pairs: str) -> str:
+    """All measures of the distinct pairs (a, b) of a relation, on their compare forms."""
+    toks = lambda x: f"list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> ''))"
+    return f"""
+SELECT a, b, edit, common_words, jaro_winkler, token_sort, token_set, partial,
+       greatest(edit * 0.3 + jaro_winkler * 0.2 + token_sort * 0.25 + token_set * 0.15 + common_words * 0.1,
+                token_set * 0.5 + partial * 0.3 + common_words * 0.2,
+                partial * 0.4 + token_sort * 0.3 + common_words * 0.3) AS blend
+FROM (
+  SELECT a, b,
+         CASE WHEN fa = '' OR fb = '' THEN 0.0 WHEN fa = fb THEN 1.0 ELSE 1 - levenshtein(fa, fb) / greatest(len(fa), len(fb)) END::DOUBLE AS edit,
+         CASE WHEN len(da) = 0 OR len(db) = 0 THEN 0.0 ELSE least(1.0, (len(list_intersect(da, db)) + 0.5 * len(list_filter(da,
+           lambda w: NOT list_contains(db, w) AND len(w) >= 4 AND len(list_filter(db, lambda v: NOT list_contains(da, v) AND len(v) >= 4 AND (contains(w, v) OR contains(v, w)))) > 0))) / len(da)) END::DOUBLE AS common_words,
+         jaro_winkler_similarity(fa, fb)::DOUBLE AS jaro_winkler,
+         {ratio('sa', 'sb')}::DOUBLE AS token_sort, {partial('fa', 'fb')}::DOUBLE AS partial,
+         (CASE WHEN sa = '' OR sb = '' THEN 0.0 WHEN sect = '' THEN {ratio('wa', 'wb')}
+              ELSE greatest({ratio('wa', 'wb')}, {ratio('sect', 'wa')}, {ratio('sect', 'wb')}) END)::DOUBLE AS token_set
+  FROM (SELECT *, trim(sect || ' ' || array_to_string(list_sort(list_filter(ta, lambda w: NOT list_contains(tb, w))), ' ')) AS wa,
+               trim(sect || ' ' || array_to_string(list_sort(list_filter(tb, lambda w: NOT list_contains(ta, w))), ' ')) AS wb
+        FROM (SELECT *, array_to_string(list_sort(list_intersect(ta, tb)), ' ') AS sect
+              FROM (SELECT *, {toks('fa')} AS ta, {toks('fb')} AS tb, {token_sort('fa')} AS sa, {token_sort('fb')} AS sb,
+                           list_distinct({distinctive('fa')}) AS da, list_distinct({distinctive('fb')}) AS db
+                    FROM (SELECT a, b, {strip(upper_fold('a'))} AS fa, {strip(upper_fold('b'))} AS fb FROM (SELECT DISTINCT a, b FROM {pairs}))))))
+"""
+
+
+def bucket(x: str) -> str:
+    return f"CASE WHEN {x} >= 0.85 THEN 50 WHEN {x} >= 0.70 THEN 40 WHEN {x} >= 0.55 THEN 30 WHEN {x} >= 0.40 THEN 20 WHEN {x} >= 0.25 THEN 10 ELSE 0 END"
+
+
+def street_points(number: str, ref_number: str, ratio_: str) -> str:
+    return f"""(CASE WHEN coalesce({number}, '') <> '' AND {number} = {ref_number} THEN 12 ELSE 0 END
+      + CASE WHEN {ratio_} >= 0.7 THEN 8 WHEN {ratio_} >= 0.5 THEN 4 ELSE 0 END)"""
+
+
+def geo(cp: str, ref_cp: str) -> str:
+    both = f"coalesce({cp}, '') <> '' AND coalesce({ref_cp}, '') <> ''"
+    return f"(CASE WHEN {both} AND {cp} = {ref_cp} THEN 30 WHEN {both} AND substr({cp}, 1, 2) = substr({ref_cp}, 1, 2) THEN 15 ELSE 0 END)"
+
+
+def body(naf: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.ACTIVITY_FUNDING.items())
+    return f"(CASE substr(replace(coalesce({naf}, ''), '.', ''), 1, 2) {cases} END)"
+
+
+def brand(name: str) -> str:
+    tests = " OR ".join(f"contains(lower(coalesce({name}, '')), '{b}')" for b in K.FUNDED_BRANDS)
+    return f"(CASE WHEN {tests} THEN '{K.BRAND_FUNDING_BODY}' END)"
+
+
+# --- candidates: (entity, pos, text, block) against the active registry --------------------------------------------
+def candidates(queries: str, registry: str, blocks: list[tuple[str, str]], texts: list[str], k: int, kind: str) -> str:
+    """Top k ids per query row of ``queries`` (prospect_id, pos, text, block columns), best text per id."""
+    make = words if kind == "words" else trigrams
+    score = "n + n / (nq + nr - n)" if kind == "words" else "n / (nq + nr - n)"
+    keep = "n > 0" if kind == "words" else "n / (nq + nr - n) >= 0.2"
+    on = " AND ".join(f"q.{a} = r.{b}" for a, b in blocks)
+    refs = " UNION ALL ".join(f"SELECT siret, {', '.join(b for _, b in blocks)}, {t} AS ref FROM {registry} WHERE {t} <> ''" for t in texts)
+    distinct = "list_distinct(" + make("ref") + ")"
+    asked = "list_distinct(" + make("text") + ")"
+    return f"""
+SELECT prospect_id, pos, siret, sim, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY prospect_id, pos ORDER BY sim DESC, siret) AS rank FROM (
+    SELECT prospect_id, pos, siret, max({score}) AS sim FROM (
+      SELECT q.prospect_id, q.pos, r.siret, len(list_intersect(q.t, r.t)) AS n, len(q.t) AS nq, len(r.t) AS nr
+      FROM (SELECT *, {asked} AS t FROM {queries} WHERE coalesce(text, '') <> '') q
+      JOIN (SELECT *, {distinct} AS t FROM ({refs})) r ON {on})
+    WHERE n > 0 AND {keep} GROUP BY prospect_id, pos, siret)) WHERE rank <= {k}
+"""
