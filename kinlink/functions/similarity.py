@@ -52,22 +52,15 @@ def edit_similarity(a: Column, b: Column) -> Column:
     )
 
 
-def common_word_score(a: Column, b: Column, words: X.WordLists) -> Column:
-    """Share of the first name's distinctive words found in the second, half a point for contained words."""
-    mine = F.array_distinct(X.distinctive_words(a, words))
-    theirs = F.array_distinct(X.distinctive_words(b, words))
-    return common_words(mine, theirs)
-
-
-def common_words(mine: Column, theirs: Column) -> Column:
-    shared = F.size(F.array_intersect(mine, theirs))
-    rest = F.filter(F.array_except(theirs, mine), lambda w: F.length(w) >= 4)
-    near = F.filter(
-        F.array_except(mine, theirs),
-        lambda w: (F.length(w) >= 4) & F.exists(rest, lambda v: F.contains(w, v) | F.contains(v, w)),
+def common_word_score(a: str, b: str, words: X.WordLists) -> Column:
+    """Share of the first column's distinctive words found in the second, half a point for contained words."""
+    mine, theirs = (f"array_distinct({X.distinctive_sql(c, words)})" for c in (a, b))
+    near = "length(w) >= 4 AND exists(t, v -> length(v) >= 4 AND NOT array_contains(m, v) AND (contains(w, v) OR contains(v, w)))"
+    score = f"(size(array_intersect(m, t)) + 0.5D * size(filter(array_except(m, t), w -> {near}))) / size(m)"
+    blank = "size(m) = 0 OR size(t) = 0"
+    return F.expr(
+        f"transform(array({mine}), m -> transform(array({theirs}), t -> IF({blank}, 0D, least({score}, 1D)))[0])[0]"
     )
-    score = (shared + 0.5 * F.size(near)) / F.size(mine)
-    return F.when((F.size(mine) == 0) | (F.size(theirs) == 0), 0.0).otherwise(F.least(score, F.lit(1.0)))
 
 
 def name_blend(edit: Column, m: Column, common: Column) -> Column:

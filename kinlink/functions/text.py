@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass, field
-from functools import lru_cache, reduce
-from operator import or_
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,11 +14,6 @@ from kinlink import constants as K
 SPACE = r"[\s\p{Z}]+"
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, also inside array functions where Spark shares nothing."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 @dataclass(frozen=True)
 class WordLists:
     """Word lists of the normalisation job."""
@@ -64,16 +58,15 @@ def quote(word: str) -> str:
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
 
-def keep_words(c: Column, dropped, city: Column | None = None) -> Column:
-    """Words of a text that are not in ``dropped`` nor in the ``city`` array, joined by a space.
+def keep_words(name: str, dropped, city: str | None = None) -> Column:
+    """Words of column ``name`` that are not in ``dropped`` nor in the array column ``city``, joined by a space.
 
     Splitting once and testing words against a hash set costs a fraction of a whole-word alternation.
     """
-    words = F.split(c, WORD_BREAK)
-    kept = F.filter(words, lambda w: ~w.isin(*dropped))
-    if city is not None:
-        kept = F.filter(kept, lambda w: ~F.array_contains(city, w))
-    return F.array_join(kept, " ")
+    town = f" AND NOT array_contains({city}, w)" if city else ""
+    return F.expr(
+        f"array_join(filter(split({name}, r'{WORD_BREAK}'), w -> w NOT IN ({sql_list(dropped)}){town}), ' ')"
+    )
 
 
 def strip(c: Column) -> Column:
@@ -119,80 +112,19 @@ def without_parens(c: Column) -> Column:
     return F.when(c.rlike(r"\([^)]+\)"), strip(F.regexp_replace(c, r"\([^)]*\)", " "))).otherwise(c)
 
 
-def drop_brand_segment(c: Column, words: WordLists) -> Column:
-    """Of the parts between " - ", the first that names no brand; the last part if all do."""
-    branded = lambda p: reduce(or_, [F.contains(p, F.lit(b)) for b in words.brands])
-    parts = F.transform(F.split(c, " - "), strip)
-    local = let(parts, lambda ps: F.coalesce(F.get(F.filter(ps, lambda p: ~branded(p)), 0), F.element_at(ps, -1)))
-    # Most texts name no brand at all; one pass over the whole text settles those.
-    chosen = F.when(branded(c), local).otherwise(F.get(parts, 0))
-    return F.when(F.contains(c, F.lit(" - ")), chosen).otherwise(c)
-
-
-WORD_BREAK = r"[^\p{L}\p{N}_]+"
-
-
-def keep_words(c: Column, dropped, city: Column | None = None) -> Column:
-    """Words of a text that are not in ``dropped`` nor in the ``city`` array, joined by a space.
-
-    Splitting once and testing words against a hash set costs a fraction of a whole-word alternation.
-    """
-    words = F.split(c, WORD_BREAK)
-    kept = F.filter(words, lambda w: ~w.isin(*dropped))
-    if city is not None:
-        kept = F.filter(kept, lambda w: ~F.array_contains(city, w))
-    return F.array_join(kept, " ")
-
-
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}|{SPACE}$", "")
-
-
-def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, SPACE, " "))
-
-
-def fold_accents(c: Column) -> Column:
-    """Drop combining marks. Plain ASCII text, the common case, skips both passes."""
-    source, target = accent_pairs()
-    folded = F.regexp_replace(F.translate(c, source, target), r"\p{Mn}+", "")
-    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
-
-
-def fold_upper(c: Column) -> Column:
-    return fold_accents(F.upper(c))
+def sql_list(words) -> str:
+    return ", ".join("'" + w.replace("'", "\\'") + "'" for w in words)
 
 
-def fold_name(c: Column) -> Column:
-    """Upper case without accents; apostrophes, in-word hyphens and slashes become spaces, long dashes hyphens.
+def drop_brand_segment(name: str, words: WordLists) -> Column:
+    """Of the parts of column ``name`` between " - ", the first that names no brand; the last part if all do.
 
-    One character pass does accents, apostrophes and slashes; the hyphen passes run only on text that has one.
+    Most texts name no brand at all; one pass over the whole text settles those.
     """
-    source, target = accent_pairs()
-    upper = F.upper(c)
-    ascii_only = F.translate(upper, "'`/", "   ")
-    folded = F.regexp_replace(F.translate(upper, source + "'`‘’/", target + "     "), r"\p{Mn}+", "")
-    plain = F.when(upper.rlike(r"[^\x00-\x7F]"), folded).otherwise(ascii_only)
-    joined = F.regexp_replace(plain, "-(?<=[A-Z]-)(?=[A-Z])", " ")
-    return F.translate(joined, "–—", "--")
-
-
-def paren_text(c: Column) -> Column:
-    """First parenthesised text, blank if there is none."""
-    return strip(F.regexp_extract(c, r"\(([^)]+)\)", 1))
-
-
-def without_parens(c: Column) -> Column:
-    """The name without parentheses; untouched when it has no parenthesised text."""
-    return F.when(c.rlike(r"\([^)]+\)"), strip(F.regexp_replace(c, r"\([^)]*\)", " "))).otherwise(c)
-
-
-def drop_brand_segment(c: Column, words: WordLists) -> Column:
-    """Of the parts between " - ", the first that names no brand; the last part if all do."""
-    branded = "|".join(quote(b) for b in words.brands)
-    parts = F.transform(F.split(c, " - "), strip)
-    local = F.filter(parts, lambda p: ~p.rlike(branded))
-    return F.when(F.contains(c, F.lit(" - ")), F.coalesce(F.get(local, 0), F.element_at(parts, -1))).otherwise(c)
+    branded = lambda x: "(" + " OR ".join(f"contains({x}, {sql_list([b])})" for b in words.brands) + ")"
+    parts = rf"transform(split({name}, ' - '), p -> regexp_replace(p, r'^{SPACE}|{SPACE}$', ''))"
+    local = f"transform(array({parts}), ps -> coalesce(get(filter(ps, p -> NOT {branded('p')}), 0), element_at(ps, -1)))[0]"
+    return F.expr(f"IF(contains({name}, ' - '), IF({branded(name)}, {local}, get({parts}, 0)), {name})")
 
 
 def drop_words(c: Column, words) -> Column:
@@ -219,29 +151,37 @@ def odd_city_pattern(words: Column) -> Column:
     return F.when(F.size(odd) > 0, F.concat(F.lit(r"(?U)\b(?:"), F.array_join(escaped, "|"), F.lit(r")\b")))
 
 
-def name_core(folded: Column, words: WordLists, city: Column | None = None, odd_city: Column | None = None) -> Column:
-    """The folded name without brand part, parentheses, brands, legal forms, articles and city words."""
+def without_spaced_brands(name: str, words: WordLists, odd_city: str | None = None) -> Column:
+    """The folded name without brand part, parentheses, brands of several words and odd city words."""
     spaced = [b for b in words.brands if " " in b]
-    single = [b for b in words.brands if " " not in b]
-    c = F.regexp_replace(drop_brand_segment(folded, words), r"\([^)]*\)", " ")
+    c = F.regexp_replace(drop_brand_segment(name, words), r"\([^)]*\)", " ")
     if spaced:
-        c = F.regexp_replace(c, r"(?U)(?=[" + "".join(sorted({b[0] for b in spaced})) + r"])\b(?:" + "|".join(spaced) + r")\b", " ")
-    if odd_city is not None:
-        c = F.when(odd_city.isNull(), c).otherwise(F.regexp_replace(c, F.coalesce(odd_city, F.lit("")), F.lit(" ")))
-    return alnum_only(keep_words(c, [*single, *words.legal_forms, *words.articles], city))
+        first = "".join(sorted({b[0] for b in spaced}))
+        c = F.regexp_replace(c, rf"(?U)(?=[{first}])\b(?:" + "|".join(spaced) + r")\b", " ")
+    if odd_city:
+        odd = F.col(odd_city)
+        c = F.when(odd.isNull(), c).otherwise(F.regexp_replace(c, F.coalesce(odd, F.lit("")), F.lit(" ")))
+    return c
+
+
+def name_core(name: str, words: WordLists, city: str | None = None) -> Column:
+    """Column ``name`` without single-word brands, legal forms, articles and city words, in A-Z, 0-9 and spaces."""
+    single = [b for b in words.brands if " " not in b]
+    return alnum_only(keep_words(name, [*single, *words.legal_forms, *words.articles], city))
 
 
-def distinctive_words(clean: Column, words: WordLists) -> Column:
-    """Words that tell a name apart, longest first; words of equal length keep their order."""
-    tokens = F.filter(F.split(F.coalesce(clean, F.lit("")), SPACE), lambda w: F.length(w) >= 2)
+def distinctive_sql(name: str, words: WordLists) -> str:
+    """SQL of the words that tell a name apart, longest first; words of equal length keep their order."""
+    tokens = f"filter(split(coalesce({name}, ''), r'{SPACE}'), w -> length(w) >= 2)"
+    telling = f"filter(ws, w -> length(w) >= 3 AND w NOT IN ({sql_list([*words.generic, *words.articles])}))"
+    fallback = f"filter(ws, w -> w NOT IN ({sql_list(words.articles)}))"
+    chosen = f"transform(array({tokens}), ws -> transform(array({telling}), t -> IF(size(t) > 0, t, {fallback}))[0])[0]"
+    ranked = f"sort_array(transform({chosen}, (w, i) -> struct(-length(w) AS n, i AS i, w AS w)))"
+    return f"transform({ranked}, s -> s.w)"
 
-    def choose(known: Column) -> Column:
-        telling = F.filter(known, lambda w: (F.length(w) >= 3) & ~w.isin(*words.generic, *words.articles))
-        fallback = F.filter(known, lambda w: ~w.isin(*words.articles))
-        return let(telling, lambda t: F.when(F.size(t) > 0, t).otherwise(fallback))
 
-    entry = lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))
-    return F.transform(F.sort_array(F.transform(let(tokens, choose), entry)), lambda s: s["w"])
+def distinctive_words(name: str, words: WordLists) -> Column:
+    return F.expr(distinctive_sql(name, words))
 
 
 def street_clean(street: Column) -> Column:
@@ -257,9 +197,9 @@ NUMBER_THEN_STREET = r"^(\d+)\s*[,\s]\s*(.*)"
 NUMBER_SUFFIX_STREET = r"(?i)^(\d+\s*(?:BIS|TER)?)\s+(.+)"
 
 
-def address_parts(address: Column) -> Column:
-    """Struct (number, street) of one address line; the tail ", 12345 City" is cut only after a number."""
-    folded = strip(fold_upper(F.coalesce(address, F.lit(""))))
+def address_parts(name: str) -> Column:
+    """Struct (number, street) of the folded address line in column ``name``."""
+    folded = F.col(name)
     plain = F.struct(
         F.regexp_extract(folded, NUMBER_THEN_STREET, 1).alias("number"),
         F.regexp_extract(folded, NUMBER_THEN_STREET, 2).alias("street"),

@@ -18,12 +18,13 @@ def with_clean_name(
 
     The steps are separate columns because each is used twice; Spark then keeps them as computed values.
     """
-    folded, core = f"__{out}_folded", f"__{out}_core"
+    folded, spaced, core = f"__{out}_folded", f"__{out}_spaced", f"__{out}_core"
     df = df.withColumn(folded, X.fold_name(X.or_blank(F.col(source))))
-    town = (F.col(f"{city}.words"), F.col(f"{city}.odd")) if city else (None, None)
-    df = df.withColumn(core, X.name_core(F.col(folded), words, *town))
+    df = df.withColumn(spaced, X.without_spaced_brands(folded, words, f"{city}.odd" if city else None))
+    df = df.withColumn(core, X.name_core(spaced, words, f"{city}.words" if city else None))
     short = F.length(core) < 3
-    return df.withColumn(out, F.when(short, X.alnum_only(F.col(folded))).otherwise(F.col(core))).drop(folded, core)
+    clean = F.when(short, X.alnum_only(F.col(folded))).otherwise(F.col(core))
+    return df.withColumn(out, clean).drop(folded, spaced, core)
 
 
 def with_city(df: DataFrame, city: str | None, out: str = "__city") -> DataFrame:
@@ -34,22 +35,16 @@ def with_city(df: DataFrame, city: str | None, out: str = "__city") -> DataFrame
     return df.withColumn(out, F.struct(F.col(f"{out}_words").alias("words"), pattern.alias("odd"))).drop(f"{out}_words")
 
 
-def leading_words(clean: Column, words: X.WordLists) -> Column:
-    """The first three distinctive words, or NULL where all of them already spell the name."""
-
-    def lead(telling: Column) -> Column:
-        joined = F.array_join(telling, " ")
-        return F.when((joined != "") & (joined != clean), F.array_join(F.slice(telling, 1, 3), " "))
-
-    return X.let(X.distinctive_words(clean, words), lead)
-
-
-def name_variants(clean: Column, paren: Column, segment: Column, words: X.WordLists) -> Column:
-    """Ordered distinct search variants: parenthesised text, clean name, part without brand, leading words of each."""
-    long_enough = lambda c: F.when(F.length(c) >= 3, c)
-    base = F.array_compact(F.array(long_enough(paren), long_enough(clean), F.nullif(segment, F.lit(""))))
-    extend = lambda first: F.concat(first, F.array_compact(F.transform(first, lambda v: leading_words(v, words))))
-    return F.array_distinct(X.let(F.array_distinct(base), extend))
+def name_variants(clean: str, paren: str, segment: str, words: X.WordLists, base: str = "__variants") -> list[Column]:
+    """Two columns to add in turn: the base variants (parenthesised text, clean name, part without brand), then all
+    variants: base and, where they say something else, the first three distinctive words of each; ordered, distinct."""
+    first = f"array(IF(length({paren}) >= 3, {paren}, NULL), IF(length({clean}) >= 3, {clean}, NULL), nullif({segment}, ''))"
+    lead = (
+        f"transform(array({X.distinctive_sql('v', words)}), t -> "
+        "IF(array_join(t, ' ') NOT IN ('', v), array_join(slice(t, 1, 3), ' '), NULL))[0]"
+    )
+    every = f"array_distinct(concat({base}, array_compact(transform({base}, v -> {lead}))))"
+    return [F.expr(f"array_distinct(array_compact({first}))"), F.expr(every)]
 
 
 def normalize_names(
@@ -60,25 +55,25 @@ def normalize_names(
     df = df.withColumn("__base", X.fold_name(X.or_blank(F.col(name))))
     df = df.withColumn("__paren", X.paren_text(F.col("__base")))
     df = df.withColumn(
-        "__segment", F.when(F.contains("__base", F.lit(" - ")), X.drop_brand_segment(F.col("__base"), words))
+        "__segment", F.when(F.contains("__base", F.lit(" - ")), X.drop_brand_segment("__base", words))
     )
     df = with_clean_name(df, name, "nom_clean", "__city", words)
     df = with_clean_name(df, "__paren", "nom_parentheses", "__city", words)
     df = with_clean_name(df, "__segment", "__segment_clean", "__city", words)
-    df = df.withColumn(
-        "nom_variantes",
-        name_variants(F.col("nom_clean"), F.col("nom_parentheses"), F.col("__segment_clean"), words),
-    )
-    return df.drop("__city", "__base", "__paren", "__segment", "__segment_clean")
+    base, every = name_variants("nom_clean", "nom_parentheses", "__segment_clean", words)
+    df = df.withColumn("__variants", base).withColumn("nom_variantes", every)
+    return df.drop("__city", "__base", "__paren", "__segment", "__segment_clean", "__variants")
 
 
 def normalize_address(df: DataFrame, address: str = "adresse") -> DataFrame:
     """Add adresse_numero, adresse_voie and adresse_voie_clean."""
-    df = df.withColumn("__address", X.address_parts(F.col(address)))
+    df = df.withColumn("__folded", X.strip(X.fold_upper(X.or_blank(F.col(address)))))
+    df = df.withColumn("__address", X.address_parts("__folded"))
     number, street = F.col("__address.number"), F.col("__address.street")
     df = df.withColumn("adresse_numero", X.strip(number))
     df = df.withColumn("adresse_voie", F.when(number == "", street).otherwise(X.cut_town(street)))
-    return df.withColumn("adresse_voie_clean", X.street_clean(F.col("adresse_voie"))).drop("__address")
+    df = df.withColumn("adresse_voie_clean", X.street_clean(F.col("adresse_voie")))
+    return df.drop("__folded", "__address")
 
 
 def normalize_prospects(df: DataFrame, words: X.WordLists = DEFAULT_WORDS, corsica: str = "full") -> DataFrame:

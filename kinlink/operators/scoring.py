@@ -18,7 +18,7 @@ def pair_measures(pairs: DataFrame, a: str, b: str, words: X.WordLists = X.WordL
         a,
         b,
         S.edit_similarity(F.col("__a"), F.col("__b")).alias("edit"),
-        S.common_word_score(F.col("__a"), F.col("__b"), words).alias("common_words"),
+        S.common_word_score("__a", "__b", words).alias("common_words"),
         fuzzy_measures("__a", "__b").alias("m"),
     )
     return measured.select(

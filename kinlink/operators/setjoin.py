@@ -15,50 +15,38 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 
 
-def _bucket(token):
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+BUCKET = f"CAST(pmod(xxhash64(tok), {BUCKETS}) AS INT) AS bucket"
 
 
 def token_counts(queries: DataFrame, refs: DataFrame, tokens: str) -> DataFrame:
     """Tokens per bucket on both sides, at most ``BUCKETS`` rows; counted map-side before the shuffle."""
 
-
     def ones(side: DataFrame, q: int, r: int) -> DataFrame:
-        exploded = side.select(F.explode(tokens).alias("tok"))
-        return exploded.select(_bucket(F.col("tok")).alias("bucket"), F.lit(q).alias("q"), F.lit(r).alias("r"))
+        return side.selectExpr(f"explode({tokens}) AS tok").selectExpr(BUCKET, f"{q} AS q", f"{r} AS r")
 
-    return ones(queries, 1, 0).unionAll(ones(refs, 0, 1)).groupBy("bucket").agg(F.sum("q").alias("q_count"), F.sum("r").alias("r_count"))
+    counted = ones(queries, 1, 0).unionAll(ones(refs, 0, 1)).groupBy("bucket")
+    return counted.agg(F.expr("sum(q) AS q_count"), F.expr("sum(r) AS r_count"))
 
 
 def _rare_first(side: DataFrame, keys: list[str], tokens: str, counts: DataFrame) -> DataFrame:
     """Sort each token set from rare to frequent. Grouping is on the keys the side is already partitioned by."""
     others = [c for c in side.columns if c not in (*keys, tokens)]
-    exploded = side.select(*keys, *others, F.explode(tokens).alias("tok")).withColumn("bucket", _bucket(F.col("tok")))
+    exploded = side.selectExpr(*keys, *others, f"explode({tokens}) AS tok").selectExpr("*", BUCKET)
     counted = exploded.join(F.broadcast(counts), "bucket", "left")
-    entry = F.struct((F.col("q_count") + F.col("r_count")).alias("n"), "tok", "q_count", "r_count")
-    return counted.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(entry)).alias("entries"), *[F.first(c).alias(c) for c in others]
-    )
+    entries = "sort_array(collect_list(struct(q_count + r_count AS n, tok, q_count, r_count))) AS entries"
+    return counted.groupBy(*keys).agg(F.expr(entries), *[F.expr(f"first({c}) AS {c}") for c in others])
 
 
-def _postings(side: DataFrame, keep: list[str], threshold: float, own: str, other: str, rows_per_cell: int):
+def _postings(side: DataFrame, keep: list[str], threshold: float, own: str, other: str, rows_per_cell: int, out: str):
     """Prefix tokens as rows. ``own`` side rows get one salt, and are repeated for every cell of the ``other`` side."""
-    size = F.size("entries")
-    prefix = (size - F.ceil(size * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
-    rows = side.select(
-        *keep,
-        F.transform("entries", lambda e: e["tok"]).alias("all_tokens"),
-        F.explode(F.slice("entries", F.lit(1), F.greatest(prefix, F.lit(1)))).alias("e"),
+    prefix = f"greatest(1, CAST(size(entries) - ceil(size(entries) * {threshold}D - 1e-9D) + 1 AS INT))"
+    rows = side.selectExpr(
+        *keep, f"transform(entries, e -> e.tok) AS {out}", f"explode(slice(entries, 1, {prefix})) AS e"
     )
-    cells = lambda n: F.ceil(F.greatest(n, F.lit(1)) / F.lit(rows_per_cell)).cast("int")
-    mine, theirs = cells(F.col(f"e.{own}")), cells(F.col(f"e.{other}"))
-    salt = F.pmod(F.xxhash64(*keep), mine).cast("int")
-    return rows.select(
-        *keep,
-        "all_tokens",
-        F.col("e.tok").alias("tok"),
-        salt.alias(f"salt_{own}"),
-        F.explode(F.sequence(F.lit(0), theirs - 1)).alias(f"salt_{other}"),
+    cells = lambda n: f"CAST(ceil(greatest(e.{n}, 1) / {rows_per_cell}) AS INT)"
+    return rows.selectExpr(
+        *keep, out, "e.tok AS tok", f"CAST(pmod(xxhash64({', '.join(keep)}), {cells(own)}) AS INT) AS salt_{own}",
+        f"explode(sequence(0, {cells(other)} - 1)) AS salt_{other}",
     )
 
 
@@ -76,29 +64,20 @@ def jaccard_join(
     """All (block, query string, reference string) with similarity >= threshold, each once, with ``sim`` and ``shared``.
 
     ``queries`` and ``refs`` hold distinct strings per block with their token arrays; ``payload`` columns of ``refs``
-    come along. Blank token sets match nothing.
+    come along. Empty token sets match nothing.
     """
     payload = payload or []
-    queries = queries.filter(F.size(tokens) > 0)
-    refs = refs.filter(F.size(tokens) > 0)
     counts = token_counts(queries, refs, tokens)
     q = _rare_first(queries, [*blocks, query], tokens, counts)
     r = _rare_first(refs, [*blocks, ref], tokens, counts)
-    q = _postings(q, [*blocks, query], threshold, "q_count", "r_count", rows_per_cell)
-    r = _postings(r, [*blocks, ref, *payload], threshold, "r_count", "q_count", rows_per_cell)
-    q = q.withColumnRenamed("all_tokens", "q_tokens")
-    r = r.withColumnRenamed("all_tokens", "r_tokens")
-    nq, nr = F.size("q_tokens"), F.size("r_tokens")
-    on = [*blocks, "tok", "salt_q_count", "salt_r_count"]
-    met = q.join(r, on).filter((nr >= F.lit(threshold) * nq - 1e-9) & (nq >= F.lit(threshold) * nr - 1e-9))
-    # One intersection per meeting gives both numbers: the pair counts only where it meets on its rarest shared token.
-    shared = F.transform(
-        F.array(F.array_intersect("q_tokens", "r_tokens")),
-        lambda s: F.struct(
-            F.get(s, 0).alias("first"), F.size(s).alias("shared"), (F.size(s) / (nq + nr - F.size(s))).alias("sim")
-        ),
-    )
-    passed = F.filter(shared, lambda s: (s["first"] == F.col("tok")) & (s["sim"] >= threshold))
-    return met.select(*blocks, query, ref, *payload, F.explode(passed).alias("s")).select(
-        *blocks, query, ref, *payload, F.col("s.sim").alias("sim"), F.col("s.shared").alias("shared")
+    q = _postings(q, [*blocks, query], threshold, "q_count", "r_count", rows_per_cell, "q_tokens")
+    r = _postings(r, [*blocks, ref, *payload], threshold, "r_count", "q_count", rows_per_cell, "r_tokens")
+    met = q.join(r, [*blocks, "tok", "salt_q_count", "salt_r_count"]).filter(
+        f"size(r_tokens) >= {threshold}D * size(q_tokens) - 1e-9D AND size(q_tokens) >= {threshold}D * size(r_tokens) - 1e-9D"
     )
+    # One intersection per meeting gives both numbers: the pair counts only where it meets on its rarest shared token.
+    shared = """transform(array(array_intersect(q_tokens, r_tokens)), s -> struct(get(s, 0) AS first, size(s) AS shared,
+        size(s) / (size(q_tokens) + size(r_tokens) - size(s)) AS sim))"""
+    passed = f"explode(filter({shared}, s -> s.first = tok AND s.sim >= {threshold}D)) AS s"
+    kept = [*blocks, query, ref, *payload]
+    return met.selectExpr(*kept, passed).selectExpr(*kept, "s.sim AS sim", "s.shared AS shared")

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    # Recording the Python call site of every column expression costs more than planning itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

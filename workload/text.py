@@ -49,7 +49,14 @@ _query(
     lambda x: D.collapse(D.drop_words(D.fold_name(x), D.K.LEGAL_FORMS + D.K.ARTICLES)),
     "kept",
 )
-_query("drop_brand_segment", lambda c: X.drop_brand_segment(X.fold_name(c), WORDS), lambda x: "(" + D.segment("f") + ")", "kept")
+
+
+def drop_brand_segment(spark, sf):
+    df = _names(spark, sf).withColumn("folded", X.fold_name(F.col("nom")))
+    return df.select("doc_id", "line_no", X.drop_brand_segment("folded", WORDS).alias("kept"))
+
+
+QUERIES["drop_brand_segment"] = drop_brand_segment
 SQL["drop_brand_segment"] = f"SELECT doc_id, line_no, {D.segment('f')} AS kept FROM (SELECT *, {D.fold_name('nom')} AS f FROM ({NAMES_SQL}))"
 
 
@@ -78,8 +85,8 @@ SQL["clean_name"] = f"SELECT doc_id, line_no, {D.clean_name('f', 'pattern')} AS
 
 
 def distinctive_words(spark, sf):
-    words = X.distinctive_words(X.alnum_only(X.fold_name(F.col("nom"))), WORDS)
-    return _names(spark, sf).select("doc_id", "line_no", F.array_join(words, "|").alias("words"))
+    df = _names(spark, sf).withColumn("clean", X.alnum_only(X.fold_name(F.col("nom"))))
+    return df.select("doc_id", "line_no", F.array_join(X.distinctive_words("clean", WORDS), "|").alias("words"))
 
 
 QUERIES["distinctive_words"] = distinctive_words
