@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Send these few functions along with the job, so that executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MEASURES = T.StructType(
     [T.StructField(n, T.DoubleType()) for n in ("jaro_winkler", "token_sort", "token_set", "partial")]
 )

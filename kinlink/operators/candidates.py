@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinlink import constants as K
 from kinlink.functions import similarity as S
 from kinlink.functions.text import or_blank
-from kinlink.operators.setjoin import jaccard_join
+from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, jaccard_join
 from kinlink.session import cut
 
 
@@ -66,7 +66,10 @@ def similar_candidates(
     asked = asked.filter(or_blank(F.col("query_text")) != "")
     strings = asked.select(*blocks, "query_text").distinct().withColumn("tokens", tokens(F.col("query_text")))
     refs = _reference_strings(registry, ref_blocks, texts, key, k).withColumn("tokens", tokens(F.col("ref_text")))
-    pairs = jaccard_join(strings, refs, blocks, "query_text", "ref_text", "tokens", threshold, payload=["ids"])
+    code = TRIGRAM_CODE if tokens is S.trigrams else TEXT_CODE
+    pairs = jaccard_join(
+        strings, refs, blocks, "query_text", "ref_text", "tokens", threshold, payload=["ids"], code=code
+    )
     value = (F.col("sim") if score is None else score).alias("sim")
     hits = pairs.select(*blocks, "query_text", value, F.explode("ids").alias(key))
     # An id shows up once per text, so the first k * texts rows hold the k best ids; the rest is done in place.

@@ -52,9 +52,14 @@ def name_points(
     return joined.withColumn(out, S.name_bucket(F.coalesce("__blend", F.lit(0.0)))).drop("__blend")
 
 
-def street_ratio(df: DataFrame, a: str, b: str, out: str = "street_ratio") -> DataFrame:
-    """Add the word-order-free ratio of two streets, NULL where either is blank; distinct pairs are measured once."""
-    filled = df.filter((X.or_blank(F.col(a)) != "") & (X.or_blank(F.col(b)) != "")).select(a, b).distinct()
+def street_ratio(
+    df: DataFrame, a: str, b: str, out: str = "street_ratio", source: DataFrame | None = None
+) -> DataFrame:
+    """Add the word-order-free ratio of two streets, NULL where either is blank; distinct pairs are measured once.
+
+    ``source`` is where the pairs are read from, when a written copy of ``df`` is at hand.
+    """
+    filled = (df if source is None else source).filter((X.or_blank(F.col(a)) != "") & (X.or_blank(F.col(b)) != "")).select(a, b).distinct()
     measured = filled.select(
         a, b, fuzzy_measures(S.compare_form(F.col(a)), S.compare_form(F.col(b)))["token_sort"].alias(out)
     )

@@ -28,24 +28,33 @@ def token_counts(queries: DataFrame, refs: DataFrame, tokens: str) -> DataFrame:
     return counted.agg(F.expr("sum(q) AS q_count"), F.expr("sum(r) AS r_count"))
 
 
-def _rare_first(side: DataFrame, keys: list[str], tokens: str, counts: DataFrame) -> DataFrame:
+# Exact number of a three-character token: 21 bits per code point. Numbers make shorter rows and faster set operations.
+TRIGRAM_CODE = (
+    "ascii(tok) * 4398046511104L + ascii(substring(tok, 2, 1)) * 2097152L + ascii(substring(tok, 3, 1)) AS code"
+)
+TEXT_CODE = "tok AS code"
+
+
+def _rare_first(side: DataFrame, keys: list[str], tokens: str, counts: DataFrame, code: str) -> DataFrame:
     """Sort each token set from rare to frequent. Grouping is on the keys the side is already partitioned by."""
     others = [c for c in side.columns if c not in (*keys, tokens)]
-    exploded = side.selectExpr(*keys, *others, f"explode({tokens}) AS tok").selectExpr("*", BUCKET)
+    exploded = side.selectExpr(*keys, *others, f"explode({tokens}) AS tok").selectExpr(*keys, *others, code, BUCKET)
     counted = exploded.join(F.broadcast(counts), "bucket", "left")
-    entries = "sort_array(collect_list(struct(q_count + r_count AS n, tok, q_count, r_count))) AS entries"
+    entries = "sort_array(collect_list(struct(q_count + r_count AS n, code, q_count, r_count))) AS entries"
     return counted.groupBy(*keys).agg(F.expr(entries), *[F.expr(f"first({c}) AS {c}") for c in others])
 
 
-def _postings(side: DataFrame, keep: list[str], threshold: float, own: str, other: str, rows_per_cell: int, out: str):
+def _postings(side: DataFrame, keep: list[str], threshold: float, own: str, other: str, rows_per_cell: int, tag: str):
     """Prefix tokens as rows. ``own`` side rows get one salt, and are repeated for every cell of the ``other`` side."""
-    prefix = f"greatest(1, CAST(size(entries) - ceil(size(entries) * {threshold}D - 1e-9D) + 1 AS INT))"
-    rows = side.selectExpr(
-        *keep, f"transform(entries, e -> e.tok) AS {out}", f"explode(slice(entries, 1, {prefix})) AS e"
+    size, prefix = f"{tag}_size", f"CAST({tag}_size - ceil({tag}_size * {threshold}D - 1e-9D) + 1 AS INT)"
+    rows = side.selectExpr(*keep, "entries", f"size(entries) AS {size}").selectExpr(
+        *keep, size, f"transform(entries, e -> e.code) AS {tag}_tokens",
+        f"posexplode(slice(entries, 1, greatest(1, {prefix}))) AS ({tag}_pos, e)",
     )
     cells = lambda n: f"CAST(ceil(greatest(e.{n}, 1) / {rows_per_cell}) AS INT)"
     return rows.selectExpr(
-        *keep, out, "e.tok AS tok", f"CAST(pmod(xxhash64({', '.join(keep)}), {cells(own)}) AS INT) AS salt_{own}",
+        *keep, size, f"{tag}_tokens", f"{tag}_pos", "e.code AS code",
+        f"CAST(pmod(xxhash64({', '.join(keep)}), {cells(own)}) AS INT) AS salt_{own}",
         f"explode(sequence(0, {cells(other)} - 1)) AS salt_{other}",
     )
 
@@ -60,6 +69,7 @@ def jaccard_join(
     threshold: float,
     payload: list[str] | None = None,
     rows_per_cell: int = 200_000,
+    code: str = TEXT_CODE,
 ) -> DataFrame:
     """All (block, query string, reference string) with similarity >= threshold, each once, with ``sim`` and ``shared``.
 
@@ -68,16 +78,19 @@ def jaccard_join(
     """
     payload = payload or []
     counts = token_counts(queries, refs, tokens)
-    q = _rare_first(queries, [*blocks, query], tokens, counts)
-    r = _rare_first(refs, [*blocks, ref], tokens, counts)
-    q = _postings(q, [*blocks, query], threshold, "q_count", "r_count", rows_per_cell, "q_tokens")
-    r = _postings(r, [*blocks, ref, *payload], threshold, "r_count", "q_count", rows_per_cell, "r_tokens")
-    met = q.join(r, [*blocks, "tok", "salt_q_count", "salt_r_count"]).filter(
-        f"size(r_tokens) >= {threshold}D * size(q_tokens) - 1e-9D AND size(q_tokens) >= {threshold}D * size(r_tokens) - 1e-9D"
+    q = _rare_first(queries, [*blocks, query], tokens, counts, code)
+    r = _rare_first(refs, [*blocks, ref], tokens, counts, code)
+    q = _postings(q, [*blocks, query], threshold, "q_count", "r_count", rows_per_cell, "q")
+    r = _postings(r, [*blocks, ref, *payload], threshold, "r_count", "q_count", rows_per_cell, "r")
+    # Length bound, and the most that can still be shared if this is the pair's first shared token.
+    need = f"{threshold / (1 + threshold)}D * (q_size + r_size) - 1e-9D"
+    met = q.join(r, [*blocks, "code", "salt_q_count", "salt_r_count"]).filter(
+        f"r_size >= {threshold}D * q_size - 1e-9D AND q_size >= {threshold}D * r_size - 1e-9D "
+        f"AND least(q_size - q_pos, r_size - r_pos) >= {need}"
     )
     # One intersection per meeting gives both numbers: the pair counts only where it meets on its rarest shared token.
     shared = """transform(array(array_intersect(q_tokens, r_tokens)), s -> struct(get(s, 0) AS first, size(s) AS shared,
-        size(s) / (size(q_tokens) + size(r_tokens) - size(s)) AS sim))"""
-    passed = f"explode(filter({shared}, s -> s.first = tok AND s.sim >= {threshold}D)) AS s"
+        size(s) / (q_size + r_size - size(s)) AS sim))"""
+    passed = f"explode(filter({shared}, s -> s.first = code AND s.sim >= {threshold}D)) AS s"
     kept = [*blocks, query, ref, *payload]
     return met.selectExpr(*kept, passed).selectExpr(*kept, "s.sim AS sim", "s.shared AS shared")

@@ -140,18 +140,21 @@ def score_hits(hits: DataFrame, prospects: DataFrame) -> DataFrame:
     p = prospects.select(*[F.col(c).alias(f"p_{c}" if c != "prospect_id" else c) for c in PROSPECT_KEYS])
     df = hits.join(p, "prospect_id")
     df = df.withColumn("__names", F.array_distinct(F.concat(F.array("variant"), F.slice("p_nom_variantes", 1, 3))))
+    df = df.withColumn("__folded", X.fold_upper(X.or_blank(F.col("address"))))
+    df = df.withColumn("__known", (X.or_blank(F.col("p_adresse_numero")) != "") & (F.col("__folded") != ""))
+    df = df.withColumn("__number", F.when(F.col("__known"), F.regexp_extract("__folded", r"^(\d+)", 1)))
+    df = df.withColumn("__street", F.when(F.col("__known"), X.street_clean(F.col("__folded"))))
+    # Capped candidate rows, read three times below: written once instead of searched three times.
+    rows = cut(df, "hits")
     keys = ["prospect_id", "step", "variant_pos", "result_pos"]
-    df = name_points(df, keys=keys, names="__names", refs=["full_name"]).drop("__names")
-    folded = X.fold_upper(X.or_blank(F.col("address")))
-    known = (X.or_blank(F.col("p_adresse_numero")) != "") & (folded != "")
-    df = df.withColumn("__number", F.when(known, F.regexp_extract(folded, r"^(\d+)", 1)))
-    df = df.withColumn("__street", F.when(known, X.street_clean(folded)))
-    df = street_ratio(df, "p_adresse_voie_clean", "__street")
+    df = name_points(rows, keys=keys, names="__names", refs=["full_name"])
+    df = street_ratio(df, "p_adresse_voie_clean", "__street", source=rows)
+    known = F.col("__known")
     address = S.address_points(F.col("p_adresse_numero"), F.col("__number"), F.col("street_ratio"))
     geo = S.geo_points(F.col("p_code_postal"), F.col("code_postal"), F.col("p_departement"), F.lit(""))
     total = F.col("name_points") + geo + F.when(known, address).otherwise(0)
     return df.withColumn("score", F.when(F.col("closed"), 0.0).otherwise(total.cast("double"))).drop(
-        "__number", "__street", "street_ratio"
+        "__names", "__folded", "__known", "__number", "__street", "street_ratio"
     )
 
 
@@ -195,9 +198,9 @@ def score_address_candidates(candidates: DataFrame, prospects: DataFrame, regist
     df = df.withColumn("__names", F.array("nom_clean"))
     for c in ("denomination", "enseigne"):
         df = df.withColumn(f"__{c}", X.fold_upper(X.or_blank(F.col(f"r_{c}"))))
-    df = name_points(df, keys=["prospect_id", "siret"], names="__names", refs=["__denomination", "__enseigne"])
-    df = df.withColumn("__street", X.street_clean(X.or_blank(F.col("r_voie"))))
-    df = street_ratio(df, "adresse_voie_clean", "__street")
+    rows = cut(df.withColumn("__street", X.street_clean(X.or_blank(F.col("r_voie")))), "candidates")
+    df = name_points(rows, keys=["prospect_id", "siret"], names="__names", refs=["__denomination", "__enseigne"])
+    df = street_ratio(df, "adresse_voie_clean", "__street", source=rows)
     points = S.address_points(F.col("adresse_numero"), F.col("r_numero_voie"), F.col("street_ratio"))
     df = df.withColumn("address_points", points)
     alone = F.least(F.lit(95), F.lit(30) + F.col("address_points") + 20 + 5)
@@ -213,7 +216,7 @@ def match_by_address(
     nearby: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Stage 3: equal postcode and number, similar street. One hit matches; several are told apart by name."""
-    p = prospects if addresses is None else C.geocode_fill(prospects, addresses)
+    p = prospects if addresses is None else cut(C.geocode_fill(prospects, addresses), "geocoded")
     active = C.active_only(registry)
     here = cut(C.address_candidates(p, active), "address")
     rest = p.join(here.select("prospect_id").distinct(), "prospect_id", "left_anti")
@@ -233,10 +236,10 @@ def score_trigram_candidates(candidates: DataFrame, prospects: DataFrame, regist
     df = df.withColumn("__names", F.slice("nom_variantes", 1, 4))
     for c in ("denomination", "enseigne"):
         df = df.withColumn(f"__{c}", X.fold_upper(X.or_blank(F.col(f"r_{c}"))))
-    df = name_points(df, keys=["prospect_id", "siret"], names="__names", refs=["__denomination", "__enseigne"])
     numbered = X.or_blank(F.col("adresse_numero")) != ""
-    df = df.withColumn("__street", F.when(numbered, X.street_clean(X.or_blank(F.col("r_voie")))))
-    df = street_ratio(df, "adresse_voie_clean", "__street")
+    rows = cut(df.withColumn("__street", F.when(numbered, X.street_clean(X.or_blank(F.col("r_voie"))))), "candidates")
+    df = name_points(rows, keys=["prospect_id", "siret"], names="__names", refs=["__denomination", "__enseigne"])
+    df = street_ratio(df, "adresse_voie_clean", "__street", source=rows)
     address = S.address_points(F.col("adresse_numero"), F.col("r_numero_voie"), F.col("street_ratio"))
     geo = S.geo_points(F.col("code_postal"), F.col("r_code_postal"), F.col("departement"), F.lit(""))
     sole = F.when(F.col("candidates") == 1, 5).otherwise(0)
@@ -285,14 +288,14 @@ def unmatched_results(prospects: DataFrame) -> DataFrame:
 def union_stages(prospects: DataFrame, stages) -> DataFrame:
     """Run stages in order, each on what is left; every prospect comes out once.
 
-    ``stages`` are functions from prospects to (prospect_id, result). Each stage's matches are written once: the anti
-    join of the next stage and the final union both read the file, so no stage runs twice.
+    ``stages`` are functions from prospects to (prospect_id, result). Each stage's matches and the remainder are
+    written once, because the next stage and the final union both read them: no stage runs twice.
     """
     matched, rest = [], prospects
     for i, stage in enumerate(stages):
         hits = cut(stage(rest), f"stage{i}")
         matched.append(hits)
-        rest = rest.join(hits.select("prospect_id"), "prospect_id", "left_anti")
+        rest = cut(rest.join(hits.select("prospect_id"), "prospect_id", "left_anti"), f"rest{i}")
     results = unmatched_results(rest)
     for hits in matched:
         results = results.unionByName(hits)

@@ -45,9 +45,9 @@ def by_size_class(spark, sf):
     return T.raw_registry(spark, sf).filter(S.by_size_class("MOINS_11")).select("siret", "tranche_effectif")
 
 
-@query(f"SELECT r.siret, f.idcc FROM ({D.REGISTRY}) r JOIN ({D.FUNDING}) f USING (siret) WHERE f.idcc = '0009'")
+@query(f"SELECT r.siret, f.idcc FROM ({D.REGISTRY}) r JOIN ({D.FUNDING}) f USING (siret) WHERE f.idcc = '0002'")
 def by_agreement(spark, sf):
-    return S.by_agreement(T.raw_registry(spark, sf), T.funding(spark, sf), "0009").select("siret", "idcc")
+    return S.by_agreement(T.raw_registry(spark, sf), T.funding(spark, sf), "0002").select("siret", "idcc")
 
 
 @query(f"SELECT siret, naf FROM ({D.REGISTRY}) WHERE starts_with(naf, '4')")
@@ -169,20 +169,20 @@ def search_prospects(spark, sf):
     return S.search_prospects(T.raw_registry(spark, sf), T.funding(spark, sf), T.agreements(spark, sf), departments=_EAST, naf="2")
 
 
-@query(_search_sql(f"{_EAST_SQL} AND idcc = '0009' AND tranche_effectif IN ('11', '12')", "INNER"))
+@query(_search_sql(f"{_EAST_SQL} AND idcc = '0002' AND tranche_effectif IN ('11', '12')", "INNER"))
 def search_by_agreement(spark, sf):
     return S.search_prospects(
         T.raw_registry(spark, sf), T.funding(spark, sf), T.agreements(spark, sf), departments=_EAST, size="DE_11_A_49",
-        idcc="0009", naf="ignored",
+        idcc="0002", naf="ignored",
     )
 
 
 @query(f"""SELECT 'naf' AS by, count(*) AS total FROM ({_search_sql(f"{_EAST_SQL} AND naf LIKE '2%'")})
-UNION ALL SELECT 'idcc', count(*) FROM ({_search_sql(f"{_EAST_SQL} AND idcc = '0009'", "INNER")})""")
+UNION ALL SELECT 'idcc', count(*) FROM ({_search_sql(f"{_EAST_SQL} AND idcc = '0002'", "INNER")})""")
 def search_count(spark, sf):
     reg, fund = T.raw_registry(spark, sf), T.funding(spark, sf)
     naf = S.search_count(reg, fund, departments=_EAST, naf="2").select(F.lit("naf").alias("by"), "total")
-    return naf.unionAll(S.search_count(reg, fund, departments=_EAST, idcc="0009").select(F.lit("idcc"), "total"))
+    return naf.unionAll(S.search_count(reg, fund, departments=_EAST, idcc="0002").select(F.lit("idcc"), "total"))
 
 
 @query(f"""SELECT prospect_id, siret, CASE WHEN b IS NOT NULL THEN b ELSE '' END AS opco,

@@ -139,6 +139,11 @@ def _normalized(spark, sf):
     return normalize_prospects(T.prospects(spark, sf))
 
 
+def _registry(spark, sf):
+    """The registry as a written table, the form it has in use."""
+    return cut(T.registry(spark, sf), "registry")
+
+
 def _variants(spark, sf, cap=5):
     return explode_variants(cut(_normalized(spark, sf), "prospects"), ["prospect_id", "code_postal", "departement"], cap)
 
@@ -160,7 +165,7 @@ _BY_CP = D.candidates(_variants_sql(5), "act", [("code_postal", "code_postal")],
 
 @query(f"WITH {BASE} SELECT prospect_id, pos AS variant_pos, siret, sim, rank FROM ({_BY_CP})")
 def name_candidates(spark, sf):
-    found = C.name_candidates(_variants(spark, sf), C.active_only(T.registry(spark, sf)))
+    found = C.name_candidates(_variants(spark, sf), C.active_only(_registry(spark, sf)))
     return _wide(found)
 
 
@@ -183,7 +188,7 @@ def _fallback(spark, sf):
     shifted = F.when(F.col("nom").like("Ets %"), "00000").otherwise(F.col("code_postal"))
     p = cut(_normalized(spark, sf).withColumn("code_postal", shifted), "prospects")
     variants = explode_variants(p, ["prospect_id", "code_postal", "departement"], 5)
-    return C.name_candidates_with_fallback(variants, C.active_only(T.registry(spark, sf)), k=5)
+    return C.name_candidates_with_fallback(variants, C.active_only(_registry(spark, sf)), k=5)
 
 
 @query(f"WITH {BASE}, {_FALLBACK} SELECT prospect_id, pos AS variant_pos, siret, sim, rank, block_kind FROM merged")
@@ -205,7 +210,7 @@ _AT = D.candidates(_ADDRESS, "act", [("code_postal", "code_postal"), ("adresse_n
 
 @query(f"WITH {BASE} SELECT prospect_id, siret, sim, rank FROM ({_AT})")
 def address_candidates(spark, sf):
-    return _wide(C.address_candidates(_normalized(spark, sf), C.active_only(T.registry(spark, sf))))
+    return _wide(C.address_candidates(cut(_normalized(spark, sf), "prospects"), C.active_only(_registry(spark, sf))))
 
 
 _STREET = "(SELECT prospect_id, 1 AS pos, adresse_voie_clean AS text, code_postal FROM p)"
@@ -213,31 +218,30 @@ _STREET = "(SELECT prospect_id, 1 AS pos, adresse_voie_clean AS text, code_posta
 
 @query(f"WITH {BASE} SELECT prospect_id, siret, sim, rank FROM ({D.candidates(_STREET, 'act', [('code_postal', 'code_postal')], ['voie_clean'], 5, 'trigrams')})")
 def street_candidates(spark, sf):
-    return _wide(C.street_candidates(_normalized(spark, sf), C.active_only(T.registry(spark, sf))))
+    return _wide(C.street_candidates(cut(_normalized(spark, sf), "prospects"), C.active_only(_registry(spark, sf))))
 
 
-_TURNS = """(SELECT prospect_id, ord AS pos, adresse_voie_clean AS text, alt AS code_postal, adresse_numero FROM p JOIN (
-  SELECT unnest(['200', '200', '200']) AS prefix, unnest(['20190', '20090', '20000']) AS alt, unnest([0, 1, 2]) AS ord0) ON prefix = substr(code_postal, 1, 3)
-  , LATERAL (SELECT ord0 AS ord) WHERE alt <> code_postal AND departement IN ('2A', '2B', '97') AND adresse_numero <> '')"""
+_TURNS = """(SELECT prospect_id, ord AS pos, adresse_voie_clean AS text, alt AS code_postal, adresse_numero FROM
+  (SELECT * EXCLUDE (code_postal), CASE WHEN code_postal LIKE '20%' THEN '20090' ELSE code_postal END AS code_postal FROM p)
+  JOIN (VALUES ('200', '20190', 0), ('200', '20167', 1), ('200', '20000', 2)) t(prefix, alt, ord) ON prefix = substr(code_postal, 1, 3)
+  WHERE alt <> code_postal AND departement IN ('2A', '2B', '97') AND adresse_numero <> '')"""
 _TURN_HITS = D.candidates(_TURNS, "act", [("code_postal", "code_postal"), ("adresse_numero", "numero_voie")], ["voie_clean"], 10, "trigrams")
-_TABLE = {"200": ["20190", "20090", "20000"], "201": ["20000"]}
-_TURNS_201 = _TURNS.replace(
-    "SELECT unnest(['200', '200', '200']) AS prefix, unnest(['20190', '20090', '20000']) AS alt, unnest([0, 1, 2]) AS ord0",
-    "SELECT unnest(['200', '200', '200', '201']) AS prefix, unnest(['20190', '20090', '20000', '20000']) AS alt, unnest([0, 1, 2, 0]) AS ord0",
-)
 
 
-@query(f"""WITH {BASE}, h AS MATERIALIZED ({_TURN_HITS.replace(_TURNS, _TURNS_201)})
+@query(f"""WITH {BASE}, h AS MATERIALIZED ({_TURN_HITS})
 SELECT prospect_id, siret, sim, rank FROM h WHERE pos = (SELECT min(pos) FROM h h2 WHERE h2.prospect_id = h.prospect_id)""")
 def nearby_postcode_fallback(spark, sf):
-    """Neighbour table with one entry nobody has, so that the turn order shows."""
-    found = C.nearby_address_candidates(_normalized(spark, sf), C.active_only(T.registry(spark, sf)), table=_TABLE)
+    """Prospects of the island under a postcode of it that no establishment has; its neighbours are tried in turn."""
+    moved = F.when(F.col("code_postal").startswith("20"), "20090").otherwise(F.col("code_postal"))
+    p = cut(_normalized(spark, sf).withColumn("code_postal", moved), "prospects")
+    table = {"200": ["20190", "20167", "20090", "20000"]}
+    found = C.nearby_address_candidates(p, C.active_only(_registry(spark, sf)), table=table)
     return _wide(found.select("prospect_id", "siret", "sim", "rank"))
 
 
 @query(f"WITH {BASE} SELECT prospect_id, pos AS variant_pos, siret, sim, rank FROM ({D.candidates(_variants_sql(4), 'act', [('code_postal', 'code_postal')], NAMES, 5, 'words')})")
 def name_search(spark, sf):
-    return _wide(C.name_search(_variants(spark, sf, 4), C.active_only(T.registry(spark, sf))))
+    return _wide(C.name_search(_variants(spark, sf, 4), C.active_only(_registry(spark, sf))))
 
 
 GEOCODES_SQL = """SELECT DISTINCT 'Rue de la ' || p_type || ' ' || p_name AS adresse, {cp} AS code_postal, CAST(p_size AS STRING) AS housenumber,
@@ -388,18 +392,18 @@ def _shown(results):
 @query(f"WITH {BASE}, {_search_stage('p', 's')} SELECT * FROM s_best")
 def match_by_name_search(spark, sf):
     p = cut(_normalized(spark, sf), "prospects")
-    return _shown(M.match_by_name_search(p, C.active_only(T.registry(spark, sf))))
+    return _shown(M.match_by_name_search(p, C.active_only(_registry(spark, sf))))
 
 
 @query(f"WITH {BASE}, {_address_stage('p', 'd')} SELECT * FROM d_best")
 def match_by_address(spark, sf):
-    return _shown(M.match_by_address(cut(_normalized(spark, sf), "prospects"), T.registry(spark, sf)))
+    return _shown(M.match_by_address(cut(_normalized(spark, sf), "prospects"), _registry(spark, sf)))
 
 
 @query(f"WITH {BASE}, {_address_stage('p', 'd')} SELECT prospect_id, siret, n AS candidates, name_points, address_points, score FROM d_final")
 def method_score_address(spark, sf):
     p = cut(_normalized(spark, sf), "prospects")
-    active = C.active_only(T.registry(spark, sf))
+    active = C.active_only(_registry(spark, sf))
     here = cut(C.address_candidates(p, active), "address")
     rest = p.join(here.select("prospect_id").distinct(), "prospect_id", "left_anti")
     scored = M.score_address_candidates(here.unionByName(C.nearby_address_candidates(rest, active).drop("alt_ord")), p, active)
@@ -408,13 +412,13 @@ def method_score_address(spark, sf):
 
 @query(f"WITH {BASE}, {_trigram_stage('p', 't')} SELECT * FROM t_best")
 def match_by_trigram(spark, sf):
-    return _shown(M.match_by_trigram(cut(_normalized(spark, sf), "prospects"), T.registry(spark, sf)))
+    return _shown(M.match_by_trigram(cut(_normalized(spark, sf), "prospects"), _registry(spark, sf)))
 
 
 @query(f"WITH {BASE}, {_trigram_stage('p', 't')} SELECT prospect_id, siret, n AS candidates, score FROM t_final")
 def method_score_trigram(spark, sf):
     p = cut(_normalized(spark, sf), "prospects")
-    active = C.active_only(T.registry(spark, sf))
+    active = C.active_only(_registry(spark, sf))
     variants = explode_variants(p, ["prospect_id", "code_postal", "departement"], 5)
     found = C.best_variant_merge(C.name_candidates_with_fallback(variants, active, k=5))
     return M.score_trigram_candidates(found, p, active).select("prospect_id", "siret", "candidates", "score")
@@ -455,7 +459,7 @@ live AS MATERIALIZED (SELECT e.prospect_id, nom, CASE WHEN a.siret IS NULL AND e
 
 def _cascade(spark, sf):
     return M.match_cascade(
-        T.prospects(spark, sf), T.registry(spark, sf), funding=T.funding(spark, sf), agreements=T.agreements(spark, sf),
+        T.prospects(spark, sf), _registry(spark, sf), funding=T.funding(spark, sf), agreements=T.agreements(spark, sf),
         pages=T.run(spark, sf, _CASCADE_PAGES),
     )
 
@@ -472,7 +476,7 @@ def match_cascade(spark, sf):
 @query(f"""WITH {_cascade_sql()} SELECT methode, count(*) AS count FROM every GROUP BY methode""")
 def union_stages(spark, sf):
     """Every prospect comes out of the stages once; counted per method."""
-    p, reg = cut(_normalized(spark, sf), "prospects"), T.registry(spark, sf)
+    p, reg = cut(_normalized(spark, sf), "prospects"), _registry(spark, sf)
     active = C.active_only(reg)
     results = M.union_stages(p, [
         lambda rest: M.match_by_name_search(rest, active), lambda rest: M.match_by_address(rest, reg),
@@ -497,7 +501,7 @@ def prospect_stream(spark, sf):
     source, out, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
     stamped = T.prospects(spark, sf).withColumn("seen_at", F.timestamp_seconds(F.lit(1700000000)))
     stamped.unionAll(stamped).write.parquet(source)
-    registry = cut(T.registry(spark, sf), "registry")
+    registry = _registry(spark, sf)
 
     def match(batch):
         p = cut(normalize_prospects(batch.drop("seen_at")), "batch")

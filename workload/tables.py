@@ -73,7 +73,7 @@ FROM {{part}}
 FUNDING_SQL = f"""
 SELECT {long_id('p_partkey')} AS siret, idcc, opco_proprietaire, opco_gestion FROM (
   SELECT l_partkey AS p_partkey,
-         lpad(CAST(max(l_suppkey) AS STRING), 4, '0') AS idcc,
+         lpad(CAST(min(l_suppkey) AS STRING), 4, '0') AS idcc,
          CASE WHEN max(l_quantity) > 48 THEN 'OWNER ' || max(l_returnflag) WHEN max(l_quantity) > 46 THEN '' ELSE NULL END AS opco_proprietaire,
          CASE WHEN min(l_quantity) < 2 THEN 'MANAGER ' || min(l_linestatus) ELSE NULL END AS opco_gestion
   FROM {{lineitem}} WHERE l_returnflag = 'R' GROUP BY l_partkey)
