@@ -58,12 +58,19 @@ def with_department(df: DataFrame, postcode: str = "code_postal", corsica: str =
     return df.withColumn("departement", department_of(F.col(postcode), corsica))
 
 
-def clean_search_columns(df: DataFrame) -> DataFrame:
-    """The three search columns; blank, never NULL."""
+def clean_search_columns(df: DataFrame, street_like_prospects: bool = False) -> DataFrame:
+    """The three search columns; blank, never NULL.
+
+    By default the street column has neither the street type nor abbreviations; ``street_like_prospects`` builds it
+    from type and street the way prospect addresses are cleaned, so that both sides look alike.
+    """
+    street = X.search_text(F.col("voie"))
+    if street_like_prospects:
+        street = X.street_clean(F.concat_ws(" ", X.or_blank(F.col("type_voie")), X.or_blank(F.col("voie"))))
     return (
         df.withColumn("denomination_clean", X.search_text(F.col("denomination"), F.col("denomination_usuelle")))
         .withColumn("enseigne_clean", X.search_text(F.col("enseigne"), F.col("enseigne2")))
-        .withColumn("voie_clean", X.search_text(F.col("voie")))
+        .withColumn("voie_clean", street)
     )
 
 

@@ -164,9 +164,12 @@ def match_by_name_search(
     responses: DataFrame | None = None,
     exact_at: float = K.NAME_EXACT_AT,
     probable_at: float = K.NAME_PROBABLE_AT,
+    probable_stops: bool = True,
 ) -> DataFrame:
     """Stages 1 and 2, from stored responses if given, else by searching the registry.
 
+    With ``probable_stops=False`` only exact matches are returned and the rest goes on to the later stages.
+
     Variants are tried in order and the search stops after the one that reaches ``exact_at``; the department step is
     planned only for prospects the postcode step did not settle.
     """
@@ -179,7 +182,7 @@ def match_by_name_search(
         scored = near.unionByName(score_hits(name_search_hits(rest, registry, 2), rest))
     scored = scored.withColumn("position", F.col("step") * 100 + F.col("variant_pos"))
     tried = early_stop(scored, "position", at=exact_at)
-    best = best_candidate(tried, ["position", "result_pos"]).filter(F.col("score") >= probable_at)
+    best = best_candidate(tried, ["position", "result_pos"]).filter(F.col("score") >= (probable_at if probable_stops else exact_at))
     guess = E.guess_funding(F.col("naf"), F.col("p_nom"))
     method = F.when(F.col("score") >= exact_at, K.METHOD_NAME_EXACT).otherwise(K.METHOD_NAME_PROBABLE)
     fields = {c: F.col(c) for c in HIT_FACTS if c in K.RESULT_TEXT_COLUMNS}

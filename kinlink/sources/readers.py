@@ -118,7 +118,10 @@ def with_prospect_id(df: DataFrame) -> DataFrame:
     """
     digest = F.sha2(F.concat_ws("\u0001", *[X.or_blank(F.col(c).cast("string")) for c in df.columns]), 256)
     distinct = df.withColumn("__d", digest).groupBy("__d", *df.columns).agg(F.count(F.lit(1)).alias("__n"))
-    copies = distinct.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    # A row repeated very often is expanded in chunks spread over tasks, not by the one task that counted it.
+    chunk = 100_000
+    chunks = distinct.selectExpr("*", f"explode(sequence(0L, (__n - 1) div {chunk})) AS __c").repartition("__d", "__c")
+    copies = chunks.selectExpr("*", f"explode(sequence(__c * {chunk} + 1, least(__n, (__c + 1) * {chunk}))) AS __i")
     return copies.select(F.concat_ws("-", "__d", "__i").alias("prospect_id"), *df.columns)
 
 
