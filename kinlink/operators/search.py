@@ -116,7 +116,7 @@ def page_plan(count: DataFrame, limit: int | None = None, total: str = "total")
     pages = F.ceil(F.col(total) / F.lit(size)).cast("int")
     planned = count.select(F.col(total).alias("total"), pages.alias("total_pages")).filter(F.col("total") > 0)
     return planned.select(
-        F.explode(F.sequence(F.lit(1), F.col("total_pages"))).alias("page"), "total_pages", "total"
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("total_pages").cast("long"))).alias("page"), "total_pages", "total"
     ).select("page", "total_pages", "total", ((F.col("page") - 1) * size).alias("offset"), F.lit(size).alias("limit"))
 
 

@@ -285,7 +285,8 @@ SCORES_SQL = "SELECT DISTINCT l_orderkey AS prospect_id, l_linenumber AS positio
 ORDER BY score DESC, position, siret) AS rank FROM ({T.duck(SCORES_SQL)})) WHERE rank <= 3""")
 def top_k_per_entity(spark, sf):
     order = [F.desc("score"), F.col("position"), F.col("siret")]
-    return _wide(C.top_k_per_entity(T.run(spark, sf, SCORES_SQL), ["prospect_id"], order, 3))
+    best = C.top_k_per_entity(T.run(spark, sf, SCORES_SQL), ["prospect_id"], order, 3)
+    return best.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""SELECT prospect_id, position, siret, score FROM (SELECT *, row_number() OVER (PARTITION BY prospect_id
