@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,29 +19,57 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Intermediate folders this process made, by application: what ``remove_scratch`` may delete.
+_made: dict[str, list[str]] = {}
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+
+def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """The folder all executors share: ``folder``, else ``spark.checkpoint.dir``, else one in the warehouse.
+
+    Off ``local[...]`` a warehouse on a plain local path is refused: each executor would write to its own disk, and
+    later reads would miss those files without an error.
+    """
+    named = folder or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    fallback = tempfile.mkdtemp(prefix="kinlink-")
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    jvm = spark.sparkContext._jvm
+    warehouse = jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+    system = warehouse.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getScheme() == "file" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder all executors share in spark.checkpoint.dir")
+    path = f"{system.makeQualified(warehouse).toString().rstrip('/')}/_scratch-{spark.sparkContext.applicationId}"
+    system.deleteOnExit(jvm.org.apache.hadoop.fs.Path(path))
+    return path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark, folder)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate folders made so far in this application; returns how many there were.
+
+    Call it once results that were read from them are written: their plans read these files.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for text in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(configuration).delete(path, True)
+    return len(paths)
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the file.
 
     Later readers get a columnar scan with pruning instead of a recomputed plan, and a lost executor costs a re-read.
+    The write runs when this is called, while the plan is being built.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)

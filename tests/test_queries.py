@@ -5,8 +5,9 @@ from compare import compare
 from conftest import SF
 
 import __spark_entry__ as entry
+import workload
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = workload.queries(), workload.oracle_sql()
 
 
 @pytest.mark.parametrize("name", QUERIES)
