@@ -31,3 +31,12 @@ def attach_small(df: DataFrame, small: DataFrame, keys: list[str], limit: int =
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 where it is null."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACES}]+")), F.lit(0)).cast("long")
+
+
+def open_fs(uri: str):
+    """The Arrow file system of a Spark path and the path in it; a task can then write there and read byte ranges."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)

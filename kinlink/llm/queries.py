@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import licences, mixing, quality
+from kinlink.llm import langid, licences, mixing, quality, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def word_vocabulary() -> str:
+    """Path of the public vocabulary the token query names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    return warc.archive_round_trip(table(spark, sf, "pages"))
+
+
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.languages(table(spark, sf, "documents")).drop("text")
+
+
+def op3_token_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document, written to shards and read back."""
+    return tokens.token_rows(table(spark, sf, "documents"), word_vocabulary())
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Base statistics and verdict of every document."""
     return quality.judge_quality(table(spark, sf, "documents"))
@@ -34,6 +56,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_token_ids": op3_token_ids,
     "op5_quality_rules": op5_quality_rules, "op8_licence_scan": op8_licence_scan, "op10_mixing": op10_mixing,
 }
 
