@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import langid, licences, mixing, quality, tokens, warc
+from kinlink.llm import langid, licences, mixing, near, quality, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,11 @@ def op8_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Component of near duplicates of every document, on shingles of four words."""
+    return near.near_duplicates(table(spark, sf, "documents"), n=4)
+
+
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words the mix takes of every document."""
     rows = mixing.mix(table(spark, sf, "documents"))
@@ -57,7 +62,8 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_token_ids": op3_token_ids,
-    "op5_quality_rules": op5_quality_rules, "op8_licence_scan": op8_licence_scan, "op10_mixing": op10_mixing,
+    "op5_quality_rules": op5_quality_rules, "op8_licence_scan": op8_licence_scan, "op9_near_duplicates": op9_near_duplicates,
+    "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {"op8_licence_scan": licences.scan_sql()}
