@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import langid, licences, mixing, near, quality, tokens, warc
+from kinlink.llm import langid, licences, mixing, near, quality, substrings, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,11 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of every document that lie in a string of 200 bytes which occurs again."""
+    return substrings.remove_repeats(table(spark, sf, "documents")).drop("kept_text")
+
+
 def op8_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Licence sentences and licences of every document."""
     return licences.scan_licences(table(spark, sf, "documents"))
@@ -62,7 +67,8 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_token_ids": op3_token_ids,
-    "op5_quality_rules": op5_quality_rules, "op8_licence_scan": op8_licence_scan, "op9_near_duplicates": op9_near_duplicates,
+    "op5_quality_rules": op5_quality_rules, "op6_substrings": op6_substrings,
+    "op8_licence_scan": op8_licence_scan, "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
 }
 
