@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import langid, licences, mixing, near, quality, substrings, tokens, warc
+from kinlink.llm import decontaminate, langid, licences, mixing, near, quality, substrings, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,11 @@ def op3_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_rows(table(spark, sf, "documents"), word_vocabulary())
 
 
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a passage close to a benchmark item."""
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Base statistics and verdict of every document."""
     return quality.judge_quality(table(spark, sf, "documents"))
@@ -67,6 +72,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_token_ids": op3_token_ids,
+    "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules, "op6_substrings": op6_substrings,
     "op8_licence_scan": op8_licence_scan, "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
