@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinlink.llm import decontaminate, langid, licences, mixing, near, quality, substrings, tokens, warc
+import corpus_pipeline
+from kinlink.llm import decontaminate, langid, licences, mixing, near, quality, scoring, substrings, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +53,11 @@ def op6_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf, "documents")).drop("kept_text")
 
 
+def op7_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Bigram stupid-backoff score of every document by all others."""
+    return scoring.lm_scores(table(spark, sf, "documents"))
+
+
 def op8_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Licence sentences and licences of every document."""
     return licences.scan_licences(table(spark, sf, "documents"))
@@ -74,8 +80,9 @@ QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_token_ids": op3_token_ids,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules, "op6_substrings": op6_substrings,
-    "op8_licence_scan": op8_licence_scan, "op9_near_duplicates": op9_near_duplicates,
+    "op7_lm_scores": op7_lm_scores, "op8_licence_scan": op8_licence_scan, "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {"op8_licence_scan": licences.scan_sql()}
