@@ -231,8 +231,8 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
             return pa.RecordBatch.from_pydict({"part": [part], "piece": [piece], "path": [uri], "n_docs": [len(doc_ids)], "n_ids": [held]})
 
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                some = batch.slice(first, 500)
+            for first in range(0, batch.num_rows, 100):
+                some = batch.slice(first, 100)
                 new, sizes = encoder.encode(some.column(1).to_pylist())
                 doc_ids += some.column(0).to_pylist()
                 counts.append(sizes)
