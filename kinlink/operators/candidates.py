@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinlink import constants as K
 from kinlink.functions import similarity as S
 from kinlink.functions.text import or_blank
-from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, jaccard_join
+from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, block_pairs, jaccard_join
 from kinlink.session import cut
 
 
@@ -38,6 +38,24 @@ def _reference_strings(registry: DataFrame, blocks: dict[str, str], texts: list[
     return first.groupBy(*group).agg(F.sort_array(F.collect_list(key)).alias("ids"))
 
 
+def _best_ids(pairs: DataFrame, blocks: list[str], texts: int, key: str, k: int) -> DataFrame:
+    """The k best ids per query string: ``sim``, ``rank`` and ``key``."""
+    # An id shows up once per text, so the first k * texts rows hold the k best ids; the rest is done in place.
+    group = [*blocks, "query_text"]
+    order = [F.desc("sim"), F.col(key)]
+    hits = top_k_per_entity(pairs, group, order, k * texts, "__row")
+    if texts > 1:
+        hits = top_k_per_entity(hits, [*group, key], [F.desc("sim")], 1, "__copy")
+    return top_k_per_entity(hits, group, order, k).select(*group, key, "sim", "rank")
+
+
+def _block_sizes(strings: DataFrame, refs: DataFrame, blocks: list[str], most_pairs: int) -> DataFrame:
+    """One row per block both sides have, with ``small``: are there at most ``most_pairs`` pairs of strings in it?"""
+    n = lambda side, name: side.groupBy(*blocks).agg(F.count("*").alias(name))
+    both = n(strings, "__q").join(n(refs, "__r"), blocks)
+    return both.select(*blocks, (F.col("__q") * F.col("__r") <= most_pairs).alias("small"))
+
+
 def similar_candidates(
     queries: DataFrame,
     registry: DataFrame,
@@ -52,12 +70,16 @@ def similar_candidates(
     threshold: float = K.TRIGRAM_THRESHOLD,
     tokens=S.trigrams,
     score: Column | None = None,
+    most_pairs: int = 1_000_000,
 ) -> DataFrame:
     """The k most similar registry ids per query row, in columns (query_id, key, sim, rank).
 
     Queries and references meet as distinct strings per block. ``query_blocks`` and ``ref_blocks`` map the same block
     names to each side's columns. An id scores by the better of its ``texts``; ties go to the smaller id. ``score``
     replaces the Jaccard similarity as the ranking value and may use ``sim`` and ``shared``, the shared token count.
+
+    A block of at most ``most_pairs`` pairs of distinct strings is compared pair by pair, which is less work than token
+    lists there; larger blocks go through the prefix join, from high similarities down. Both give the same rows.
     """
     blocks = list(query_blocks)
     asked = queries.select(
@@ -66,19 +88,30 @@ def similar_candidates(
     asked = asked.filter(or_blank(F.col("query_text")) != "")
     strings = asked.select(*blocks, "query_text").distinct().withColumn("tokens", tokens(F.col("query_text")))
     refs = _reference_strings(registry, ref_blocks, texts, key, k).withColumn("tokens", tokens(F.col("ref_text")))
-    code = TRIGRAM_CODE if tokens is S.trigrams else TEXT_CODE
-    pairs = jaccard_join(
-        strings, refs, blocks, "query_text", "ref_text", "tokens", threshold, payload=["ids"], code=code
-    )
+    strings, refs = cut(strings, "strings"), cut(refs, "references")
+    sizes = cut(_block_sizes(strings, refs, blocks, most_pairs), "blocks")
     value = (F.col("sim") if score is None else score).alias("sim")
-    hits = pairs.select(*blocks, "query_text", value, F.explode("ids").alias(key))
-    # An id shows up once per text, so the first k * texts rows hold the k best ids; the rest is done in place.
+    hits = lambda pairs: pairs.select(*blocks, "query_text", value, F.explode("ids").alias(key))
+    in_small = lambda side: side.join(sizes.filter("small").select(*blocks), blocks)
+    near = block_pairs(in_small(strings), in_small(refs), blocks, "query_text", "ref_text", "tokens", threshold, ["ids"])
+    best = _best_ids(hits(near), blocks, len(texts), key, k)
+    large = sizes.filter("NOT small").select(*blocks)
+    if not large.isEmpty():
+        code = TRIGRAM_CODE if tokens is S.trigrams else TEXT_CODE
+        left, others = cut(strings.join(large, blocks), "open"), cut(refs.join(large, blocks), "open-references")
+        # A query with k ids at a similarity is done: all others lie below. What is left goes on at the next level. Where
+        # another value ranks, only the lowest level holds all that counts.
+        levels = [t for t in (0.6, 0.4) if t > threshold and score is None] + [threshold]
+        for level in levels:
+            pairs = jaccard_join(left, others, blocks, "query_text", "ref_text", "tokens", level, payload=["ids"], code=code)
+            found = cut(_best_ids(hits(pairs), blocks, len(texts), key, k), "level")
+            full = found.filter(F.col("rank") == k).select(*blocks, "query_text")
+            if level == levels[-1]:
+                best = best.unionByName(found)
+            else:
+                best = best.unionByName(found.join(full, [*blocks, "query_text"], "left_semi"))
+                left = cut(left.join(full, [*blocks, "query_text"], "left_anti"), "open")
     group = [*blocks, "query_text"]
-    order = [F.desc("sim"), F.col(key)]
-    hits = top_k_per_entity(hits, group, order, k * len(texts), "__row")
-    if len(texts) > 1:
-        hits = top_k_per_entity(hits, [*group, key], [F.desc("sim")], 1, "__copy")
-    best = top_k_per_entity(hits, group, order, k).select(*group, key, "sim", "rank")
     return asked.join(best, group).select(*query_id, key, "sim", "rank")
 
 

@@ -83,20 +83,29 @@ def activity_label(df: DataFrame, labels: DataFrame, naf: str = "naf", out: str
     return joined.withColumn(out, X.or_blank(F.col("__label"))).drop("__naf", "__label")
 
 
+def _spread_blanks(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``__key``: the id, or a value no id has where it is blank, different from row to row.
+
+    Most rows can be without id. They match nothing, and as one value they would meet in one task of the join.
+    """
+    blank = F.concat(F.lit("?"), F.xxhash64(*df.columns).cast("string"))
+    return df.withColumn("__key", F.when(X.or_blank(F.col(key)) == "", blank).otherwise(F.col(key)))
+
+
 def attach_funding(df: DataFrame, funding: DataFrame, key: str = "siret") -> DataFrame:
     """Official funding body and agreement by id; they replace the guess only where the body is not blank."""
     official = funding.select(
-        F.col("siret").alias(key),
+        F.col("siret").alias("__key"),
         X.first_nonblank(F.col("opco_proprietaire"), F.col("opco_gestion")).alias("__body"),
         X.first_nonblank(F.col("idcc")).alias("__idcc"),
     )
-    joined = df.join(official, key, "left")
+    joined = _spread_blanks(df, key).join(official, "__key", "left")
     known = F.col("__body").isNotNull()
     return (
         joined.withColumn("opco", F.coalesce("__body", "opco"))
         .withColumn("source_opco", F.when(known, K.SOURCE_OFFICIAL).otherwise(F.col("source_opco")))
         .withColumn("idcc", F.when(known & F.col("__idcc").isNotNull(), F.col("__idcc")).otherwise(F.col("idcc")))
-        .drop("__body", "__idcc")
+        .drop("__body", "__idcc", "__key")
     )
 
 
@@ -150,13 +159,13 @@ def lookup_by_id(
 def reject_inactive(results: DataFrame, registry: DataFrame, key: str = "siret") -> DataFrame:
     """A match whose id is not active in the registry is rejected: blank id, score 0, its own method label."""
     active = registry.filter(F.col("etat_administratif") == "A").select(
-        F.col("siret").alias(key), F.lit(True).alias("__active")
+        F.col("siret").alias("__key"), F.lit(True).alias("__active")
     )
-    joined = results.join(active, key, "left")
+    joined = _spread_blanks(results, key).join(active, "__key", "left")
     gone = (X.or_blank(F.col(key)) != "") & F.col("__active").isNull()
     return (
         joined.withColumn("score", F.when(gone, 0.0).otherwise(F.col("score")))
         .withColumn("methode", F.when(gone, K.METHOD_CLOSED).otherwise(F.col("methode")))
         .withColumn(key, F.when(gone, "").otherwise(F.col(key)))
-        .drop("__active")
+        .drop("__active", "__key")
     )

@@ -94,3 +94,19 @@ def jaccard_join(
     passed = f"explode(filter({shared}, s -> s.first = code AND s.sim >= {threshold}D)) AS s"
     kept = [*blocks, query, ref, *payload]
     return met.selectExpr(*kept, passed).selectExpr(*kept, "s.sim AS sim", "s.shared AS shared")
+
+
+def block_pairs(
+    queries: DataFrame, refs: DataFrame, blocks: list[str], query: str, ref: str, tokens: str, threshold: float,
+    payload: list[str] | None = None,
+) -> DataFrame:
+    """The rows of ``jaccard_join`` by one intersection per pair of a block, for blocks whose pair count is bounded."""
+    payload = payload or []
+    q = queries.selectExpr(*blocks, query, f"{tokens} AS q_tokens", f"size({tokens}) AS q_size")
+    r = refs.selectExpr(*blocks, ref, *payload, f"{tokens} AS r_tokens", f"size({tokens}) AS r_size")
+    met = q.join(r, blocks).filter(f"r_size >= {threshold}D * q_size - 1e-9D AND q_size >= {threshold}D * r_size - 1e-9D")
+    kept = [*blocks, query, ref, *payload]
+    counted = met.selectExpr(*kept, "q_size + r_size AS both", "size(array_intersect(q_tokens, r_tokens)) AS shared")
+    return counted.filter(f"shared > 0 AND shared / (both - shared) >= {threshold}D").selectExpr(
+        *kept, "shared / (both - shared) AS sim", "shared"
+    )

@@ -221,10 +221,10 @@ SELECT lpad(CAST(s_suppkey AS STRING), 9, '0') AS siren, upper(s_name) AS denomi
        CASE WHEN s_acctbal < 3000 THEN '' ELSE 'usual ' || s_name END AS denomination_usuelle FROM {supplier}
 """
 LOCAL_SQL = """
-SELECT CAST(p_partkey AS STRING) AS siret, lpad(CAST(l_suppkey AS STRING), 9, '0') AS siren,
+SELECT CAST(p_partkey AS STRING) AS siret, CASE WHEN p_partkey % 5 = 2 THEN NULL ELSE lpad(CAST(l_suppkey AS STRING), 9, '0') END AS siren,
        CASE WHEN p_type = 'SMALL' THEN '' WHEN p_type = 'LARGE' THEN NULL ELSE p_name END AS denomination,
        CASE WHEN p_size < 20 THEN '' ELSE p_name END AS denomination_usuelle, p_name AS denomination_usuelle_etab
-FROM {part} LEFT JOIN (SELECT l_partkey, max(l_suppkey) AS l_suppkey FROM {lineitem} WHERE l_discount > 0.05 GROUP BY l_partkey) ON p_partkey = l_partkey
+FROM {part} LEFT JOIN (SELECT l_partkey, max(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_partkey) ON p_partkey = l_partkey
 """
 
 

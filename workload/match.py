@@ -108,10 +108,10 @@ def address_points(spark, sf):
 
 TOTAL_SQL = """
 SELECT l.p_partkey AS id_a, r.p_partkey AS id_b, l.p_name AS name_a, r.p_name AS name_b, l.p_type || ' ' || r.p_name AS sign_b,
-       CAST(l.p_size AS STRING) AS cp_a, CAST(r.p_size AS STRING) AS cp_b, l.p_type AS dept_a, r.p_type AS dept_b,
-       CAST(l.p_size AS STRING) AS num_a, CAST(r.p_size AS STRING) AS num_b, l.p_type || ' ' || l.p_name AS street_a,
-       r.p_name || ' ' || r.p_type AS street_b, l.p_size = r.p_size AS sole
-FROM {part} l JOIN {part} r ON l.p_brand = r.p_brand AND l.p_partkey + 25 >= r.p_partkey AND l.p_partkey <= r.p_partkey
+       CAST(l.p_size + CASE l.p_type WHEN 'SMALL' THEN 1 WHEN 'LARGE' THEN 30 ELSE 0 END AS STRING) AS cp_a, CAST(r.p_size AS STRING) AS cp_b, l.p_type AS dept_a, r.p_type AS dept_b,
+       CAST(l.p_size + CASE l.p_type WHEN 'ECONOMY' THEN 1 ELSE 0 END AS STRING) AS num_a, CAST(r.p_size AS STRING) AS num_b, l.p_type || ' ' || l.p_name AS street_a,
+       r.p_name || ' ' || r.p_type AS street_b, l.p_partkey = r.p_partkey AS sole
+FROM {part} l JOIN {part} r ON l.p_brand = r.p_brand AND l.p_size = r.p_size
 """
 
 

@@ -70,13 +70,14 @@ SELECT {long_id('p_partkey')} AS siret,
 FROM {{part}}
 """
 
+# Every line counts; some parts' rows carry an id the registry does not have, so the relation is sparse.
 FUNDING_SQL = f"""
-SELECT {long_id('p_partkey')} AS siret, idcc, opco_proprietaire, opco_gestion FROM (
+SELECT {long_id('CASE WHEN p_partkey % 7 = 3 THEN p_partkey + 500000000 ELSE p_partkey END')} AS siret, idcc, opco_proprietaire, opco_gestion FROM (
   SELECT l_partkey AS p_partkey,
          lpad(CAST(min(l_suppkey) AS STRING), 4, '0') AS idcc,
          CASE WHEN max(l_quantity) > 48 THEN 'OWNER ' || max(l_returnflag) WHEN max(l_quantity) > 46 THEN '' ELSE NULL END AS opco_proprietaire,
          CASE WHEN min(l_quantity) < 2 THEN 'MANAGER ' || min(l_linestatus) ELSE NULL END AS opco_gestion
-  FROM {{lineitem}} WHERE l_returnflag = 'R' GROUP BY l_partkey)
+  FROM {{lineitem}} GROUP BY l_partkey)
 """
 
 AGREEMENTS_SQL = """
