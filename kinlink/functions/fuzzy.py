@@ -125,3 +125,9 @@ def fuzzy_measures(left: pd.Series, right: pd.Series) -> pd.DataFrame:
         for a, b in zip(left, right, strict=True)
     ]
     return pd.DataFrame(rows, columns=[f.name for f in MEASURES.fields])
+
+
+@F.pandas_udf(T.DoubleType())
+def sorted_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """The word-order-free ratio alone."""
+    return pd.Series([token_sort_ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")

@@ -12,12 +12,18 @@ from kinlink.functions import text as X
 HIDDEN = (
     r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<!--.*?-->"
 )
-ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# Every way to write a space as an entity; one between digit groups would hide an identifier.
+SPACES = (
+    r"(?i)&(?:nbsp|ensp|emsp|emsp13|emsp14|thinsp|numsp|puncsp|hairsp|tab|newline|zerowidthspace|#0*(?:9|10|13|32|160|819[2-9]|820[0-3]|8239|8287|12288)"
+    r"|#x0*(?:9|a|d|20|a0|200[0-9ab]|202f|205f|3000))(?:;|(?![0-9A-Za-z]))"
+)
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 
 
 def visible_text(html: Column) -> Column:
-    """Text of a page: hidden elements, comments and tags become spaces, common entities are decoded."""
+    """Text of a page: hidden elements, comments and tags become spaces, spaces and common entities are decoded."""
     c = F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), r"<[^>]*>", " ")
+    c = F.regexp_replace(c, SPACES, " ")
     for entity, char in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c

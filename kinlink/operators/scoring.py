@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions import similarity as S
 from kinlink.functions import text as X
-from kinlink.functions.fuzzy import fuzzy_measures
+from kinlink.functions.fuzzy import fuzzy_measures, sorted_ratio
 
 
 def pair_measures(pairs: DataFrame, a: str, b: str, words: X.WordLists = X.WordLists()) -> DataFrame:
@@ -60,9 +60,8 @@ def street_ratio(
     ``source`` is where the pairs are read from, when a written copy of ``df`` is at hand.
     """
     filled = (df if source is None else source).filter((X.or_blank(F.col(a)) != "") & (X.or_blank(F.col(b)) != "")).select(a, b).distinct()
-    measured = filled.select(
-        a, b, fuzzy_measures(S.compare_form(F.col(a)), S.compare_form(F.col(b)))["token_sort"].alias(out)
-    )
+    formed = filled.select(a, b, S.compare_form(F.col(a)).alias("__a"), S.compare_form(F.col(b)).alias("__b"))
+    measured = formed.select(a, b, sorted_ratio("__a", "__b").alias(out))
     return df.join(measured, [a, b], "left")
 
 

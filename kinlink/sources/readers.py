@@ -44,9 +44,13 @@ NAME_SEARCH_SCHEMA = T.StructType(
 )
 
 
-def _read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, all columns text, blanks instead of NULL left to the caller."""
-    return spark.read.options(**CSV).option("inferSchema", False).csv(path)
+def _read_text_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header, all columns text, blanks instead of NULL left to the caller.
+
+    With ``multi_line`` quoted values may hold line breaks; a file is then read by one task, so leave it off for the
+    registry's large files.
+    """
+    return spark.read.options(**CSV).option("inferSchema", False).option("multiLine", multi_line).csv(path)
 
 
 def _project(df: DataFrame, headers: dict[str, str]) -> list:
@@ -107,8 +111,8 @@ def prospects_from(raw: DataFrame, headers: dict[str, list[str]] | None = None)
     return raw.select(*[c.alias(f) for f, c in cols.items()]).filter(F.col("nom") != "")
 
 
-def read_prospects(spark: SparkSession, path: str) -> DataFrame:
-    return prospects_from(_read_text_csv(spark, path))
+def read_prospects(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return prospects_from(_read_text_csv(spark, path, multi_line))
 
 
 def with_prospect_id(df: DataFrame) -> DataFrame:

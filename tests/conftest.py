@@ -1,6 +1,8 @@
 import pytest
 from compare import connect, session
 
+from kinlink.session import remove_scratch
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -8,6 +10,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     spark = session()
     yield spark
+    remove_scratch(spark)
     spark.stop()
 
 
