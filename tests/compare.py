@@ -68,7 +68,7 @@ def compare(spark, con, sf: str, run, sql: str | None) -> tuple[bool, str]:
     t1 = time.time()
     note = f"{sum(rows.values())} rows, spark {t1 - t0:.1f}s"
     if sql is None:
-        return bool(rows), note + ", no sql"
+        return False, note + ", no sql"
     rel = con.execute(sql)
     names = [d[0] for d in rel.description]
     types = {d[0]: str(d[1]) for d in rel.description}

@@ -1,7 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import pytest
-from compare import compare
+from compare import compare, connect
 from conftest import SF
 
 import __spark_entry__ as entry
@@ -13,12 +13,15 @@ QUERIES, SQL = workload.queries(), workload.oracle_sql()
 @pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, duck, name):
     ok, note = compare(spark, duck, SF, QUERIES[name], SQL.get(name))
-    # A filter may keep nothing on the smallest tables; its rows are checked on larger ones.
-    assert ok or note.endswith(": empty"), note
+    if note.endswith(": empty"):
+        # A filter may keep nothing on the smallest tables; larger ones then have to show rows.
+        larger = SF.replace("0.001", "0.01")
+        ok, note = compare(spark, connect(larger), larger, QUERIES[name], SQL.get(name))
+    assert ok, note
 
 
-def test_every_check_has_a_query():
-    assert not SQL.keys() - QUERIES.keys()
+def test_queries_and_checks_belong_together():
+    assert SQL.keys() == QUERIES.keys()
 
 
 def test_entry(spark):

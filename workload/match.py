@@ -16,7 +16,6 @@ from kinlink.sources import readers, sinks
 from kinlink.streaming.match_stream import distinct_prospects, match_stream
 from workload import duck as D
 from workload import tables as T
-from workload.build import _responses
 from workload.text import SQL as TEXT_SQL
 
 QUERIES, SQL = {}, {}
@@ -425,11 +424,68 @@ def method_score_trigram(spark, sf):
     return M.score_trigram_candidates(found, p, active).select("prospect_id", "siret", "candidates", "score")
 
 
-@query()
+# Stored responses: the parts of a prospect's brand and size, dealt over both steps and three variants. Some companies are
+# closed, some establishments are closed or elsewhere, some companies have only a head office.
+STORED_SQL = f"""
+SELECT *, row_number() OVER (PARTITION BY prospect_id, step, variant_pos ORDER BY place_no) AS result_pos FROM (
+  SELECT 'P' || CAST(asked AS STRING) AS prospect_id, CASE WHEN p_partkey % 4 = 0 THEN 2 ELSE 1 END AS step, 1 + p_partkey % 3 AS variant_pos,
+         CASE WHEN p_partkey % 3 = 0 THEN upper(asked_name) ELSE upper(asked_name) || ' SERVICES' END AS variant, p_partkey AS place_no,
+         lpad(CAST(p_partkey AS STRING), 9, '0') AS siren,
+         CASE WHEN p_partkey % 6 = 0 THEN p_type || ' ' || p_name WHEN p_partkey % 6 = 1 THEN 'Holding ' || p_brand ELSE p_name END AS nom_complet,
+         CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE NULL END AS sigle,
+         CASE WHEN p_partkey % 11 = 0 THEN 'C' WHEN p_partkey % 7 = 0 THEN NULL ELSE 'A' END AS company_state,
+         {T.long_id('p_partkey')} AS head_siret, CASE WHEN p_partkey % 8 = 0 THEN '75001' ELSE {T.POSTCODE} END AS head_cp,
+         CAST(p_size AS STRING) || ' rue ' || p_type || ' ' || p_name AS head_address,
+         CASE WHEN p_partkey % 5 = 0 THEN '' ELSE {T.long_id('p_partkey + 300000000')} END AS first_siret,
+         CASE WHEN p_partkey % 3 = 0 THEN '99000' ELSE {T.POSTCODE} END AS first_cp,
+         CASE WHEN p_partkey % 5 = 1 THEN 'F' WHEN p_partkey % 5 = 2 THEN NULL ELSE 'A' END AS first_state,
+         'rue de la ' || p_type || ' ' || p_name AS first_address,
+         {T.long_id('p_partkey + 600000000')} AS second_siret, {T.POSTCODE} AS second_cp, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'F' END AS second_state,
+         CAST(p_size AS STRING) || ' avenue ' || p_name AS second_address, p_partkey % 9 = 4 AS alone, p_type AS last_name
+  FROM (SELECT p_partkey AS asked, p_name AS asked_name, p_brand AS asked_brand, p_size AS asked_size FROM {{part}}) JOIN {{part}} ON p_brand = asked_brand AND p_size = asked_size)
+"""
+
+
+def _stored_responses(spark, sf):
+    place = lambda k: F.struct(
+        F.col(f"{k}_siret").alias("siret"), F.col(f"{k}_cp").alias("code_postal"), F.col(f"{k}_address").alias("adresse"),
+        (F.lit("A") if k == "head" else F.col(f"{k}_state")).alias("etat_administratif"),
+    )
+    company = F.struct(
+        "siren", "nom_complet", "sigle", F.col("company_state").alias("etat_administratif"), place("head").alias("siege"),
+        F.when(~F.col("alone"), F.array(place("first"), place("second"))).alias("matching_etablissements"),
+        F.array(F.struct(F.lit("Ann").alias("prenoms"), F.col("last_name").alias("nom"))).alias("dirigeants"),
+    )
+    rows = T.run(spark, sf, STORED_SQL).withColumn("company", company)
+    grouped = rows.groupBy("prospect_id", "step", "variant_pos", "variant").agg(F.sort_array(F.collect_list(F.struct("result_pos", "company"))).alias("found"))
+    return grouped.select("prospect_id", "step", "variant_pos", "variant", F.to_json(F.struct(F.col("found.company").alias("results"))).alias("response"))
+
+
+def _stored_sql() -> str:
+    here = lambda k: f"(NOT alone AND {k}_cp = s.code_postal AND coalesce({k}_state, 'A') = 'A')"
+    pick = lambda f: f"CASE WHEN {here('first')} THEN first_{f} WHEN {here('second')} THEN second_{f} ELSE head_{f} END"
+    return f"""
+w_rows AS MATERIALIZED (SELECT r.prospect_id, step, variant_pos AS pos, result_pos AS rank, variant AS text, s.vs, s.adresse_numero, s.adresse_voie_clean, s.code_postal,
+  {pick('cp')} AS r_cp, nom_complet || ' ' || coalesce(sigle, '') AS full_name, coalesce(nullif({pick('siret')}, ''), head_siret) AS siret,
+  {D.upper_fold(pick('address'))} AS address, coalesce(company_state, 'A') <> 'A' AS closed FROM ({T.duck(STORED_SQL)}) r JOIN p s USING (prospect_id)),
+w_known AS MATERIALIZED (SELECT *, adresse_numero <> '' AS known, {D.street_clean('address')} AS street, regexp_extract(address, '^(\\d+)', 1) AS number FROM w_rows),
+w_refs AS MATERIALIZED (SELECT prospect_id, step, pos, rank, unnest([text] || vs[1:3]) AS a, full_name AS b FROM w_rows),
+w_m AS MATERIALIZED ({D.measures('w_refs')}),
+{_ratio_cte('w_st', '(SELECT * FROM w_known WHERE known)', 'adresse_voie_clean', 'street')},
+w_name AS (SELECT prospect_id, step, pos, rank, max(blend) AS blend FROM w_refs JOIN w_m USING (a, b) GROUP BY ALL),
+w_all AS MATERIALIZED (SELECT x.prospect_id, x.step * 100 + x.pos AS position, x.rank, siret, CASE WHEN closed THEN 0 ELSE ({D.bucket('coalesce(blend, 0)')}) + {D.geo('code_postal', 'r_cp')}
+  + CASE WHEN known THEN {D.street_points('adresse_numero', 'number', 'r')} ELSE 0 END END::DOUBLE AS score
+  FROM w_known x LEFT JOIN w_name USING (prospect_id, step, pos, rank) LEFT JOIN w_st ON w_st.a = adresse_voie_clean AND w_st.b = street),
+w_tried AS (SELECT * FROM w_all x WHERE NOT EXISTS (SELECT 1 FROM w_all e WHERE e.prospect_id = x.prospect_id AND e.position < x.position AND e.score >= 65)),
+w_best AS MATERIALIZED (SELECT prospect_id, siret, score, CASE WHEN score >= 65 THEN 'API_RECHERCHE_EXACT' ELSE 'API_RECHERCHE_PROBABLE' END AS methode FROM (
+  SELECT *, row_number() OVER (PARTITION BY prospect_id ORDER BY score DESC, position, rank) AS first FROM w_tried WHERE score > 0) WHERE first = 1 AND score >= 40)"""
+
+
+@query(f"WITH {BASE}, {_stored_sql()} SELECT * FROM w_best")
 def match_stored_responses(spark, sf):
     """Stages 1 and 2 from stored responses instead of a registry search."""
     p = cut(_normalized(spark, sf), "prospects")
-    return _shown(M.match_by_name_search(p, responses=readers.parse_name_search(_responses(spark, sf))))
+    return _shown(M.match_by_name_search(p, responses=readers.parse_name_search(_stored_responses(spark, sf))))
 
 
 # --- the cascade ---------------------------------------------------------------------------------------------------
