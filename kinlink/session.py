@@ -29,15 +29,17 @@ def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
     Off ``local[...]`` a warehouse on a plain local path is refused: each executor would write to its own disk, and
     later reads would miss those files without an error.
     """
+    jvm, configuration = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     named = folder or spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        # A path without scheme means the default file system, also for readers and writers outside the JVM.
+        plain = jvm.org.apache.hadoop.fs.FileSystem.get(configuration) if ":" not in named else None
+        return (plain.makeQualified(jvm.org.apache.hadoop.fs.Path(named)).toString() if plain else named).rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    jvm = spark.sparkContext._jvm
     warehouse = jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
-    system = warehouse.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system = warehouse.getFileSystem(configuration)
     if system.getScheme() == "file" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("name a folder all executors share in spark.checkpoint.dir")
     path = f"{system.makeQualified(warehouse).toString().rstrip('/')}/_scratch-{spark.sparkContext.applicationId}"

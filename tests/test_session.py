@@ -31,6 +31,7 @@ class Session:
 def test_named_folders_come_first(spark):
     named = Session(spark, {"spark.checkpoint.dir": "hdfs://a/b/"}, "spark://x")
     assert shared_dir(named, "s3a://c/d/") == "s3a://c/d" and shared_dir(named) == "hdfs://a/b"
+    assert shared_dir(named, "/plain/path") == "file:/plain/path"
 
 
 def test_warehouse_serves_local_mode_only(spark, tmp_path):
