@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinlink import constants as K
 from kinlink.functions import similarity as S
 from kinlink.functions.text import or_blank
-from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, block_pairs, jaccard_join
+from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, block_pairs, jaccard_join, word_pairs
 from kinlink.session import cut
 
 
@@ -71,15 +71,18 @@ def similar_candidates(
     tokens=S.trigrams,
     score: Column | None = None,
     most_pairs: int = 1_000_000,
+    short: int = 1000,
 ) -> DataFrame:
     """The k most similar registry ids per query row, in columns (query_id, key, sim, rank).
 
     Queries and references meet as distinct strings per block. ``query_blocks`` and ``ref_blocks`` map the same block
     names to each side's columns. An id scores by the better of its ``texts``; ties go to the smaller id. ``score``
-    replaces the Jaccard similarity as the ranking value and may use ``sim`` and ``shared``, the shared token count.
+    replaces the Jaccard similarity as the ranking value; it has to rank by ``shared``, the shared token count, and then by
+    ``sim``, and needs a threshold that any shared token passes.
 
     A block of at most ``most_pairs`` pairs of distinct strings is compared pair by pair, which is less work than token
-    lists there; larger blocks go through the prefix join, from high similarities down. Both give the same rows.
+    lists there; larger blocks go through the prefix join, from high similarities down, or with ``score`` through word lists of at most
+    ``short`` references. All give the same rows.
     """
     blocks = list(query_blocks)
     asked = queries.select(
@@ -99,9 +102,13 @@ def similar_candidates(
     if not large.isEmpty():
         code = TRIGRAM_CODE if tokens is S.trigrams else TEXT_CODE
         left, others = cut(strings.join(large, blocks), "open"), cut(refs.join(large, blocks), "open-references")
-        # A query with k ids at a similarity is done: all others lie below. What is left goes on at the next level. Where
-        # another value ranks, only the lowest level holds all that counts.
-        levels = [t for t in (0.6, 0.4) if t > threshold and score is None] + [threshold]
+        if score is not None:
+            pairs = word_pairs(left, others, blocks, "query_text", "ref_text", "tokens", ["ids"], "ids[0]", k * len(texts), short)
+            best = best.unionByName(_best_ids(hits(pairs), blocks, len(texts), key, k))
+            levels = []
+        else:
+            levels = [t for t in (0.6, 0.4) if t > threshold] + [threshold]
+        # A query with k ids at a similarity is done: all others lie below. What is left goes on at the next level.
         for level in levels:
             pairs = jaccard_join(left, others, blocks, "query_text", "ref_text", "tokens", level, payload=["ids"], code=code)
             found = cut(_best_ids(hits(pairs), blocks, len(texts), key, k), "level")
@@ -126,11 +133,13 @@ def name_candidates(
     key: str = "siret",
     k: int = 10,
     threshold: float = K.TRIGRAM_THRESHOLD,
+    **options,
 ) -> DataFrame:
     """Fuzzy name search in one block, postcode by default, on either of two name columns."""
     return similar_candidates(
         variants, registry, query_id=list(query_id), query=query, query_blocks={"block": by[0]},
         texts=list(texts), ref_blocks={"block": by[1]}, key=key, k=k, threshold=threshold,
+        **options,
     )
 
 
@@ -223,12 +232,13 @@ def name_search(
     texts: tuple[str, ...] = ("denomination_clean", "enseigne_clean"),
     key: str = "siret",
     k: int = 5,
+    **options,
 ) -> DataFrame:
     """Search by whole words in one block: ids that share a word, ranked by shared words, word-set similarity, id."""
     return similar_candidates(
         variants, registry, query_id=list(query_id), query=query, query_blocks={"block": by[0]}, texts=list(texts),
         ref_blocks={"block": by[1]}, key=key, k=k, threshold=1e-6, tokens=S.words_of,
-        score=F.col("shared") + F.col("sim"),
+        score=F.col("shared") + F.col("sim"), **options,
     )
 
 

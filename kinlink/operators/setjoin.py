@@ -8,7 +8,7 @@ with itself. What is left of a hot token is cut into a grid of salted cells whos
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Token counts are kept per hash bucket, so the broadcast table has at most this many rows whatever the data.
@@ -96,6 +96,47 @@ def jaccard_join(
     return met.selectExpr(*kept, passed).selectExpr(*kept, "s.sim AS sim", "s.shared AS shared")
 
 
+def word_pairs(
+    queries: DataFrame, refs: DataFrame, blocks: list[str], query: str, ref: str, tokens: str, payload: list[str], order: str,
+    rows: int, short: int = 1000,
+) -> DataFrame:
+    """The rows of ``jaccard_join`` at any similarity that can be among a query's ``rows`` best by (shared, sim, order).
+
+    A word that at most ``short`` references of a block hold brings all of them. A reference that shares frequent words only
+    shares some set of them with the query: among the references that hold the set, the first ``rows`` by (size, order) rank
+    before all later ones, as they share at least as much and are no longer. So each set of frequent words a query really has
+    needs that many references, and no list grows with the frequency of a word.
+    """
+    held = refs.selectExpr(*blocks, ref, f"explode({tokens}) AS word")
+    asked = queries.selectExpr(*blocks, query, f"explode({tokens}) AS word")
+    lengths = held.groupBy(*blocks, "word").agg(F.count("*").alias("__n"))
+    lengths = lengths.join(asked.select(*blocks, "word").distinct(), [*blocks, "word"], "left_semi")
+    rare = lengths.filter(F.col("__n") <= short).select(*blocks, "word")
+    frequent = lengths.filter(F.col("__n") > short).select(*blocks, "word")
+    by_rare = asked.join(rare, [*blocks, "word"]).join(held, [*blocks, "word"]).select(*blocks, query, ref)
+
+    def word_sets(words: DataFrame, text: str) -> DataFrame:
+        """Every set of frequent words of a text, as sorted words."""
+        own = words.join(frequent, [*blocks, "word"]).groupBy(*blocks, text).agg(F.sort_array(F.collect_list("word")).alias("__words"))
+        grown = "aggregate(__words, array(CAST(array() AS ARRAY<STRING>)), (sets, w) -> concat(sets, transform(sets, s -> array_append(s, w))))"
+        sets = own.selectExpr(*blocks, text, f"explode({grown}) AS __set").filter("size(__set) > 0")
+        return sets.selectExpr(*blocks, text, "array_join(__set, ' ') AS __set")
+
+    q_sets = word_sets(asked, query)
+    r_sets = word_sets(held, ref).join(q_sets.select(*blocks, "__set").distinct(), [*blocks, "__set"], "left_semi")
+    ranked = r_sets.join(refs.selectExpr(*blocks, ref, f"size({tokens}) AS __size", f"{order} AS __order"), [*blocks, ref])
+    first = Window.partitionBy(*blocks, "__set").orderBy("__size", "__order")
+    best = ranked.withColumn("__row", F.row_number().over(first)).filter(F.col("__row") <= rows)
+    by_set = q_sets.join(best.select(*blocks, "__set", ref), [*blocks, "__set"]).select(*blocks, query, ref)
+    pairs = by_rare.unionByName(by_set).distinct()
+    q = queries.selectExpr(*blocks, query, f"{tokens} AS q_tokens")
+    r = refs.selectExpr(*blocks, ref, *payload, f"{tokens} AS r_tokens")
+    both = pairs.join(q, [*blocks, query]).join(r, [*blocks, ref])
+    kept = [*blocks, query, ref, *payload]
+    counted = both.selectExpr(*kept, "size(q_tokens) + size(r_tokens) AS both", "size(array_intersect(q_tokens, r_tokens)) AS shared")
+    return counted.selectExpr(*kept, "shared / (both - shared) AS sim", "shared")
+
+
 def block_pairs(
     queries: DataFrame, refs: DataFrame, blocks: list[str], query: str, ref: str, tokens: str, threshold: float,
     payload: list[str] | None = None,

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinlink.functions import similarity as S
-from kinlink.operators.candidates import name_candidates
-from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, jaccard_join
+from kinlink.operators.candidates import name_candidates, name_search
+from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, block_pairs, jaccard_join
 
 
 def grams(s):
@@ -43,12 +43,42 @@ def test_join_equals_brute_force(spark, threshold, rows_per_cell, code):
     assert {(g.block, g.q, g.r): pytest.approx(g.sim) for g in got} == want
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("threshold", [0.2, 0.6])
+def test_block_pairs_equal_the_prefix_join(spark, threshold):
+    left, right = ({(b, t) for _, b, t in skewed(80, seed)} for seed in (5, 6))
+    q = spark.createDataFrame(sorted(left), "block string, q string").withColumn("tokens", S.trigrams(F.col("q")))
+    r = spark.createDataFrame(sorted(right), "block string, r string").withColumn("tokens", S.trigrams(F.col("r")))
+    one, two = (sorted(tuple(x) for x in f(q, r, ["block"], "q", "r", "tokens", threshold).collect()) for f in (jaccard_join, block_pairs))
+    assert one == two and one
+
+
+@pytest.mark.parametrize("short", [1, 20, 1000])
+@pytest.mark.parametrize("most_pairs", [0, 1_000_000])
+def test_word_search_equals_brute_force(spark, most_pairs, short):
+    """GARAGE is in nearly every name, AUTO in a third: word lists cannot bring all of their rows."""
+    prospects, registry = skewed(120, 7), [(*row, "AUTO RELAIS" if i % 3 else "") for i, row in enumerate(skewed(200, 8))]
+    q = spark.createDataFrame([(p, 1, t, b) for p, b, t in prospects], "prospect_id string, variant_pos int, variant string, code_postal string")
+    r = spark.createDataFrame(registry, "siret string, code_postal string, denomination_clean string, enseigne_clean string")
+    got = {}
+    for row in name_search(q, r, k=5, most_pairs=most_pairs, short=short).collect():
+        got.setdefault(row.prospect_id, []).append((row["rank"], row.siret))
+
+    def value(a, b):
+        x, y = set(a.lower().split()), set(b.lower().split())
+        return len(x & y) + len(x & y) / len(x | y) if x & y else 0
+
+    for pid, block, text in prospects:
+        scored = [(-max(value(text, d), value(text, e)), s) for s, b, d, e in registry if b == block]
+        assert [s for _, s in sorted(got.get(pid, []))] == [s for x, s in sorted(scored) if x < 0][:5]
+
+
+@pytest.mark.parametrize("most_pairs", [0, 200, 1_000_000])
+def test_top_k_equals_brute_force(spark, most_pairs):
     prospects, registry = skewed(150, 3), [(*row, "AUTO RELAIS" if i % 3 else "") for i, row in enumerate(skewed(200, 4))]
     q = spark.createDataFrame([(p, 1, t, b) for p, b, t in prospects], "prospect_id string, variant_pos int, variant string, code_postal string")
     r = spark.createDataFrame(registry, "siret string, code_postal string, denomination_clean string, enseigne_clean string")
     got = {}
-    for row in name_candidates(q, r, k=4).collect():
+    for row in name_candidates(q, r, k=4, most_pairs=most_pairs).collect():
         got.setdefault(row.prospect_id, []).append((row["rank"], row.siret))
     for pid, block, text in prospects:
         scored = [(-max(jac(text, d), jac(text, e)), s) for s, b, d, e in registry if b == block]
