@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,36 +239,108 @@ def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, percen
     rows = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
-        key, low, high = np.int64(rows.key[0]), int(rows.low[0]), int(rows.high[0])
-        sets, sizes, own = unsigned([list(s) for s in rows.sketch]), rows.n_shingles.to_numpy(), rows.own.to_numpy()
-        label = rows.label.map(bytes).astype("category").cat.codes.to_numpy()
-        # Common values of the sketches of one member and all later ones, by one sorted table of (value, member).
-        value = np.concatenate(sets)
-        member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(value, kind="stable")
-        value, member = value[order], member[order]
-        found = []
-        for i in range(len(sets)):
-            left, right = np.searchsorted(value, sets[i]), np.searchsorted(value, sets[i], "right")
-            at = np.repeat(left - np.cumsum(right - left) + (right - left), right - left) + np.arange((right - left).sum())
-            common = np.bincount(member[at], minlength=len(sets))
-            # The k smallest of a linked pair's union have most values in common; those lie in both sketches.
-            least = (percent / 100 - SLACK) * np.minimum(K, np.minimum(sizes, sizes[i]))
-            close = (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & (common >= least) & (label != label[i])
-            close[: i + 1] = False
-            if low != high:
-                close &= own != own[i]
-            for j in np.flatnonzero(close):
-                if may_link(int(sizes[i]), int(sizes[j]), sets[i], sets[j], percent):
-                    shared = np.intersect1d(list_keys(int(sizes[i]), sets[i], percent), list_keys(int(sizes[j]), sets[j], percent))
-                    if len(shared) and shared[0].view(np.int64) == key:
-                        found.append((rows.node[i], rows.node[j]))
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    few = rows.select("key", "low", "high", "own", "node", "label", "n_shingles", "sketch").groupBy("key", "low", "high")
-    return cut(few.applyInPandas(compare, "a binary, b binary").distinct(), "near-open-pairs")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) >= 20_000:
+                rows = pa.concat_tables(held).combine_chunks()
+                # The last block pair may go on in the next batch.
+                last = group_starts(rows)[-1]
+                if last:
+                    yield from block_pairs(rows.slice(0, last), percent)
+                held = [rows.slice(last)]
+        if held:
+            yield from block_pairs(pa.concat_tables(held).combine_chunks(), percent)
+
+    columns = "key", "low", "high", "own", "node", "label", "n_shingles", "sketch"
+    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node").select(*columns)
+    return cut(rows.mapInArrow(compare, "a binary, b binary").distinct(), "near-open-pairs")
+
+
+def group_starts(rows: pa.Table) -> np.ndarray:
+    """First rows of the block pairs of sorted rows."""
+    change = np.zeros(rows.num_rows, bool)
+    change[0] = True
+    for name in ("key", "low", "high"):
+        values = rows.column(name).to_numpy()
+        change[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(change)
+
+
+def key_table(table: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """``list_keys`` of every row of a table of sketches, with fillings that are never equal between rows."""
+    longest = min(K, max(0, SMALL - -(-percent * SMALL // 100)) + 2)
+    prefix = np.where(sizes < SMALL, np.minimum(K, sizes - -(-percent * sizes // 100) + 1), 0)[:, None] > np.arange(longest)
+    chain = (sizes >= LARGE)[:, None] & np.ones(RETAINED - 1, bool)
+    keys = np.concatenate([mixed(table[:, :longest] ^ MIX), mixed(table[:, : RETAINED - 1] * MULTIPLIER + table[:, 1:RETAINED])], 1)
+    filling = np.arange(keys.size, dtype=np.uint64).reshape(keys.shape) + np.uint64(2**63)
+    return np.where(np.concatenate([prefix, chain], 1), keys, filling)
+
+
+def block_pairs(rows: pa.Table, percent: int, small: int = 64) -> Iterator[pa.RecordBatch]:
+    """Pairs of complete block pairs that may be linked and meet in this list first."""
+    starts = group_starts(rows)
+    stops = np.append(starts[1:], rows.num_rows)
+    key, low, high, own, sizes = (rows.column(n).to_numpy() for n in ("key", "low", "high", "own", "n_shingles"))
+    label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    lists = rows.column("sketch").combine_chunks()
+    values, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
+    sets = np.split(values, ends[:-1])
+    # Sketches as rows of K; the filling differs from row to row, so it is never common.
+    table = (np.arange(rows.num_rows, dtype=np.uint64) * np.uint64(K))[:, None] + np.arange(K, dtype=np.uint64) + np.uint64(2**63)
+    table[np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy()), np.arange(len(values)) - np.repeat(ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0))] = values
+    keys = key_table(table, sizes, percent)
+    found: list[tuple[int, int]] = []
+
+    def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Do labels, blocks and sizes allow the pairs?"""
+        good = (label[i] != label[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
+        return good & ((low[i] == high[i]) | (own[i] != own[j]))
+
+    def keep(i: np.ndarray, j: np.ndarray, common: np.ndarray) -> None:
+        """Keep the pairs whose common values, first list and estimate allow it."""
+        # The K smallest of a linked pair's union have most values in common; those lie in both sketches.
+        close = common >= (percent / 100 - SLACK) * np.minimum(K, np.minimum(sizes[i], sizes[j]))
+        i, j = i[close], j[close]
+        for some in range(0, len(i), 2000):
+            x, y = i[some : some + 2000], j[some : some + 2000]
+            shared = (keys[x][:, :, None] == keys[y][:, None, :]).any(2)
+            here = np.where(shared, keys[x], np.uint64(2**64 - 1)).min(1).view(np.int64) == key[x]
+            for a, b in zip(x[here].tolist(), y[here].tolist(), strict=True):
+                if may_link(int(sizes[a]), int(sizes[b]), sets[a], sets[b], percent):
+                    found.append((a, b))
+
+    for n in np.unique(stops - starts):
+        first = starts[stops - starts == n]
+        if n <= small:
+            i, j = np.triu_indices(n, 1)
+            i, j = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+            good = allowed(i, j)
+            i, j = i[good], j[good]
+            for some in range(0, len(i), 2000):
+                x, y = i[some : some + 2000], j[some : some + 2000]
+                keep(x, y, (table[x][:, :, None] == table[y][:, None, :]).sum((1, 2)))
+            continue
+        for start in first:
+            # One sorted table of (value, member): a member meets only those it has values in common with.
+            members = np.arange(start, start + n)
+            held = np.concatenate(sets[start : start + n])
+            owner = np.repeat(np.arange(n), [len(s) for s in sets[start : start + n]])
+            order = np.argsort(held, kind="stable")
+            held, owner = held[order], owner[order]
+            for k in range(n - 1):
+                left, right = np.searchsorted(held, sets[start + k]), np.searchsorted(held, sets[start + k], "right")
+                times = right - left
+                at = np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())
+                common = np.bincount(owner[at], minlength=n)
+                later = members[k + 1 :][common[k + 1 :] >= (percent / 100 - SLACK) * min(K, int(sizes[start + k]) * percent // 100)]
+                mine = np.full(len(later), start + k)
+                good = allowed(mine, later)
+                keep(mine[good], later[good], common[later[good] - start])
+    nodes = rows.column("node").combine_chunks()
+    columns = [nodes.take(pa.array([f[k] for f in found], pa.int64())) for k in range(2)]
+    yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
