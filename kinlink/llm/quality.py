@@ -150,7 +150,7 @@ def covariance_estimates(stats: DataFrame, keep: float = 0.75, steps: int = 3) -
 def judge_quality(docs: DataFrame, cutoff: float | None = None, least_group: int = 20) -> DataFrame:
     """``doc_id, n_words``, the base statistics, ``base_failed``, ``distance2`` and ``kept`` for every row.
 
-    ``kept`` is false if the base rules fail or the transformed statistics lie beyond ``cutoff`` (default: four times the
+    ``kept`` is false if the base rules fail or the transformed statistics lie beyond ``cutoff`` (default: twice the
     point a normal cloud exceeds once in 100,000) from the estimate of the document's language and source. Documents that
     fail the base rules take no part in estimates. Groups with fewer than ``least_group`` others reject nothing.
 
@@ -162,7 +162,7 @@ def judge_quality(docs: DataFrame, cutoff: float | None = None, least_group: int
     stats = cut(text_statistics(docs).withColumn("base_failed", failed), "quality-statistics")
     placed = stats.withColumns(transformed())
     found = covariance_estimates(placed.where(~F.col("base_failed")))
-    most = cutoff if cutoff is not None else 4 * chi_square_point(1 - 1e-5, len(NAMES))
+    most = cutoff if cutoff is not None else 2 * chi_square_point(1 - 1e-5, len(NAMES))
     judged = attach_small(placed, found, ["lang", "source"])
     d2 = F.when(~F.col("base_failed") & (F.col("n_group") >= least_group), squared_distance())
     kept = ~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= most)
