@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -40,3 +42,8 @@ def open_fs(uri: str):
     if uri.startswith("file:") or "://" not in uri:
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri)
+
+
+def worker_cache() -> dict:
+    """What this Python worker remembers from task to task; functions shipped by value have no lasting globals."""
+    return sys.modules.setdefault("_kinlink_worker", types.ModuleType("_kinlink_worker")).__dict__

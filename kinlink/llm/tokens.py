@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import open_fs
+from kinlink.llm.common import open_fs, worker_cache
 from kinlink.session import cut, scratch_path
 
 MAGIC = b"TOKSEQ01"
 BLOCK = 512
-#: Words whose pre-tokens are known without the library: Latin letters, maybe one mark after them.
+#: Words of Latin letters are one pre-token in lower case; a mark after them is a second one.
 MARKS = ".,;:!?"
-PLAIN = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ]+[{MARKS}]?")
+PLAIN = re.compile("[a-zà-öø-ÿ]+")
 
 
 class EliasFano:
@@ -98,42 +98,63 @@ class WordEncoder:
 
     White space separates pre-tokens of this vocabulary (its normaliser folds white space to blanks and its pattern drops
     them), so a text's ids are its words' ids in order. Only ASCII white space is cut at; other kinds reach the library.
-    ``most`` bounds the remembered words and characters.
+    About ``most`` words are remembered; when there are more, those used several times stay.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 300_000):
+    def __init__(self, path: str, end_id: int, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.end_id, self.most = Tokenizer.from_file(path), end_id, most
+        self.model, bytes_of = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: bytes_of.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.marks = {m: tuple(self.whole(m)) for m in MARKS} | {"": ()}
         self.forget()
 
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def forget(self) -> None:
-        self.slots, self.chars = _Slots(), 0
+        self.slots, self.cores, self.chars = _Slots(), {}, 0
         self.slots[()], self.slots[""] = 0, 1
-        self.flat, self.lengths = np.array([self.end_id], np.uint32), np.array([1, 0])
-
-    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths and concatenated ids of new words.
-
-        A plain word is one pre-token, or two with a mark at its end, so plain words are encoded as one text and told
-        apart by the numbers of their pre-tokens; the others are encoded one by one.
-        """
-        plain = [k for k, w in enumerate(words) if PLAIN.fullmatch(w)]
-        lengths, parts = np.zeros(len(words), np.int64), [None] * len(words)
-        for first in range(0, len(plain), 2000):
-            some = plain[first : first + 2000]
-            coded = self.tokenizer.encode(" ".join([words[k] for k in some]), add_special_tokens=False)
-            marks = np.cumsum([1 + (words[k][-1] in MARKS) for k in some])
-            stops = np.searchsorted(np.array(coded.word_ids), marks)
-            ids = np.array(coded.ids, np.uint32)
-            for k, a, b in zip(some, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-                parts[k] = ids[a:b]
-        rest = [k for k in range(len(words)) if parts[k] is None]
-        for k, coded in zip(rest, self.tokenizer.encode_batch([words[k] for k in rest], add_special_tokens=False), strict=True):
-            parts[k] = np.array(coded.ids, np.uint32)
-        lengths[:] = [len(p) for p in parts]
-        return lengths, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        self.flat, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.array([0, 1]), np.array([1, 0])
+        self.uses = np.zeros(2, np.int64)
+
+    def thin(self) -> None:
+        """Forget the words used once or twice since the last time, or all if too many are left."""
+        words, uses, flat = list(self.slots), self.uses, self.flat
+        keep = np.flatnonzero(uses > 2)[2:]
+        spans = [(self.starts[k], self.lengths[k]) for k in keep]
+        self.forget()
+        if len(keep) < self.most // 2 and sum(len(words[k]) for k in keep) < 20 * self.most:
+            for slot, k in enumerate(keep, 2):
+                self.slots[words[k]] = slot
+            lengths = np.array([n for _, n in spans], np.int64)
+            self.starts = np.append(self.starts, 1 + np.cumsum(lengths) - lengths)
+            self.lengths = np.append(self.lengths, lengths)
+            self.flat = np.concatenate([self.flat, *[flat[a : a + n] for a, n in spans]])
+            self.uses = np.zeros(len(self.lengths), np.int64)
+            self.chars = sum(len(words[k]) for k in keep)
+
+    def learn(self, words: list[str]) -> None:
+        """Append the ids of new words; the letters of plain words go to the library's model once in lower case."""
+        flat, lengths, cores, model = [], [], self.cores, self.model
+        for word in words:
+            mark = word[-1] if word[-1] in MARKS else ""
+            core = (word[:-1] if mark else word).lower()
+            ids = cores.get(core)
+            if ids is None and PLAIN.fullmatch(core) and len(core) + len(mark) == len(word):
+                cores[core] = ids = tuple([t.id for t in model.tokenize(core if core.isascii() else core.translate(self.as_bytes))])
+            ids = self.whole(word) if ids is None else ids + self.marks[mark]
+            flat += ids
+            lengths.append(len(ids))
+        sizes = np.array(lengths, np.int64)
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.lengths = np.append(self.lengths, sizes)
+        self.flat = np.append(self.flat, np.array(flat, np.uint32))
+        self.uses = np.append(self.uses, np.zeros(len(words), np.int64))
+        self.chars += sum(map(len, words))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids of each text with it."""
@@ -145,17 +166,16 @@ class WordEncoder:
             ends.append(len(words))
         slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
         if new := self.slots.waiting:
-            lengths, flat = self.learn(new)
-            self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
-            self.chars += sum(map(len, new))
+            self.learn(new)
             self.slots.waiting = []
         sizes = self.lengths[slots]
-        starts = (np.cumsum(self.lengths) - self.lengths)[slots]
+        starts = self.starts[slots]
         stops = np.cumsum(sizes)
         ids = self.flat[np.repeat(starts - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)]
         counts = np.diff(stops[np.array(ends, np.int64) - 1], prepend=0) if ends else np.zeros(0, np.int64)
+        self.uses += np.bincount(slots, minlength=len(self.uses))
         if len(self.slots) > self.most or self.chars > 40 * self.most:
-            self.forget()
+            self.thin()
         return ids, counts
 
 
@@ -217,7 +237,9 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
         from pyspark import TaskContext
 
         part, piece = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(vocabulary, end_id)
+        held_encoders = worker_cache()
+        encoder = held_encoders.setdefault((vocabulary, end_id), None) or WordEncoder(vocabulary, end_id)
+        held_encoders[vocabulary, end_id] = encoder
         system, root = open_fs(folder)
         system.create_dir(root, recursive=True)
         doc_ids, counts, ids, held = [], [], [], 0
