@@ -229,6 +229,20 @@ def region_of(spark, sf):
     return E.region_of(T.raw_registry(spark, sf).select("siret", "code_postal"), T.dept_region(spark, sf))
 
 
+# The library's own tables, for postcodes of every department and of four overseas ones.
+REAL_POSTCODES_SQL = """
+SELECT c_custkey, CASE WHEN c_custkey % 20 = 0 THEN '97' || CAST(1 + c_nationkey % 4 AS STRING) || '00' ELSE lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || '000' END AS code_postal
+FROM {customer}
+"""
+_REAL = ", ".join(f"('{d}', '{r.replace(chr(39), chr(39) * 2)}')" for d, r in E.department_names().items())
+
+
+@query(f"""SELECT c_custkey, code_postal, coalesce(region, '') AS region FROM ({T.duck(REAL_POSTCODES_SQL)})
+LEFT JOIN (VALUES {_REAL}) v(dept, region) ON dept = CASE WHEN code_postal LIKE '97%' THEN substr(code_postal, 1, 3) ELSE substr(code_postal, 1, 2) END""")
+def department_regions(spark, sf):
+    return E.region_of(T.run(spark, sf, REAL_POSTCODES_SQL), E.department_regions(spark))
+
+
 @query("SELECT r_name AS region, string_agg(lpad(n_nationkey::VARCHAR, 2, '0'), ',' ORDER BY n_nationkey) AS departements FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def regions_table(spark, sf):
     return E.regions_table(T.dept_region(spark, sf)).withColumn("departements", F.array_join("departements", ","))
