@@ -10,9 +10,10 @@ certain for a linked pair. One with at least ``LARGE`` enters a list for each pa
 ``RETAINED`` smallest; a pair at similarity 0.8 then shares no list with probability below 1e-9. Every linked pair has two
 members of at least one of the kinds.
 
-No pairs of a list are emitted wholesale. First every member is verified against its list's leader, the member whose other
-lists are fullest (the original of a group of copies). Only lists that still span several components are compared member
-by member, in blocks, on sketches, and only pairs in different components whose estimate passes are verified.
+No list emits its pairs. Its members are compared in blocks on sketches, and each pair of blocks emits as many candidate pairs
+as connect all of them; a list whose members are all connected is not compared further. Connected candidates form clusters.
+Each cluster is then compared on full sets in the same way, and emits as many links as connect all linked classes. Components
+need no more than that.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from kinlink.llm.common import attach_small
 from kinlink.session import cut
 
-K, RETAINED, SMALL, LARGE = 64, 32, 100, 64
-#: An estimate this far below the threshold rejects a pair: five standard deviations of a sketch of K values and more.
-SLACK = 0.3
+K, RETAINED, SMALL, LARGE = 32, 32, 100, 64
+#: An estimate this far below the threshold rejects a pair: five standard deviations of a sketch of K values.
+SLACK = 0.35
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SETS = "doc_id long, n_shingles long, node binary, sketch array<bigint>"
 
@@ -132,215 +133,187 @@ def listed(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("node", "n_shingles", "sketch").mapInArrow(lists, "key long, node binary")
 
 
-def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common values among the K smallest of the union; exact where both sketches hold whole sets."""
-    union = np.unique(np.concatenate([a, b]))[:K]
-    return float((np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)).mean())
+def unsigned(lists: list) -> list[np.ndarray]:
+    return [np.array(s, np.int64).view(np.uint64) for s in lists]
 
 
-def may_link(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Can two classes be linked: by their sizes, then by the union-sketch estimate."""
-    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
-        return False
-    slack = 0.0 if max(n_a, n_b) <= K // 2 else SLACK
-    return union_estimate(a, b) >= percent / 100 - slack - 1e-9
+NONE = np.uint64(2**64 - 1)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of classes whose full sets are linked; the texts of one member of each are compared.
+def union_estimates(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Share of common values among the K smallest of the union, for pairs of rows of a table of sketches.
 
-    Classes with many pairs stand on side ``b``: their text is repeated once for every 256 pairs, and the pairs are dealt
-    over the repeats.
+    Rows are filled up with ``NONE``. Exact where the union has at most K values.
     """
-    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "near-wanted")
-    ids = classes.join(wanted, "node", "left_semi").select("node", F.col("first_id").alias("doc_id"))
-    ids = cut(ids, "near-wanted-ids")
-    few = ids.count() <= 200_000
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, "doc_id")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows may repeat an id with another text: only those whose set is the class's own serve.
-        words = WordHashes()
-        for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                some = batch.slice(first, 500)
-                sets = shingle_sets(some.column(1).to_pylist(), n, words)
-                right = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, some.column(0).to_pylist(), strict=True)]
-                yield some.filter(pa.array(right, pa.bool_()))
-
-    texts = cut(texts.select("node", "text").mapInArrow(own, "node binary, text string"), "near-texts")
-    load = pairs.groupBy("b").agg((F.floor(F.count("*") / 256) + 1).cast("int").alias("salts"))
-    dealt = pairs.join(load, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-    copies = load.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    rows = dealt.drop("salts").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(copies, ["b", "salt"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = WordHashes(), {}
-        for batch in batches:
-            for first in range(0, batch.num_rows, 250):
-                some = batch.slice(first, 250)
-                a, b, text_a, text_b = (some.column(k).to_pylist() for k in range(4))
-                new = {node: t for node, t in zip(b, text_b, strict=True) if node not in held}
-                held = {node: s for node, s in held.items() if node in set(b)}
-                held |= dict(zip(new, shingle_sets(list(new.values()), n, words), strict=True))
-                keep = []
-                for k, s in enumerate(shingle_sets(text_a, n, words)):
-                    other = held[b[k]]
-                    same = np.intersect1d(s, other, assume_unique=True).size
-                    if 100 * same >= percent * (len(s) + len(other) - same):
-                        keep.append(k)
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(keep, pa.int64())), some.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
-
-    linked = rows.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
-    return cut(linked.distinct(), "near-links")
-
-
-def leader_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: each member and its lists' leaders, where sizes and estimate allow a link."""
-    weight = members.groupBy("node").agg(F.sum(F.log1p("n_members")).alias("weight"))
-    leaders = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("first"))
-    pairs = members.join(leaders, "key").select(F.col("node").alias("a"), F.col("first.node").alias("b")).where("a != b").distinct()
-    return estimated(pairs, classes, percent)
-
-
-def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and union-sketch estimate allow a link."""
-    about = classes.select("node", "n_shingles", "sketch")
-    rows = pairs.join(about.toDF("a", "n_a", "s_a"), "a").where("n_a > 0")
-    rows = rows.join(about.toDF("b", "n_b", "s_b"), "b")
-    rows = rows.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b, s_a, s_b = (batch.column(k).to_pylist() for k in range(2, 6))
-            hold = [may_link(x, y, np.array(s), np.array(t), percent) for x, y, s, t in zip(n_a, n_b, unsigned(s_a), unsigned(s_b), strict=True)]
-            some = batch.filter(pa.array(hold, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], ["a", "b"])
-
-    return cut(rows.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(keep, "a binary, b binary"), "near-pairs")
-
-
-def unsigned(lists: list) -> list[np.ndarray]:
-    return [np.array(s, np.int64).view(np.uint64) for s in lists]
+    both = np.sort(np.concatenate([table[i], table[j]], 1), 1)
+    twice = both[:, 1:] == both[:, :-1]
+    rank = np.cumsum(np.concatenate([np.ones((len(i), 1), bool), ~twice], 1), 1)
+    real = both != NONE
+    united = np.minimum(K, np.where(real, rank, 0).max(1))
+    return (twice & real[:, 1:] & (rank[:, 1:] <= K)).sum(1) / united
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of sorted rows, about ``most`` rows each, and where the groups begin."""
+    held: list[pa.Table] = []
+
+    def begins(rows: pa.Table) -> np.ndarray:
+        change = np.zeros(rows.num_rows, bool)
+        change[0] = True
+        for name in names:
+            codes = rows.column(name).combine_chunks().dictionary_encode().indices.to_numpy()
+            change[1:] |= codes[1:] != codes[:-1]
+        return np.flatnonzero(change)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) >= most:
+            rows = pa.concat_tables(held).combine_chunks()
+            starts = begins(rows)
+            # The last group may go on in the next batch.
+            if starts[-1]:
+                yield rows.slice(0, starts[-1]), starts[:-1]
+            held = [rows.slice(starts[-1])]
+    if held:
+        rows = pa.concat_tables(held).combine_chunks()
+        yield rows, begins(rows)
+
+
+def meetings(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For one set after the other, how many values it has in common with each: by one sorted table of (value, set)."""
+    value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    for s in sets:
+        left, right = np.searchsorted(value, s), np.searchsorted(value, s, "right")
+        times = right - left
+        at = np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())
+        yield np.bincount(owner[at], minlength=len(sets))
+
+
+def forest(n: int, linked: Iterator[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that connect what ``linked`` connects (for one member after the other, the members it is linked with)."""
+    part, edges = np.arange(n), []
+    for k, others in enumerate(linked):
+        others = others[part[others] != part[k]]
+        if len(others):
+            _, first = np.unique(part[others], return_index=True)
+            edges += [(k, int(j)) for j in others[first]]
+            part[np.isin(part, part[others])] = part[k]
+            if (part == part[0]).all():
+                break
+    return edges
+
+
+def dealt_blocks(rows: DataFrame, group: str, count: str, block: int) -> DataFrame:
+    """Rows repeated for every pair of blocks of about ``block`` members of their group: ``low, high, own``."""
+    rows = rows.withColumn("_blocks", F.ceil(F.col(count) / block).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.withColumn("low", F.least("own", "_other")).withColumn("high", F.greatest("own", "_other"))
+    return rows.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high", "node")
+
+
+def named_edges(rows: pa.Table, edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    nodes = rows.column("node").combine_chunks()
+    return pa.RecordBatch.from_arrays([nodes.take(pa.array([e[k] for e in edges], pa.int64())) for k in range(2)], ["a", "b"])
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """``a, b``: pairs that share a list, lie in different components and pass sizes and estimate.
+def candidate_forest(members: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """``a, b``: pairs of a list whose sizes and estimate allow a link, as many as it takes to connect all such pairs."""
 
-    A list is cut into blocks of about ``block`` members; each task compares two blocks. A pair is emitted by the first
-    list it shares only.
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in groups_of(batches, ("key", "low", "high"), 20_000):
+            stops = np.append(starts[1:], rows.num_rows)
+            low, high, own, sizes = (rows.column(n).to_numpy() for n in ("low", "high", "own", "n_shingles"))
+            lists = rows.column("sketch").combine_chunks()
+            values, lengths = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy()
+            sets = np.split(values, np.cumsum(lengths)[:-1])
+            table = np.full((rows.num_rows, K), NONE)
+            table[np.repeat(np.arange(rows.num_rows), lengths), np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values
+            edges: list[tuple[int, int]] = []
+
+            def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])  # noqa: B023
+                good = (100 * small >= percent * large) & ((low[i] == high[i]) | (own[i] != own[j]))  # noqa: B023
+                where = np.flatnonzero(good)
+                for some in range(0, len(where), 5000):
+                    these = where[some : some + 5000]
+                    slack = np.where(large[these] <= K // 2, 0.0, SLACK)
+                    good[these] = union_estimates(table, i[these], j[these]) >= percent / 100 - slack - 1e-9  # noqa: B023
+                return good
+
+            for n in np.unique(stops - starts):
+                first = starts[stops - starts == n]
+                if n > 64:
+                    for start in first:
+
+                        def linked(start: int = start, n: int = n) -> Iterator[np.ndarray]:
+                            for k, common in enumerate(meetings(sets[start : start + n])):  # noqa: B023
+                                near = np.flatnonzero(common >= (percent / 100 - SLACK) * min(K, sizes[start + k] * percent // 100))  # noqa: B023
+                                yield near[allowed(np.full(len(near), start + k), near + start)]  # noqa: B023
+
+                        edges += [(start + x, start + y) for x, y in forest(n, linked())]
+                    continue
+                i, j = np.triu_indices(n, 1)
+                i, j = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+                good = allowed(i, j)
+                up: dict[int, int] = {}
+                for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                    a, b = x, y
+                    while a in up:
+                        a = up[a]
+                    while b in up:
+                        b = up[b]
+                    if a != b:
+                        up[b] = a
+                        edges.append((x, y))
+            yield named_edges(rows, edges)
+
+    rows = dealt_blocks(members.join(classes.select("node", "n_shingles", "sketch"), "node"), "key", "n_members", block)
+    rows = rows.select("key", "low", "high", "own", "node", "n_shingles", "sketch")
+    return cut(rows.mapInArrow(compare, "a binary, b binary").distinct(), "near-candidates")
+
+
+def verified_links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """``a, b``: linked classes of a cluster of candidates, as many as it takes to connect all linked ones, by the full sets.
+
+    The text of one row of each class is fetched by id and its set computed again.
     """
-    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spans = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    placed = placed.join(spans, "key", "left_semi").join(classes.select("node", "n_shingles", "sketch"), "node")
-    placed = placed.withColumn("blocks", (F.floor(F.col("n_members") / block) + 1).cast("int"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    rows = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    placed = clusters.withColumnRenamed("label", "cluster").join(classes.select("node", F.col("first_id").alias("doc_id")), "node")
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("n_cluster"))
+    placed = cut(placed.join(sizes, "cluster"), "near-clusters")
+    few = placed.count() <= 200_000
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(placed) if few else placed, "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            if sum(t.num_rows for t in held) >= 20_000:
-                rows = pa.concat_tables(held).combine_chunks()
-                # The last block pair may go on in the next batch.
-                last = group_starts(rows)[-1]
-                if last:
-                    yield from block_pairs(rows.slice(0, last), percent)
-                held = [rows.slice(last)]
-        if held:
-            yield from block_pairs(pa.concat_tables(held).combine_chunks(), percent)
-
-    columns = "key", "low", "high", "own", "node", "label", "n_shingles", "sketch"
-    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node").select(*columns)
-    return cut(rows.mapInArrow(compare, "a binary, b binary").distinct(), "near-open-pairs")
-
-
-def group_starts(rows: pa.Table) -> np.ndarray:
-    """First rows of the block pairs of sorted rows."""
-    change = np.zeros(rows.num_rows, bool)
-    change[0] = True
-    for name in ("key", "low", "high"):
-        values = rows.column(name).to_numpy()
-        change[1:] |= values[1:] != values[:-1]
-    return np.flatnonzero(change)
-
-
-def key_table(table: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """``list_keys`` of every row of a table of sketches, with fillings that are never equal between rows."""
-    longest = min(K, max(0, SMALL - -(-percent * SMALL // 100)) + 2)
-    prefix = np.where(sizes < SMALL, np.minimum(K, sizes - -(-percent * sizes // 100) + 1), 0)[:, None] > np.arange(longest)
-    chain = (sizes >= LARGE)[:, None] & np.ones(RETAINED - 1, bool)
-    keys = np.concatenate([mixed(table[:, :longest] ^ MIX), mixed(table[:, : RETAINED - 1] * MULTIPLIER + table[:, 1:RETAINED])], 1)
-    filling = np.arange(keys.size, dtype=np.uint64).reshape(keys.shape) + np.uint64(2**63)
-    return np.where(np.concatenate([prefix, chain], 1), keys, filling)
-
-
-def block_pairs(rows: pa.Table, percent: int, small: int = 64) -> Iterator[pa.RecordBatch]:
-    """Pairs of complete block pairs that may be linked and meet in this list first."""
-    starts = group_starts(rows)
-    stops = np.append(starts[1:], rows.num_rows)
-    key, low, high, own, sizes = (rows.column(n).to_numpy() for n in ("key", "low", "high", "own", "n_shingles"))
-    label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-    lists = rows.column("sketch").combine_chunks()
-    values, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
-    sets = np.split(values, ends[:-1])
-    # Sketches as rows of K; the filling differs from row to row, so it is never common.
-    table = (np.arange(rows.num_rows, dtype=np.uint64) * np.uint64(K))[:, None] + np.arange(K, dtype=np.uint64) + np.uint64(2**63)
-    table[np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy()), np.arange(len(values)) - np.repeat(ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0))] = values
-    keys = key_table(table, sizes, percent)
-    found: list[tuple[int, int]] = []
-
-    def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Do labels, blocks and sizes allow the pairs?"""
-        good = (label[i] != label[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
-        return good & ((low[i] == high[i]) | (own[i] != own[j]))
-
-    def keep(i: np.ndarray, j: np.ndarray, common: np.ndarray) -> None:
-        """Keep the pairs whose common values, first list and estimate allow it."""
-        # The K smallest of a linked pair's union have most values in common; those lie in both sketches.
-        close = common >= (percent / 100 - SLACK) * np.minimum(K, np.minimum(sizes[i], sizes[j]))
-        i, j = i[close], j[close]
-        for some in range(0, len(i), 2000):
-            x, y = i[some : some + 2000], j[some : some + 2000]
-            shared = (keys[x][:, :, None] == keys[y][:, None, :]).any(2)
-            here = np.where(shared, keys[x], np.uint64(2**64 - 1)).min(1).view(np.int64) == key[x]
-            for a, b in zip(x[here].tolist(), y[here].tolist(), strict=True):
-                if may_link(int(sizes[a]), int(sizes[b]), sets[a], sets[b], percent):
-                    found.append((a, b))
-
-    for n in np.unique(stops - starts):
-        first = starts[stops - starts == n]
-        if n <= small:
-            i, j = np.triu_indices(n, 1)
-            i, j = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-            good = allowed(i, j)
-            i, j = i[good], j[good]
-            for some in range(0, len(i), 2000):
-                x, y = i[some : some + 2000], j[some : some + 2000]
-                keep(x, y, (table[x][:, :, None] == table[y][:, None, :]).sum((1, 2)))
-            continue
-        for start in first:
-            # One sorted table of (value, member): a member meets only those it has values in common with.
-            members = np.arange(start, start + n)
-            held = np.concatenate(sets[start : start + n])
-            owner = np.repeat(np.arange(n), [len(s) for s in sets[start : start + n]])
-            order = np.argsort(held, kind="stable")
-            held, owner = held[order], owner[order]
-            for k in range(n - 1):
-                left, right = np.searchsorted(held, sets[start + k]), np.searchsorted(held, sets[start + k], "right")
-                times = right - left
-                at = np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())
-                common = np.bincount(owner[at], minlength=n)
-                later = members[k + 1 :][common[k + 1 :] >= (percent / 100 - SLACK) * min(K, int(sizes[start + k]) * percent // 100)]
-                mine = np.full(len(later), start + k)
-                good = allowed(mine, later)
-                keep(mine[good], later[good], common[later[good] - start])
-    nodes = rows.column("node").combine_chunks()
-    columns = [nodes.take(pa.array([f[k] for f in found], pa.int64())) for k in range(2)]
-    yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+        words = WordHashes()
+        for rows, starts in groups_of(batches, ("cluster", "low", "high"), 2_000):
+            sets = []
+            texts = rows.column("text").to_pylist()
+            for first in range(0, len(texts), 250):
+                sets += shingle_sets(texts[first : first + 250], n, words)
+            own, low, high, nodes = (rows.column(x).to_pylist() for x in ("own", "low", "high", "node"))
+            # Rows may repeat an id with another text: only those whose set is the class's own count.
+            right = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, nodes, strict=True)]
+            edges: list[tuple[int, int]] = []
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
+                these = [k for k in range(start, stop) if right[k]]
+                if len(these) > 1:
+                    mine = [sets[k] for k in these]
+                    lengths, blocks = np.array([len(s) for s in mine]), np.array([own[k] for k in these])
+                    apart = low[start] != high[start]
+
+                    def linked(mine: list = mine, lengths: np.ndarray = lengths, blocks: np.ndarray = blocks, apart: bool = apart) -> Iterator[np.ndarray]:
+                        for k, same in enumerate(meetings(mine)):
+                            yield np.flatnonzero((100 * same >= percent * (lengths + lengths[k] - same)) & ~(apart & (blocks == blocks[k])))
+
+                    edges += [(these[x], these[y]) for x, y in forest(len(these), linked())]
+            yield named_edges(rows, edges)
+
+    rows = dealt_blocks(texts, "cluster", "n_cluster", block).select("cluster", "low", "high", "own", "node", "text")
+    return cut(rows.mapInArrow(compare, "a binary, b binary").where("a != b").distinct(), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -362,7 +335,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
     Words are what stands between ASCII white space, A-Z in lower case; a document's set are its distinct n-word shingles.
@@ -385,10 +358,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     keys = cut(keys, "near-keys")
     again = keys.groupBy("key").agg(F.count("*").alias("n_members")).where("n_members > 1")
     members = cut(keys.join(again, "key"), "near-members")
-    links = verified(leader_pairs(members, classes, percent), classes, docs, n, percent)
-    labels = components(links)
-    rest = verified(open_pairs(members, labels, classes, percent), classes, docs, n, percent)
-    labels = components(links.union(rest))
+    clusters = components(candidate_forest(members, classes, percent, block))
+    labels = components(verified_links(clusters, classes, docs, n, percent, block))
     placed = classes.select("node", "first_id", "n_rows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = placed.groupBy("label").agg(F.min("first_id").alias("component_id"), F.sum("n_rows").alias("rows")).where("rows > 1")
     joint = cut(placed.join(smallest, "label").select("node", "component_id"), "near-components")

@@ -183,7 +183,8 @@ def test_without_near_duplicates(docs, rows):
     assert max(n for k, n in collected(got, "doc_id", "text").items() if k[0] is not None) == 1
 
 
-def test_copies_without_an_original_and_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("block", [2048, 9])
+def test_copies_without_an_original(spark, block):
     # Copies of a base that is not there: the leader links to few, so pairs of the open lists have to find the rest.
     rnd = random.Random(8)
     base = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
@@ -193,16 +194,23 @@ def test_copies_without_an_original_and_small_blocks(spark, monkeypatch):
         for _ in range(rnd.randint(2, 7)):
             words[rnd.randrange(200)] = f"n{rnd.randrange(10**6)}"
         frame.append((k, " ".join(words)))
-    got = near.near_duplicates(spark.createDataFrame(frame, "doc_id long, text string"), 4)
+    frame += [(100 + k, text) for k, (_, text) in enumerate(frame[:5])]
+    got = near.near_duplicates(spark.createDataFrame(frame, "doc_id long, text string"), 4, block=block)
     assert collected(got, "doc_id", "n_shingles", "component_id", "kept") == Counter(brute.near_components(frame, 4, 80))
-    members = spark.createDataFrame([(1, bytes([k]), 9) for k in range(9)], "key long, node binary, n_members long")
-    labels = spark.createDataFrame([(bytes([k]), bytes([k % 2])) for k in range(9)], "node binary, label binary")
-    sketch = np.sort(np.random.default_rng(1).integers(0, 2**63, 20, np.uint64))
-    key = int(near.list_keys(20, sketch, 80)[0].view(np.int64))
-    classes = spark.createDataFrame([(bytes([k]), 20, sketch.view(np.int64).tolist()) for k in range(9)], "node binary, n_shingles long, sketch array<bigint>")
-    members = members.withColumn("key", members.key * 0 + key)
-    pairs = near.open_pairs(members, labels, classes, 80, block=2).collect()
-    assert Counter((r.a[0], r.b[0]) for r in pairs) == Counter((j, i) for i in range(9) for j in range(i) if (i - j) % 2)
+
+
+def test_union_estimates():
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(0, 60, n).astype(np.uint64)) for n in (5, 12, 30, 50, 60, 3)]
+    table = np.full((len(sets), near.K), near.NONE)
+    for row, s in zip(table, sets, strict=True):
+        row[: min(near.K, len(s))] = s[: near.K]
+    i, j = np.triu_indices(len(sets), 1)
+    want = []
+    for x, y in zip(i, j, strict=True):
+        union = sorted(set(sets[x].tolist()) | set(sets[y].tolist()))[: near.K]
+        want.append(sum(v in sets[x] and v in sets[y] for v in union) / len(union))
+    assert near.union_estimates(table, i, j) == pytest.approx(want)
 
 
 # --- substrings ----------------------------------------------------------------------------------------------------
