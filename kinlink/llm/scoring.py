@@ -132,6 +132,6 @@ def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         })
 
     asked = rows.groupBy("bucket").applyInArrow(ask, "part long, bucket long, steps binary, counts binary")
-    answered = asked.groupBy("part").applyInArrow(answer, "bucket long, part long, totals binary")
+    answered = asked.repartition(max(least, 1 << bits), "part").groupBy("part").applyInArrow(answer, "bucket long, part long, totals binary")
     both = rows.groupBy("bucket").cogroup(answered.groupBy("bucket"))
     return both.applyInArrow(score, "doc_id long, n_words long, log_score double, mean_log_score double")
