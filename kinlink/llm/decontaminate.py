@@ -40,7 +40,7 @@ def allowed_edits(n: int, percent: int) -> int:
 class Vocabulary(dict):
     """Raw token -> number of the item word it is (from 1), 0 for any other word, -1 for no word."""
 
-    def __init__(self, words: dict[str, int], most: int = 500_000):
+    def __init__(self, words: dict[str, int], most: int = 150_000):
         super().__init__()
         self.words, self.most = words, most
 

@@ -101,7 +101,7 @@ class WordEncoder:
     About ``most`` words are remembered; when there are more, those used several times stay.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 900_000):
+    def __init__(self, path: str, end_id: int, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
