@@ -10,10 +10,9 @@ certain for a linked pair. One with at least ``LARGE`` enters a list for each pa
 ``RETAINED`` smallest; a pair at similarity 0.8 then shares no list with probability below 1e-9. Every linked pair has two
 members of at least one of the kinds.
 
-No list emits its pairs. Its members are compared in blocks on sketches, and each pair of blocks emits as many candidate pairs
-as connect all of them; a list whose members are all connected is not compared further. Connected candidates form clusters.
-Each cluster is then compared on full sets in the same way, and emits as many links as connect all linked classes. Components
-need no more than that.
+No list emits its pairs. Its members are compared in blocks on sketches, and each pair of blocks emits the edges that connect
+its candidates, each to the first of its part; members that are all connected are not compared further. Connected candidates
+form clusters, and each cluster is compared on full sets in the same way. Components need no more than that.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ SETS = "doc_id long, n_shingles long, node binary, sketch array<bigint>"
 class WordHashes(dict):
     """Word -> position of its 64-bit hash; forgotten when too many words are held."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most, self.made, self.hashes = most, [], np.zeros(0, np.uint64)
 
@@ -193,17 +192,19 @@ def meetings(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
 
 
 def forest(n: int, linked: Iterator[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that connect what ``linked`` connects (for one member after the other, the members it is linked with)."""
-    part, edges = np.arange(n), []
+    """The first member of each connected part with each of its others; all block pairs that share it say the same.
+
+    ``linked`` gives, for one member after the other, the members it is linked with.
+    """
+    part = np.arange(n)
     for k, others in enumerate(linked):
         others = others[part[others] != part[k]]
         if len(others):
-            _, first = np.unique(part[others], return_index=True)
-            edges += [(k, int(j)) for j in others[first]]
             part[np.isin(part, part[others])] = part[k]
             if (part == part[0]).all():
                 break
-    return edges
+    _, first, at = np.unique(part, return_index=True, return_inverse=True)
+    return [(int(first[at[k]]), k) for k in np.flatnonzero(first[at] != np.arange(n)).tolist()]
 
 
 def dealt_blocks(rows: DataFrame, group: str, count: str, block: int) -> DataFrame:
@@ -221,7 +222,7 @@ def named_edges(rows: pa.Table, edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def candidate_forest(members: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
-    """``a, b``: pairs of a list whose sizes and estimate allow a link, as many as it takes to connect all such pairs."""
+    """``a, b``: edges that connect the pairs of a list whose sizes and estimate allow a link, and no others."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in groups_of(batches, ("key", "low", "high"), 20_000):
@@ -260,15 +261,17 @@ def candidate_forest(members: DataFrame, classes: DataFrame, percent: int, block
                 i, j = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
                 good = allowed(i, j)
                 up: dict[int, int] = {}
+
+                def top(x: int, up: dict[int, int] = up) -> int:
+                    while x in up:
+                        x = up[x]
+                    return x
+
                 for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
-                    a, b = x, y
-                    while a in up:
-                        a = up[a]
-                    while b in up:
-                        b = up[b]
+                    a, b = sorted((top(x), top(y)))
                     if a != b:
                         up[b] = a
-                        edges.append((x, y))
+                edges += [(top(x), x) for x in up]
             yield named_edges(rows, edges)
 
     rows = dealt_blocks(members.join(classes.select("node", "n_shingles", "sketch"), "node"), "key", "n_members", block)
@@ -277,7 +280,7 @@ def candidate_forest(members: DataFrame, classes: DataFrame, percent: int, block
 
 
 def verified_links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
-    """``a, b``: linked classes of a cluster of candidates, as many as it takes to connect all linked ones, by the full sets.
+    """``a, b``: edges that connect the linked classes of a cluster of candidates, by the full sets, and no others.
 
     The text of one row of each class is fetched by id and its set computed again.
     """
@@ -335,7 +338,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 1024) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
     Words are what stands between ASCII white space, A-Z in lower case; a document's set are its distinct n-word shingles.
