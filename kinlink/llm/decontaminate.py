@@ -7,7 +7,8 @@ window of a document that shares a signature with an item is compared with it by
 
 The benchmark is a query set: blocks of at most ``BLOCK`` items go to the tasks, all documents pass once a block, and no
 document is shuffled. Before embedding, an exact count leaves out windows that no item of their size class can match: an
-item of m words with at most k edits keeps m - 1 - 2k of its word pairs.
+item of m words with at most k edits keeps m - 1 - 2k of its word pairs, and the first of them begins at most 2k words
+after the passage. Every position that allows for both is tried.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ class SizeClass:
     def __init__(self, items: list[np.ndarray], numbers: list[int], percent: int, seed: int):
         low, high = min(map(len, items)), max(map(len, items))
         self.items, self.numbers = items, np.array(numbers)
-        self.span = high + allowed_edits(high, percent)
+        self.span, self.reach = high + allowed_edits(high, percent), 2 * allowed_edits(high, percent)
         self.need = max(1, min(len(i) - 1 - 2 * allowed_edits(len(i), percent) for i in items))
         self.steps = 2 * low
         random = np.random.default_rng(seed + low)
@@ -145,10 +146,12 @@ class ItemBlock:
             return []
         begins = np.searchsorted(text, np.arange(len(texts) + 1))
         total = np.concatenate([[0], np.cumsum(hit)])
-        near = hit | np.append(hit[1:], False) | np.append(hit[2:], [False, False])[: len(hit)]
+        # Before the first kept pair, each kept word is followed by an edit: it begins within 2k words of the passage.
+        reached = lambda starts, reach: starts[total[np.minimum(starts + reach + 1, len(hit))] > total[starts]]
+        near = reached(np.arange(len(hit)), max(g.reach for g in self.classes))
         found = []
         for group in self.classes:
-            starts = np.flatnonzero(near)
+            starts = reached(near, group.reach)
             ends = np.minimum(starts + group.span, begins[text[starts] + 1])
             starts = starts[total[ends - 1] - total[starts] >= group.need]
             for some in np.array_split(starts, len(starts) // 5000 + 1):

@@ -267,6 +267,36 @@ def test_leaks_and_recall(spark):
     assert rest.columns == frame.columns and {r.doc_id for r in rest.collect()} == {d[0] for d in docs} - {p[0] for p in found} | {None}
 
 
+@pytest.mark.parametrize("n", [10, 20, 37, 57])
+def test_leaks_at_the_most_edits(n):
+    """Passages with exactly 20 % of their words replaced: found as by a search of all windows, wherever the edits lie."""
+    rnd = random.Random(n)
+    vocabulary = ["".join(rnd.choice("abcdeorstu") for _ in range(rnd.randint(3, 8))) for _ in range(3000)]
+    prose = lambda k: [rnd.choice(vocabulary) for _ in range(k)]
+    items, k = [prose(n) for _ in range(200)], n // 5
+    # Edits at the second and third, or second and fourth word leave no kept pair near the beginning.
+    fixed = [[], [1, 2], [1, 3]]
+    texts = []
+    for i, item in enumerate(items):
+        at = [*fixed[i % 3], *rnd.sample(range(4, n), k - len(fixed[i % 3]))] if i % 3 else rnd.sample(range(n), k)
+        texts.append(prose(30) + ["changed" if p in at else w for p, w in enumerate(item)] + prose(30))
+    block = decontaminate.ItemBlock([(i, " ".join(w)) for i, w in enumerate(items)], 80)
+    found = {(t, i): d for t, i, _, _, d in sorted(block.search([" ".join(t) for t in texts], decontaminate.Vocabulary(block.words)), key=lambda r: -r[4])}
+    code = {w: c for c, w in enumerate({w for ws in [*items, *texts] for w in ws})}
+    best = {}
+    for i, item in enumerate(items):
+        for t in (i, (i + 1) % len(items)):
+            words = np.array([code[w] for w in texts[t]] + [-9] * (n + k))
+            windows = np.stack([words[s : s + n + k] for s in range(len(texts[t]))])
+            best[t, i] = int(decontaminate.edit_distances([np.array([code[w] for w in item])] * len(windows), windows).min())
+    want = {pair: d for pair, d in best.items() if d <= k}
+    assert {(i, i) for i in range(len(items))} <= want.keys() and found.keys() <= want.keys()
+    assert len(found) >= 0.97 * len(want)
+    for kind in range(3):
+        these = [pair for pair in want if pair[1] % 3 == kind]
+        assert sum(pair in found for pair in these) >= 0.95 * len(these)
+
+
 def test_edit_distances_match_the_table():
     rnd = random.Random(1)
     items = [np.array([rnd.randrange(5) for _ in range(9)]) for _ in range(40)]
