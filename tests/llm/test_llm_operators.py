@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -130,6 +131,75 @@ def test_licences_of_notices(spark):
     assert {r.doc_id: r.licences for r in got.collect()} == {f[0]: f[2] for f in frame}
 
 
+def gnu_notice(what, name, marks, version):
+    one, two = marks
+    return (
+        f"This {what} is free software{one} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free "
+        f"Software Foundation{two} either version {version} of the License, or (at your option) any later version.\n\nThis {what} is distributed "
+        "in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        f"PARTICULAR PURPOSE.  See the GNU {name} for more details."
+    )
+
+
+BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in "
+    "the documentation and/or other materials provided with the distribution.",
+    "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product "
+    "includes software developed by the organization.",
+    "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without "
+    "specific prior written permission.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.",
+]
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+MPL = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+    "file, You can obtain one at {}://mozilla.org/MPL/2.0/."
+)
+GPL, LESSER, AFFERO = "General Public License", "Lesser General Public License", "Affero General Public License"
+CANONICAL = [
+    (gnu_notice("program", GPL, ":,", 3), "GPL-3.0-or-later"), (gnu_notice("program", GPL, ";;", 3), "GPL-3.0-or-later"),
+    (gnu_notice("program", GPL, ";;", 2), "GPL-2.0-or-later"), (gnu_notice("library", LESSER, ";;", 2.1), "LGPL-2.1-or-later"),
+    (gnu_notice("program", LESSER, ":,", 3), "LGPL-3.0-or-later"), (gnu_notice("library", "Library General Public License", ";;", 2), "LGPL-2.0-or-later"),
+    (gnu_notice("program", AFFERO, ":,", 3), "AGPL-3.0-or-later"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "GPL-2.0"),
+    ("\n\n".join([*BSD[:3], BSD[5]]), "BSD-2-Clause"), ("\n\n".join(BSD[:3]), "BSD-2-Clause"),
+    ("\n\n".join([*BSD[:3], "3. " + BSD[4].format("the copyright holder"), BSD[5]]), "BSD-3-Clause"),
+    ("\n\n".join([*BSD[:3], "* " + BSD[4].format("Example Inc."), BSD[5]]), "BSD-3-Clause"),
+    ("\n\n".join([*BSD[:4], "4. " + BSD[4].format("the organization"), BSD[5]]), "BSD-4-Clause"),
+    ("\n\n".join([*BSD[:3], BSD[4].format("A"), BSD[5], *BSD[:3], BSD[5]]), "BSD-3-Clause,BSD-2-Clause"),
+    (ISC + ", provided that the above copyright notice and this permission notice appear in all copies.", "ISC"), (ISC + ".", "0BSD"),
+    (MPL.format("https"), "MPL-2.0"), (MPL.format("http"), "MPL-2.0"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy.", "Unlicense"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at", "Apache-2.0"),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("This project is licensed under the MIT License.", "MIT"),
+    ("This project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.", "MIT"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+    ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC0 1.0.", "CC0-1.0"),
+    ("This software is licensed under the ISC License.", "ISC"), ("Released under the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("This project is licensed under the Mozilla Public License 2.0.", "MPL-2.0"), ("This project is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+]
+
+
+def test_licences_of_canonical_texts(spark):
+    """Each notice by paragraphs, wrapped, and wrapped in a comment; the same by SQL."""
+    import duckdb
+
+    frame = []
+    for text, want in CANONICAL:
+        wrapped = "\n\n".join(textwrap.fill(p, 70, break_on_hyphens=False) for p in text.split("\n\n"))
+        for form in (text, wrapped, textwrap.indent(wrapped, " * ", lambda line: line.strip())):
+            frame.append((len(frame), f"Some words.\n\n{form}\n\nOther words.", want))
+    got = licences.scan_licences(spark.createDataFrame([f[:2] for f in frame], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licences for r in got} == {f[0]: f[2] for f in frame}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [f[:2] for f in frame])
+    assert sorted(con.execute(licences.scan_sql()).fetchall()) == sorted(tuple(r) for r in got)
+
+
 def test_licences_of_awkward_rows(docs, rows):
     assert licences.scan_licences(docs).count() == len(rows)
 
