@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 from kinlink.llm.common import SPACES, attach_small
 from kinlink.session import cut
 
-#: Transformed statistics and the smallest standard deviation each is given, so that a statistic that is constant in the
-#: central part of a group (no symbols, no repeated line) doesn't make its covariance singular.
-FLOORS = {"x_words": 0.5, "x_length": 0.08, "x_symbols": 0.5, "x_lines": 0.5, "x_repeat": 0.15}
-NAMES = list(FLOORS)
+NAMES = ["x_words", "x_length", "x_symbols", "x_lines", "x_repeat"]
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -104,12 +101,35 @@ def squared_distance(prefix: str = "") -> Column:
     return sum((z * z for z in solved[1:]), solved[0] * solved[0])
 
 
-def with_factor(moments: DataFrame, scale: float) -> DataFrame:
-    """Cholesky factor ``l_j_k`` of ``scale`` times the covariance ``c_j_k``, each variance given its floor."""
-    rows = moments
-    for j, name in enumerate(NAMES):
+def language_floors(stats: DataFrame) -> DataFrame:
+    """``lang`` and the floor ``f_j`` of each statistic's standard deviation in all groups of the language.
+
+    It is the deviation over all documents of the language (1.4826 times the median absolute one), and at least what one
+    more word, symbol, repeated line or repeated window changes in its median document. A statistic that is constant in
+    the central part of a group (no symbols, no repeated line) then doesn't make its covariance singular.
+    """
+    words, chars = F.greatest(F.col("words"), F.lit(1.0)), F.col("chars")
+    units = [
+        F.log1p(1 / (words + 1)), F.log1p(1 / (words + chars)), F.log1p(100 / words), F.log1p(F.lit(1.0)), F.asin(F.sqrt(F.least(5 / words, F.lit(1.0)))),
+    ]
+    middle = stats.groupBy("lang").agg(
+        F.percentile_approx("n_words", 0.5, 10_000).cast("double").alias("words"), F.percentile_approx("word_chars", 0.5, 10_000).cast("double").alias("chars"),
+        *[F.percentile_approx(n, 0.5, 10_000).alias(f"m_{j}") for j, n in enumerate(NAMES)],
+    )
+    middle = cut(middle, "quality-languages")
+    spread = attach_small(stats, middle, ["lang"]).groupBy("lang").agg(
+        F.first("words").alias("words"), F.first("chars").alias("chars"),
+        *[(1.4826 * F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{j}")), 0.5, 10_000)).alias(f"s_{j}") for j, n in enumerate(NAMES)],
+    )
+    return cut(spread.select("lang", *[F.greatest(F.col(f"s_{j}"), u).alias(f"f_{j}") for j, u in enumerate(units)]), "quality-floors")
+
+
+def with_factor(moments: DataFrame, scale: float, floors: DataFrame | None) -> DataFrame:
+    """Cholesky factor ``l_j_k`` of ``scale`` times the covariance ``c_j_k``, the floor of its language added to each variance."""
+    rows = attach_small(moments, floors, ["lang"]) if floors is not None else moments.withColumns({f"f_{j}": F.lit(0.0) for j in range(len(NAMES))})
+    for j in range(len(NAMES)):
         for k in range(j + 1):
-            left = F.col(f"c_{j}_{k}") * scale + (FLOORS[name] ** 2 if j == k else 0.0)
+            left = F.col(f"c_{j}_{k}") * scale + (F.col(f"f_{j}") * F.col(f"f_{j}") if j == k else 0.0)
             for i in range(k):
                 left = left - F.col(f"l_{j}_{i}") * F.col(f"l_{k}_{i}")
             rows = rows.withColumn(f"l_{j}_{k}", F.sqrt(F.greatest(left, F.lit(1e-12))) if j == k else left / F.col(f"l_{k}_{k}"))
@@ -117,7 +137,7 @@ def with_factor(moments: DataFrame, scale: float) -> DataFrame:
     return rows.select("lang", "source", "n_group", *[f"m_{j}" for j in range(len(NAMES))], *entries)
 
 
-def covariance_estimates(stats: DataFrame, keep: float = 0.75, steps: int = 3) -> DataFrame:
+def covariance_estimates(stats: DataFrame, keep: float = 0.75, steps: int = 3, floors: DataFrame | None = None) -> DataFrame:
     """Minimum-covariance-determinant location and factor of each language and source, one row a group.
 
     Starts from medians and median absolute deviations, then concentrates: the share ``keep`` of rows nearest to the
@@ -132,7 +152,7 @@ def covariance_estimates(stats: DataFrame, keep: float = 0.75, steps: int = 3) -
         *[(1.4826 * F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{j}")), 0.5, 10_000)).alias(f"s_{j}") for j, n in enumerate(NAMES)],
     )
     diagonal = {f"c_{j}_{k}": F.col(f"s_{j}") * F.col(f"s_{j}") if j == k else F.lit(0.0) for j in range(p) for k in range(j + 1)}
-    found = cut(with_factor(spread.withColumns(diagonal), 1.0), "quality-start")
+    found = cut(with_factor(spread.withColumns(diagonal), 1.0, floors), "quality-start")
     point = chi_square_point(keep, p)
     scale = keep / chi_square_share(point, p + 2)
     for step in range(steps):
@@ -143,14 +163,14 @@ def covariance_estimates(stats: DataFrame, keep: float = 0.75, steps: int = 3) -
             F.first("n_group").alias("n_group"), *[F.avg(n).alias(f"m_{j}") for j, n in enumerate(NAMES)],
             *[F.covar_pop(NAMES[j], NAMES[k]).alias(f"c_{j}_{k}") for j in range(p) for k in range(j + 1)],
         )
-        found = cut(with_factor(moments, scale), f"quality-fit-{step}")
+        found = cut(with_factor(moments, scale, floors), f"quality-fit-{step}")
     return found
 
 
 def judge_quality(docs: DataFrame, cutoff: float | None = None, least_group: int = 20) -> DataFrame:
     """``doc_id, n_words``, the base statistics, ``base_failed``, ``distance2`` and ``kept`` for every row.
 
-    ``kept`` is false if the base rules fail or the transformed statistics lie beyond ``cutoff`` (default: twice the
+    ``kept`` is false if the base rules fail or the transformed statistics lie beyond ``cutoff`` (default: the
     point a normal cloud exceeds once in 100,000) from the estimate of the document's language and source. Documents that
     fail the base rules take no part in estimates. Groups with fewer than ``least_group`` others reject nothing.
 
@@ -161,8 +181,9 @@ def judge_quality(docs: DataFrame, cutoff: float | None = None, least_group: int
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = cut(text_statistics(docs).withColumn("base_failed", failed), "quality-statistics")
     placed = stats.withColumns(transformed())
-    found = covariance_estimates(placed.where(~F.col("base_failed")))
-    most = cutoff if cutoff is not None else 2 * chi_square_point(1 - 1e-5, len(NAMES))
+    clean = placed.where(~F.col("base_failed"))
+    found = covariance_estimates(clean, floors=language_floors(clean))
+    most = cutoff if cutoff is not None else chi_square_point(1 - 1e-5, len(NAMES))
     judged = attach_small(placed, found, ["lang", "source"])
     d2 = F.when(~F.col("base_failed") & (F.col("n_group") >= least_group), squared_distance())
     kept = ~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= most)

@@ -90,6 +90,13 @@ def test_quality_rejects_the_planted_outlier_only(spark):
     assert {r.doc_id for r in got if not r.kept} == {i for i, *_ in frame if i >= 1000}
 
 
+def test_quality_rejects_table_debris(spark):
+    """Labelled documents: nearly all low-quality ones that pass the base rules go, nearly all good ones stay."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = Counter(tuple(r) for r in quality.judge_quality(docs).join(labels, "doc_id").where("NOT base_failed").select("quality", "kept").collect())
+    assert got[0, True] <= 0.03 * got[0, False] and got[1, False] <= 0.003 * got[1, True]
+
+
 def test_covariance_matches_numpy(spark):
     random_state = np.random.default_rng(2)
     factor = np.tril(random_state.normal(size=(5, 5))) + 3 * np.eye(5)
