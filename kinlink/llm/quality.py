@@ -167,12 +167,38 @@ def covariance_estimates(stats: DataFrame, keep: float = 0.75, steps: int = 3, f
     return found
 
 
+def with_wider_estimates(found: DataFrame, clean: DataFrame, floors: DataFrame, least_group: int) -> DataFrame:
+    """Estimates of languages and sources in which small groups have that of their language, or of all documents.
+
+    A group is small below ``least_group`` documents, and so is a language. The wider estimates are made only where a
+    small group needs them.
+    """
+    entries = [c for c in found.columns if c not in ("lang", "source")]
+    small = cut(found.where(F.col("n_group") < least_group).select("lang", "source"), "quality-small")
+    if small.isEmpty():
+        return found
+    # Of a wider group, rows are the same with one value in place of all sources, then of all languages too.
+    needed = small.select("lang").distinct().withColumn("_needed", F.lit(True))
+    rows = attach_small(clean, cut(needed, "quality-small-languages"), ["lang"]).where("_needed").withColumn("source", F.lit(None).cast("string"))
+    wide = covariance_estimates(rows, floors=floors)
+    wider = attach_small(small, wide.drop("source"), ["lang"])
+    rest = cut(wider.where(F.col("n_group") < least_group).select("lang", "source"), "quality-small-rest")
+    out = found.where(F.col("n_group") >= least_group).unionByName(wider.where(F.col("n_group") >= least_group))
+    if rest.isEmpty():
+        return cut(out, "quality-estimates")
+    every = clean.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    every_floors = language_floors(every)
+    whole = covariance_estimates(every, floors=every_floors).select(entries)
+    return cut(out.unionByName(rest.crossJoin(F.broadcast(whole))), "quality-estimates")
+
+
 def judge_quality(docs: DataFrame, cutoff: float | None = None, least_group: int = 20) -> DataFrame:
     """``doc_id, n_words``, the base statistics, ``base_failed``, ``distance2`` and ``kept`` for every row.
 
     ``kept`` is false if the base rules fail or the transformed statistics lie beyond ``cutoff`` (default: the
     point a normal cloud exceeds once in 100,000) from the estimate of the document's language and source. Documents that
-    fail the base rules take no part in estimates. Groups with fewer than ``least_group`` others reject nothing.
+    fail the base rules take no part in estimates. Groups with fewer than ``least_group`` others are judged by the estimate of
+    their language, or of all documents where the language has fewer too; a table with fewer rejects nothing.
 
     Defined results: a null or empty text has no words and fails the base rules, with no distance; null languages and
     sources form groups of their own; repeated rows and ids are judged row by row; an empty table gives an empty result;
@@ -182,7 +208,8 @@ def judge_quality(docs: DataFrame, cutoff: float | None = None, least_group: int
     stats = cut(text_statistics(docs).withColumn("base_failed", failed), "quality-statistics")
     placed = stats.withColumns(transformed())
     clean = placed.where(~F.col("base_failed"))
-    found = covariance_estimates(clean, floors=language_floors(clean))
+    floors = language_floors(clean)
+    found = with_wider_estimates(covariance_estimates(clean, floors=floors), clean, floors, least_group)
     most = cutoff if cutoff is not None else chi_square_point(1 - 1e-5, len(NAMES))
     judged = attach_small(placed, found, ["lang", "source"])
     d2 = F.when(~F.col("base_failed") & (F.col("n_group") >= least_group), squared_distance())

@@ -90,6 +90,22 @@ def test_quality_rejects_the_planted_outlier_only(spark):
     assert {r.doc_id for r in got if not r.kept} == {i for i, *_ in frame if i >= 1000}
 
 
+def test_small_groups_are_judged_by_wider_ones(spark):
+    rnd = random.Random(4)
+    prose = lambda: " ".join("".join(rnd.choice("abcdef") for _ in range(rnd.randint(3, 8))) for _ in range(rnd.randint(60, 160)))
+    debris = lambda: " ".join(f"{rnd.randrange(10**6)}" + "#" * 30 + "<>|" * rnd.randint(20, 30) for _ in range(100))
+    frame = [(i, prose(), "en", "a") for i in range(300)] + [(300 + i, prose(), "fr", f"{i % 10}") for i in range(60)]
+    # Rare sources of a language, a rare language, and no language at all, each with a good document and an outlier.
+    places = [("en", "rare"), ("en", None), ("fr", "3"), ("fr", "new"), ("it", "a"), (None, None), (None, "b")]
+    frame += [(1000 + i, prose(), *p) for i, p in enumerate(places)] + [(2000 + i, debris(), *p) for i, p in enumerate(places)]
+    columns = "doc_id long, text string, lang string, source string"
+    got = quality.judge_quality(spark.createDataFrame(frame, columns)).collect()
+    assert len(got) == len(frame) and not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if not r.kept} == {f[0] for f in frame if f[0] >= 2000}
+    few = quality.judge_quality(spark.createDataFrame(frame[-7:] + frame[:5], columns)).collect()
+    assert all(r.kept and r.distance2 is None for r in few)
+
+
 def test_quality_rejects_table_debris(spark):
     """Labelled documents: nearly all low-quality ones that pass the base rules go, nearly all good ones stay."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
