@@ -29,8 +29,9 @@ from kinlink.llm.common import attach_small
 from kinlink.session import cut
 
 K, RETAINED, SMALL, LARGE = 32, 32, 100, 64
-#: An estimate this far below the threshold rejects a pair: five standard deviations of a sketch of K values.
-SLACK = 0.35
+#: An estimate this far below the threshold rejects a pair. A pair at 0.8 then goes with 9 or fewer of K = 32 common values,
+#: by the binomial distribution with probability 3.5e-10.
+SLACK = 0.49
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SETS = "doc_id long, n_shingles long, node binary, sketch array<bigint>"
 

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -292,6 +293,12 @@ def test_copies_without_an_original(spark, block):
     assert collected(got, "doc_id", "n_shingles", "component_id", "kept") == Counter(brute.near_components(frame, 4, 80))
 
 
+def test_estimates_drop_links_as_rarely_as_the_lists():
+    # Values of K that are common at similarity 0.8, and still rejected: the binomial tail.
+    rejected = [m for m in range(near.K + 1) if m / near.K < 0.8 - near.SLACK - 1e-9]
+    assert sum(math.comb(near.K, m) * 0.8**m * 0.2 ** (near.K - m) for m in rejected) < 1e-9
+
+
 def test_union_estimates():
     rnd = np.random.default_rng(3)
     sets = [np.unique(rnd.integers(0, 60, n).astype(np.uint64)) for n in (5, 12, 30, 50, 60, 3)]
