@@ -18,6 +18,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from kinlink.session import SETTINGS  # noqa: E402
 from workload.tables import TABLES  # noqa: E402
 
+#: The smallest tables, on which the tests run.
+SF = "/root/testdata/sf0.001"
+
 
 def session(cores: int = 8) -> SparkSession:
     b = SparkSession.builder.master(f"local[{cores}]").appName("kinlink")

@@ -1,10 +1,8 @@
 import pytest
-from compare import connect, session
+from compare import SF, connect, session
 
 from kinlink.session import remove_scratch
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

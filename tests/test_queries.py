@@ -1,8 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import pytest
-from compare import compare, connect
-from conftest import SF
+from compare import SF, compare, connect
 
 import __spark_entry__ as entry
 import workload
