@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinlink.llm import decontaminate, langid, licences, mixing, near, quality, scoring, substrings, tokens, warc
+from kinlink.llm import audit, decontaminate, langid, licences, manifest, mixing, near, quality, scoring, substrings, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,13 +77,26 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of five filters removes, for every language, order and step."""
+    return audit.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf, roots and proof of every document; every fifth one by the checksum of its id is checked after tampering."""
+    rows = manifest.merkle_manifest(table(spark, sf, "documents"), tampered=manifest.every_fifth(F.col("doc_id")))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc, "op2_language_id": op2_language_id, "op3_token_ids": op3_token_ids,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules, "op6_substrings": op6_substrings,
     "op7_lm_scores": op7_lm_scores, "op8_licence_scan": op8_licence_scan, "op9_near_duplicates": op9_near_duplicates,
-    "op10_mixing": op10_mixing,
+    "op10_mixing": op10_mixing, "op12_filter_audit": op12_filter_audit, "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {"op8_licence_scan": licences.scan_sql()}
+SQL: dict[str, str] = {
+    "op8_licence_scan": licences.scan_sql(), "op12_filter_audit": audit.audit_sql(), "op13_merkle_manifest": manifest.manifest_sql(),
+}
