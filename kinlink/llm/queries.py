@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinlink.llm import audit, decontaminate, langid, licences, manifest, mixing, near, quality, scoring, substrings, tokens, warc
+from kinlink.llm import audit, decontaminate, langid, licences, manifest, mixing, near, pii, quality, scoring, substrings, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,11 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data of every document: the fixed patterns, and what the fitted field adds."""
+    return pii.personal_data(table(spark, sf, "documents")).drop("masked_text")
+
+
 def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
     """What each of five filters removes, for every language, order and step."""
     return audit.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -93,7 +98,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules, "op6_substrings": op6_substrings,
     "op7_lm_scores": op7_lm_scores, "op8_licence_scan": op8_licence_scan, "op9_near_duplicates": op9_near_duplicates,
-    "op10_mixing": op10_mixing, "op12_filter_audit": op12_filter_audit, "op13_merkle_manifest": op13_merkle_manifest,
+    "op10_mixing": op10_mixing, "op11_personal_data": op11_personal_data, "op12_filter_audit": op12_filter_audit, "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
