@@ -45,5 +45,24 @@ def open_fs(uri: str):
 
 
 def worker_cache() -> dict:
-    """What this Python worker remembers from task to task; functions shipped by value have no lasting globals."""
+    """What this Python worker keeps from task to task, such as a loaded model; functions shipped by value have no lasting
+    globals. Nothing that grows with the data belongs here: workers are shared by all stages of an application.
+    """
     return sys.modules.setdefault("_kinlink_worker", types.ModuleType("_kinlink_worker")).__dict__
+
+
+def returning_memory(run):
+    """``run`` over the batches of a task, then what it freed handed to the system, for later stages in the same worker."""
+
+    def task(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return task

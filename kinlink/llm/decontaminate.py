@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinlink.llm.common import returning_memory
 from kinlink.session import cut
 
 BLOCK = 20_000
@@ -201,7 +202,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame
                     columns = [[k[0] for k in best], [k[1] for k in best], [v[1] for v in best.values()], [v[2] for v in best.values()], [v[0] for v in best.values()]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        part = rows.mapInArrow(search, PAIRS)
+        part = rows.mapInArrow(returning_memory(search), PAIRS)
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], PAIRS)

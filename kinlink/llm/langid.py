@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import attach_small
+from kinlink.llm.common import attach_small, returning_memory
 from kinlink.session import cut
 
 #: Code points counted at once, which bounds the memory of one text.
@@ -79,7 +79,7 @@ def fit_profiles(labelled: DataFrame, per_language: int = 2_000, length: int = 3
                 if len(grams):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(returning_memory(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = counted.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < length)
     return cut(top.select("lang", "gram", "rank"), "language-profiles")
@@ -127,7 +127,7 @@ def identify(docs: DataFrame, profiles: DataFrame, length: int = 300) -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(judge, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(returning_memory(judge), f"{kinds}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import attach_small
+from kinlink.llm.common import attach_small, returning_memory
 from kinlink.session import cut
 
 K, RETAINED, SMALL, LARGE = 32, 32, 100, 64
@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 columns = [some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, SETS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(returning_memory(sketch), SETS)
 
 
 def list_keys(n: int, sketch: np.ndarray, percent: int) -> np.ndarray:
@@ -130,7 +130,7 @@ def listed(classes: DataFrame, percent: int) -> DataFrame:
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(at))], ["key", "node"])
 
-    return classes.select("node", "n_shingles", "sketch").mapInArrow(lists, "key long, node binary")
+    return classes.select("node", "n_shingles", "sketch").mapInArrow(returning_memory(lists), "key long, node binary")
 
 
 def unsigned(lists: list) -> list[np.ndarray]:
@@ -277,7 +277,7 @@ def candidate_forest(members: DataFrame, classes: DataFrame, percent: int, block
 
     rows = dealt_blocks(members.join(classes.select("node", "n_shingles", "sketch"), "node"), "key", "n_members", block)
     rows = rows.select("key", "low", "high", "own", "node", "n_shingles", "sketch")
-    return cut(rows.mapInArrow(compare, "a binary, b binary").distinct(), "near-candidates")
+    return cut(rows.mapInArrow(returning_memory(compare), "a binary, b binary").distinct(), "near-candidates")
 
 
 def verified_links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, block: int) -> DataFrame:
@@ -317,7 +317,7 @@ def verified_links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, n:
             yield named_edges(rows, edges)
 
     rows = dealt_blocks(texts, "cluster", "n_cluster", block).select("cluster", "low", "high", "own", "node", "text")
-    return cut(rows.mapInArrow(compare, "a binary, b binary").where("a != b").distinct(), "near-links")
+    return cut(rows.mapInArrow(returning_memory(compare), "a binary, b binary").where("a != b").distinct(), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:

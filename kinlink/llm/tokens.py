@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import open_fs, worker_cache
+from kinlink.llm.common import open_fs, returning_memory, worker_cache
 from kinlink.session import cut, scratch_path
 
 MAGIC = b"TOKSEQ01"
@@ -237,9 +237,9 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
         from pyspark import TaskContext
 
         part, piece = TaskContext.get().partitionId(), 0
-        held_encoders = worker_cache()
-        encoder = held_encoders.setdefault((vocabulary, end_id), None) or WordEncoder(vocabulary, end_id)
-        held_encoders[vocabulary, end_id] = encoder
+        # The loaded model stays with the worker, the words of a task go with it.
+        kept, key = worker_cache(), ("encoder", vocabulary, end_id)
+        encoder = kept.get(key) or kept.setdefault(key, WordEncoder(vocabulary, end_id))
         system, root = open_fs(folder)
         system.create_dir(root, recursive=True)
         doc_ids, counts, ids, held = [], [], [], 0
@@ -265,8 +265,9 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
                     doc_ids, counts, ids, held, piece = [], [], [], 0, piece + 1
         if doc_ids:
             yield flush()
+        encoder.forget()
 
-    made = cut(rows.mapInArrow(write, "part long, piece long, path string, n_docs long, n_ids long"), "token-shards")
+    made = cut(rows.mapInArrow(returning_memory(write), "part long, piece long, path string, n_docs long, n_ids long"), "token-shards")
     order = Window.orderBy("part", "piece")
     before = F.sum("n_ids").over(order) - F.col("n_ids")
     numbered = made.select((F.row_number().over(order) - 1).alias("shard"), "path", "n_docs", "n_ids", before.alias("first_id"))
