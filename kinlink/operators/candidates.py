@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinlink import constants as K
 from kinlink.functions import similarity as S
 from kinlink.functions.text import or_blank
-from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, block_pairs, jaccard_join, word_pairs
+from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, best_by_words, encoded_sets, pairs_in_blocks, similar_pairs
 from kinlink.session import cut
 
 
@@ -38,15 +38,14 @@ def _reference_strings(registry: DataFrame, blocks: dict[str, str], texts: list[
     return first.groupBy(*group).agg(F.sort_array(F.collect_list(key)).alias("ids"))
 
 
-def _best_ids(pairs: DataFrame, blocks: list[str], texts: int, key: str, k: int) -> DataFrame:
-    """The k best ids per query string: ``sim``, ``rank`` and ``key``."""
+def _best_ids(pairs: DataFrame, texts: int, key: str, k: int) -> DataFrame:
+    """The k best ids per query string: ``q_id``, ``key``, ``sim`` and ``rank``."""
     # An id shows up once per text, so the first k * texts rows hold the k best ids; the rest is done in place.
-    group = [*blocks, "query_text"]
     order = [F.desc("sim"), F.col(key)]
-    hits = top_k_per_entity(pairs, group, order, k * texts, "__row")
+    hits = top_k_per_entity(pairs, ["q_id"], order, k * texts, "__row")
     if texts > 1:
-        hits = top_k_per_entity(hits, [*group, key], [F.desc("sim")], 1, "__copy")
-    return top_k_per_entity(hits, group, order, k).select(*group, key, "sim", "rank")
+        hits = top_k_per_entity(hits, ["q_id", key], [F.desc("sim")], 1, "__copy")
+    return top_k_per_entity(hits, ["q_id"], order, k).select("q_id", key, "sim", "rank")
 
 
 def _block_sizes(strings: DataFrame, refs: DataFrame, blocks: list[str], most_pairs: int) -> DataFrame:
@@ -81,45 +80,44 @@ def similar_candidates(
     ``sim``, and needs a threshold that any shared token passes.
 
     A block of at most ``most_pairs`` pairs of distinct strings is compared pair by pair, which is less work than token
-    lists there; larger blocks go through the prefix join, from high similarities down, or with ``score`` through word lists of at most
-    ``short`` references. All give the same rows.
+    lists there; larger blocks go through the prefix join, from high similarities down, or with ``score`` through the word
+    search, which reads the first ``short`` references of a list before the others. All give the same rows.
     """
     blocks = list(query_blocks)
     asked = queries.select(
         *query_id, F.col(query).alias("query_text"), *[F.col(c).alias(b) for b, c in query_blocks.items()]
     )
     asked = asked.filter(or_blank(F.col("query_text")) != "")
+    code = TRIGRAM_CODE if tokens is S.trigrams else TEXT_CODE
     strings = asked.select(*blocks, "query_text").distinct().withColumn("tokens", tokens(F.col("query_text")))
-    refs = _reference_strings(registry, ref_blocks, texts, key, k).withColumn("tokens", tokens(F.col("ref_text")))
-    strings, refs = cut(strings, "strings"), cut(refs, "references")
+    refs = _reference_strings(registry, ref_blocks, texts, key, k).withColumn("tokens", tokens(F.col("ref_text"))).drop("ref_text")
+    strings = encoded_sets(strings, "tokens", code, "q_id", "strings")
+    refs = encoded_sets(refs.withColumn("order", F.col("ids")[0]), "tokens", code, "r_id", "references")
     sizes = cut(_block_sizes(strings, refs, blocks, most_pairs), "blocks")
     value = (F.col("sim") if score is None else score).alias("sim")
-    hits = lambda pairs: pairs.select(*blocks, "query_text", value, F.explode("ids").alias(key))
+    hits = lambda pairs: pairs.join(refs.select("r_id", "ids"), "r_id").select("q_id", value, F.explode("ids").alias(key))
+    ranked = lambda pairs: _best_ids(hits(pairs), len(texts), key, k)
     in_small = lambda side: side.join(sizes.filter("small").select(*blocks), blocks)
-    near = block_pairs(in_small(strings), in_small(refs), blocks, "query_text", "ref_text", "tokens", threshold, ["ids"])
-    best = _best_ids(hits(near), blocks, len(texts), key, k)
+    best = ranked(pairs_in_blocks(in_small(strings), in_small(refs), blocks, threshold))
     large = sizes.filter("NOT small").select(*blocks)
     if not large.isEmpty():
-        code = TRIGRAM_CODE if tokens is S.trigrams else TEXT_CODE
         left, others = cut(strings.join(large, blocks), "open"), cut(refs.join(large, blocks), "open-references")
         if score is not None:
-            pairs = word_pairs(left, others, blocks, "query_text", "ref_text", "tokens", ["ids"], "ids[0]", k * len(texts), short)
-            best = best.unionByName(_best_ids(hits(pairs), blocks, len(texts), key, k))
+            best = best.unionByName(ranked(best_by_words(left, others, blocks, k * len(texts), short)))
             levels = []
         else:
             levels = [t for t in (0.6, 0.4) if t > threshold] + [threshold]
         # A query with k ids at a similarity is done: all others lie below. What is left goes on at the next level.
         for level in levels:
-            pairs = jaccard_join(left, others, blocks, "query_text", "ref_text", "tokens", level, payload=["ids"], code=code)
-            found = cut(_best_ids(hits(pairs), blocks, len(texts), key, k), "level")
-            full = found.filter(F.col("rank") == k).select(*blocks, "query_text")
+            found = cut(ranked(similar_pairs(left, others, blocks, level)), "level")
+            full = found.filter(F.col("rank") == k).select("q_id")
             if level == levels[-1]:
                 best = best.unionByName(found)
             else:
-                best = best.unionByName(found.join(full, [*blocks, "query_text"], "left_semi"))
-                left = cut(left.join(full, [*blocks, "query_text"], "left_anti"), "open")
-    group = [*blocks, "query_text"]
-    return asked.join(best, group).select(*query_id, key, "sim", "rank")
+                best = best.unionByName(found.join(full, "q_id", "left_semi"))
+                left = cut(left.join(full, "q_id", "left_anti"), "open")
+    numbers = strings.select(*blocks, "query_text", "q_id")
+    return asked.join(numbers, [*blocks, "query_text"]).join(best, "q_id").select(*query_id, key, "sim", "rank")
 
 
 def name_candidates(

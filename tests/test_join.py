@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions import similarity as S
 from kinlink.operators.candidates import name_candidates, name_search
-from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, block_pairs, jaccard_join
+from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, _meet, _rare_first, block_pairs, encoded_sets, jaccard_join
 
 
 def grams(s):
@@ -86,6 +86,42 @@ def test_top_k_equals_brute_force(spark, most_pairs):
         assert [s for _, s in sorted(got.get(pid, []))] == best
 
 
+def test_word_search_with_many_frequent_words(spark):
+    """Names of 30 words that nearly all names share: the work follows the lists, not the sets of words."""
+    rng = random.Random(12)
+    words = [f"W{chr(65 + k % 26)}{chr(65 + k // 26)}" for k in range(34)]
+    registry = [(f"r{i:04d}", "b", " ".join(rng.sample(words, rng.choice([2, 5, 28, 30]))), "") for i in range(300)]
+    prospects = [(f"p{i}", 1, " ".join(rng.sample(words, 30 if i < 25 else 4)), "b") for i in range(30)]
+    q = spark.createDataFrame(prospects, "prospect_id string, variant_pos int, variant string, code_postal string")
+    r = spark.createDataFrame(registry, "siret string, code_postal string, denomination_clean string, enseigne_clean string")
+    got = {}
+    for row in name_search(q, r, k=5, most_pairs=0, short=20).collect():
+        got.setdefault(row.prospect_id, []).append((row["rank"], row.siret))
+    for pid, _, text, _ in prospects:
+        x = set(text.split())
+        scored = sorted((-len(x & y) - len(x & y) / len(x | y), s) for s, _, d, _ in registry if x & (y := set(d.split())))
+        assert [s for _, s in sorted(got[pid])] == [s for _, s in scored][:5]
+
+
+def test_fewer_meetings_than_pairs(spark):
+    """In a hot block the prefix join brings fewer pairs together than the block has, and salts change none of them."""
+    names = lambda seed: sorted({" ".join(random.Random(seed * 1000 + i).sample([f"{a}{b}ER" for a in "BCDFGHLMNPRST" for b in "AEIOU"], 2)) for i in range(400)})
+    encode = lambda seed, number: encoded_sets(
+        spark.createDataFrame([("b", t) for t in names(seed)], "block string, text string").withColumn("tokens", S.trigrams(F.col("text"))), "tokens", TRIGRAM_CODE, number, "sets",
+    )
+    q, r = encode(1, "q_id"), encode(2, "r_id")
+    pairs = q.count() * r.count()
+    for threshold in (0.2, 0.4, 0.6):
+        met = []
+        for cell in (20, 200_000):
+            rare = _rare_first(q, r, ["block"])
+            cut_off = lambda side, t, number: side.selectExpr(
+                "block", number, f"size AS {t}_size", f"posexplode(slice(codes, 1, CAST(size - ceil(size * {threshold}) + 1 AS INT))) AS ({t}_pos, code)",  # noqa: B023
+            )
+            met.append(_meet(cut_off(rare[0], "q", "q_id"), cut_off(rare[1], "r", "r_id"), ["block", "code"], "true", cell).count())
+        assert met[0] == met[1] < pairs
+
+
 def test_no_cross_join_and_bounded_broadcast(spark):
     """Only the bucket counts carry a broadcast hint; candidates never meet outside an equi-join."""
     q = spark.createDataFrame([("a", "x")], "block string, q string").withColumn("tokens", S.trigrams(F.col("q")))
