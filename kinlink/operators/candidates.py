@@ -11,6 +11,9 @@ from kinlink.functions.text import or_blank
 from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, best_by_words, encoded_sets, pairs_in_blocks, similar_pairs
 from kinlink.session import cut
 
+#: Pairs of strings a task compares, about a second of work, and the most tasks of one such join.
+PAIRS_PER_TASK, MOST_TASKS = 250_000, 20_000
+
 
 def active_only(registry: DataFrame, state: str = "etat_administratif") -> DataFrame:
     return registry.filter(F.col(state) == "A")
@@ -49,10 +52,11 @@ def _best_ids(pairs: DataFrame, texts: int, key: str, k: int) -> DataFrame:
 
 
 def _block_sizes(strings: DataFrame, refs: DataFrame, blocks: list[str], most_pairs: int) -> DataFrame:
-    """One row per block both sides have, with ``small``: are there at most ``most_pairs`` pairs of strings in it?"""
+    """One row per block both sides have, with its ``pairs`` of strings and ``small``: are they at most ``most_pairs``?"""
     n = lambda side, name: side.groupBy(*blocks).agg(F.count("*").alias(name))
     both = n(strings, "__q").join(n(refs, "__r"), blocks)
-    return both.select(*blocks, (F.col("__q") * F.col("__r") <= most_pairs).alias("small"))
+    pairs = F.col("__q") * F.col("__r")
+    return both.select(*blocks, pairs.alias("pairs"), (pairs <= most_pairs).alias("small"))
 
 
 def similar_candidates(
@@ -97,7 +101,10 @@ def similar_candidates(
     value = (F.col("sim") if score is None else score).alias("sim")
     hits = lambda pairs: pairs.join(refs.select("r_id", "ids"), "r_id").select("q_id", value, F.explode("ids").alias(key))
     ranked = lambda pairs: _best_ids(hits(pairs), len(texts), key, k)
-    in_small = lambda side: side.join(sizes.filter("small").select(*blocks), blocks)
+    # Partitions by work, not by bytes; both sides are dealt alike, so the join needs no other exchange.
+    work = sizes.filter("small").agg(F.sum("pairs")).first()[0] or 0
+    tasks = min(max(1, work // PAIRS_PER_TASK), MOST_TASKS)
+    in_small = lambda side: side.join(sizes.filter("small").select(*blocks), blocks).repartition(tasks, *blocks)
     best = ranked(pairs_in_blocks(in_small(strings), in_small(refs), blocks, threshold))
     large = sizes.filter("NOT small").select(*blocks)
     if not large.isEmpty():

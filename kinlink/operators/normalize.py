@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions import text as X
 from kinlink.functions.rules import department_of
+from kinlink.session import spread
 
 DEFAULT_WORDS = X.WordLists()
 
@@ -78,6 +79,7 @@ def normalize_address(df: DataFrame, address: str = "adresse") -> DataFrame:
 
 def normalize_prospects(df: DataFrame, words: X.WordLists = DEFAULT_WORDS, corsica: str = "full") -> DataFrame:
     """Fill the derived prospect columns: department, clean name, variants, street number and street."""
+    df = spread(df)
     postcode = X.strip(F.replace(X.or_blank(F.col("code_postal")), F.lit(".0"), F.lit("")))
     df = df.withColumn("code_postal", postcode)
     given = F.col("departement") if "departement" in df.columns else F.lit(None).cast("string")

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from kinlink import constants as K
 from kinlink.operators import registry as R
 from kinlink.operators.quality import assert_unique_key
+from kinlink.session import spread
 from kinlink.sources.readers import read_legal_units, read_registry, read_registry_csv
 from kinlink.sources.sinks import write_registry
 
 
 def registry_frame(establishments: DataFrame, units: DataFrame, corsica: str = "full") -> DataFrame:
     """Active establishments with legal names, department and search columns; blanks become NULL as in the table."""
-    df = R.attach_legal_names(R.keep_active(establishments), units)
+    df = R.attach_legal_names(spread(R.keep_active(establishments)), units)
     df = R.with_department(df, corsica=corsica)
     text = [c for c in df.columns if c not in ("siret", "siren")]
     return R.clean_search_columns(R.blanks_to_null(df, text)).select(*K.REGISTRY_COLUMNS)

@@ -292,10 +292,13 @@ def union_stages(prospects: DataFrame, stages) -> DataFrame:
     """Run stages in order, each on what is left; every prospect comes out once.
 
     ``stages`` are functions from prospects to (prospect_id, result). Each stage's matches and the remainder are
-    written once, because the next stage and the final union both read them: no stage runs twice.
+    written once, because the next stage and the final union both read them: no stage runs twice, and none runs
+    once nobody is left.
     """
     matched, rest = [], prospects
     for i, stage in enumerate(stages):
+        if rest.isEmpty():
+            break
         hits = cut(stage(rest), f"stage{i}")
         matched.append(hits)
         rest = cut(rest.join(hits.select("prospect_id"), "prospect_id", "left_anti"), f"rest{i}")

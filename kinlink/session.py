@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Stages here compute much on few bytes: pairs of strings. Small partitions are joined up to this size only.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
@@ -67,6 +69,16 @@ def remove_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cores where it comes from fewer files than there are cores.
+
+    For stages that compute much on few bytes, such as cleaning names: a small file is one partition to Spark. Larger
+    inputs stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the file.
 

@@ -13,7 +13,7 @@ from kinlink.operators.normalize import explode_variants, normalize_prospects
 from kinlink.plans import cascade as M
 from kinlink.session import cut, scratch_path
 from kinlink.sources import readers, sinks
-from kinlink.streaming.match_stream import distinct_prospects, match_stream
+from kinlink.streaming.match_stream import distinct_prospects, last_matches, match_stream, read_matches
 from workload import duck as D
 from workload import tables as T
 from workload.text import SQL as TEXT_SQL
@@ -551,20 +551,28 @@ def write_enriched(spark, sf):
     return back.select("nom", "adresse", X.or_blank(F.col("siret")).alias("siret"), "statut_prospection", "methode_matching", F.lit(len(back.columns)).alias("width"))
 
 
-@query(f"""WITH {BASE}, {_trigram_stage('p', 't')} SELECT p.prospect_id, coalesce(b.siret, '') AS siret, coalesce(b.score, 0.0)::DOUBLE AS score, coalesce(b.methode, 'NON_TROUVE') AS methode
-FROM p LEFT JOIN t_best b USING (prospect_id)""")
+@query(f"""WITH {_cascade_sql()} SELECT prospect_id, siret, score, methode FROM live""")
 def prospect_stream(spark, sf):
-    """The trigram stage over the prospect table arriving as a file stream, repeats dropped."""
+    """The whole cascade over the prospect table arriving as a stream of two files, a quarter hour apart.
+
+    The second file repeats prospects of the first within the delay and holds rows too old to count, under other names.
+    """
     source, out, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
-    stamped = T.prospects(spark, sf).withColumn("seen_at", F.timestamp_seconds(F.lit(1700000000)))
-    stamped.unionAll(stamped).write.parquet(source)
+    p = cut(T.prospects(spark, sf), "arriving")
+    at = lambda rows, minutes: rows.withColumn("seen_at", F.timestamp_seconds(F.lit(1700000000 + 60 * minutes)))
+    first = F.pmod(F.xxhash64("prospect_id"), F.lit(2)) == 0
+    late = at(p.filter(~first).withColumn("nom", F.lit("ARRIVED TOO LATE")), -600)
+    for rows in (at(p.filter(first), 0), at(p, 15).unionByName(late)):
+        rows.coalesce(1).write.mode("append").parquet(source)
     registry = _registry(spark, sf)
+    pages, funding, agreements = T.run(spark, sf, _CASCADE_PAGES), T.funding(spark, sf), T.agreements(spark, sf)
 
     def match(batch):
-        p = cut(normalize_prospects(batch.drop("seen_at")), "batch")
-        return _shown(M.union_stages(p, [lambda rest: M.match_by_trigram(rest, registry)]))
-
-    arriving = spark.readStream.schema(stamped.schema).parquet(source)
-    match_stream(distinct_prospects(arriving, time="seen_at"), match, out, state).awaitTermination()
-    schema = PT.StructType([PT.StructField(c, PT.StringType()) for c in ("prospect_id", "siret")] + [PT.StructField("score", PT.DoubleType()), PT.StructField("methode", PT.StringType())])
-    return spark.read.schema(schema).parquet(f"{out}/batch_id=*")
+        rows = cut(batch.drop("seen_at"), "batch")
+        return _shown(M.match_cascade(rows, registry, funding=funding, agreements=agreements, pages=pages))
+
+    schema = at(p, 0).schema
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    match_stream(distinct_prospects(arriving, key="prospect_id", time="seen_at"), match, out, state).awaitTermination()
+    shown = PT.StructType([PT.StructField(c, PT.StringType()) for c in ("prospect_id", "siret")] + [PT.StructField("score", PT.DoubleType()), PT.StructField("methode", PT.StringType())])
+    return last_matches(read_matches(spark, out, shown))
