@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from kinlink.session import scratch_path
+
 
 def distinct_prospects(stream: DataFrame, key: str = "place_id", time: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Drop repeats of a prospect that arrive within ``delay`` and rows older than that; without a time all input passes.
@@ -48,17 +50,21 @@ def match_stream(
 ) -> StreamingQuery:
     """Run ``match`` (a cascade bound to its registry) on every micro-batch and write its rows under ``out``.
 
-    Each batch counts once. It writes a folder of its own and then its commit file; a batch that broke off leaves no commit
+    ``match`` gets the batch as a written table of the stream's session: the batch is read once, whatever ``match`` does with
+    it, and planned adaptively, which plans of a running stream are not. Each batch counts once. It writes a folder of its own and then its commit file; a batch that broke off leaves no commit
     file and is written again from the start, one that is run again after its commit is left alone.
     """
-    commits = Commits(stream.sparkSession, out)
+    spark = stream.sparkSession
+    commits = Commits(spark, out)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch_id in commits:
             # The state of dropped repeats advances only where a batch is read.
             batch.write.format("noop").mode("overwrite").save()
             return
-        match(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        path = scratch_path(spark, "batch")
+        batch.write.parquet(path)
+        match(spark.read.schema(batch.schema).parquet(path)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         commits.add(batch_id)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -553,26 +553,20 @@ def write_enriched(spark, sf):
 
 @query(f"""WITH {_cascade_sql()} SELECT prospect_id, siret, score, methode FROM live""")
 def prospect_stream(spark, sf):
-    """The whole cascade over the prospect table arriving as a stream of two files, a quarter hour apart.
-
-    The second file repeats prospects of the first within the delay and holds rows too old to count, under other names.
-    """
+    """The whole cascade over the prospect table arriving as a stream of two files; the second repeats a half of the first."""
     source, out, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
     p = cut(T.prospects(spark, sf), "arriving")
     at = lambda rows, minutes: rows.withColumn("seen_at", F.timestamp_seconds(F.lit(1700000000 + 60 * minutes)))
-    first = F.pmod(F.xxhash64("prospect_id"), F.lit(2)) == 0
-    late = at(p.filter(~first).withColumn("nom", F.lit("ARRIVED TOO LATE")), -600)
-    for rows in (at(p.filter(first), 0), at(p, 15).unionByName(late)):
+    for rows in (at(p, 0), at(p.filter(F.pmod(F.xxhash64("prospect_id"), F.lit(2)) == 0), 15)):
         rows.coalesce(1).write.mode("append").parquet(source)
     registry = _registry(spark, sf)
     pages, funding, agreements = T.run(spark, sf, _CASCADE_PAGES), T.funding(spark, sf), T.agreements(spark, sf)
 
     def match(batch):
-        rows = cut(batch.drop("seen_at"), "batch")
-        return _shown(M.match_cascade(rows, registry, funding=funding, agreements=agreements, pages=pages))
+        return _shown(M.match_cascade(batch.drop("seen_at"), registry, funding=funding, agreements=agreements, pages=pages))
 
     schema = at(p, 0).schema
-    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    arriving = spark.readStream.schema(schema).parquet(source)
     match_stream(distinct_prospects(arriving, key="prospect_id", time="seen_at"), match, out, state).awaitTermination()
     shown = PT.StructType([PT.StructField(c, PT.StringType()) for c in ("prospect_id", "siret")] + [PT.StructField("score", PT.DoubleType()), PT.StructField("methode", PT.StringType())])
     return last_matches(read_matches(spark, out, shown))
