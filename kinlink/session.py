@@ -70,13 +70,13 @@ def remove_scratch(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over the cores where it comes from fewer files than there are cores.
+    """``df`` dealt over the cores where it comes from files, fewer than there are cores.
 
     For stages that compute much on few bytes, such as cleaning names: a small file is one partition to Spark. Larger
     inputs stay as they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df.repartition(cores) if not df.isStreaming and 0 < len(df.inputFiles()) < cores else df
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
