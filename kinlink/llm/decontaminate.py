@@ -2,13 +2,15 @@
 
 The CGK random walk turns a word sequence into a longer one in which it stays on a word or goes on, by a random bit for
 (step, word). Two sequences a few edits apart fall into step again, so their embeddings have a small Hamming distance, and
-a few sampled coordinates of both agree with fair probability. Each item has one signature for each walk and sample; a
-window of a document that shares a signature with an item is compared with it by edit distance.
+a few sampled coordinates of both agree with fair probability. The distance grows with the square of the edits, so items of
+more than ``PART`` words are looked for by parts of that many words: if an item has at most a fifth of its words edited, so
+has one of its parts. Each part has one signature for each walk and sample; where a window of a document shares one with a
+part, the whole item is compared by edit distance with the passages around it.
 
 The benchmark is a query set: blocks of at most ``BLOCK`` items go to the tasks, all documents pass once a block, and no
-document is shuffled. Before embedding, an exact count leaves out windows that no item of their size class can match: an
-item of m words with at most k edits keeps m - 1 - 2k of its word pairs, and the first of them begins at most 2k words
-after the passage. Every position that allows for both is tried.
+document is shuffled. Before embedding, an exact count leaves out windows that no part of their size can match: a part of
+m words with at most k edits keeps m - 1 - 2k of its word pairs, and the first of them begins at most 2k words after the
+passage. Every position that allows for both is tried.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from kinlink.llm.common import returning_memory
 from kinlink.session import cut
 
 BLOCK = 20_000
-WALKS, SAMPLES, WIDTH = 6, 16, 3
+PART, WALKS, SAMPLES, WIDTH = 10, 6, 16, 3
 MIX = np.uint64(0xD6E8FEB86659FD93)
 PAIRS = "doc_id long, item_id long, position long, n_item long, distance long"
 
@@ -54,21 +56,21 @@ class Vocabulary(dict):
         return code
 
 
-class SizeClass:
-    """Items of similar length: how long their windows are, how many word pairs those keep, and all signatures."""
+class Parts:
+    """Item parts of one length: how long their windows are, how many word pairs those keep, and all signatures."""
 
-    def __init__(self, items: list[np.ndarray], numbers: list[int], percent: int, seed: int):
-        low, high = min(map(len, items)), max(map(len, items))
-        self.items, self.numbers = items, np.array(numbers)
-        self.span, self.reach = high + allowed_edits(high, percent), 2 * allowed_edits(high, percent)
-        self.need = max(1, min(len(i) - 1 - 2 * allowed_edits(len(i), percent) for i in items))
-        self.steps = 2 * low
-        random = np.random.default_rng(seed + low)
+    def __init__(self, length: int, parts: list[tuple[int, int, np.ndarray]], percent: int, seed: int):
+        """``parts`` are (number of the item, place of the part in it, words of the item from there on)."""
+        edits = allowed_edits(length, percent)
+        self.span, self.reach, self.need = length + edits, 2 * edits, max(1, length - 1 - 2 * edits)
+        self.steps = 2 * length
+        self.item, self.place = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
+        random = np.random.default_rng(seed + length)
         self.seeds = random.integers(0, 2**63, (WALKS, self.steps), np.uint64)
         self.samples = [[np.sort(random.choice(self.steps, min(WIDTH, self.steps), replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
-        table = np.full((len(items), self.span), -9, np.int64)
-        for row, item in zip(table, items, strict=True):
-            row[: len(item)] = item
+        table = np.full((len(parts), self.span), -9, np.int64)
+        for row, (_, _, words) in zip(table, parts, strict=True):
+            row[: len(words)] = words[: self.span]
         self.index = []
         for signature in self.signatures(table):
             order = np.argsort(signature, kind="stable")
@@ -92,26 +94,38 @@ class SizeClass:
                 yield total
 
     def candidates(self, windows: np.ndarray) -> np.ndarray:
-        """Distinct (window, item) that share a signature."""
-        found = [np.zeros((0, 2), np.int64)]
+        """Distinct windows and parts that share a signature, in two rows."""
+        found = [np.zeros(0, np.int64)]
         for signature, (keys, order) in zip(self.signatures(windows), self.index, strict=True):
             left, right = np.searchsorted(keys, signature), np.searchsorted(keys, signature, "right")
             n = right - left
             if n.any():
                 within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append(np.stack([np.repeat(np.arange(len(windows)), n), order[np.repeat(left, n) + within]], 1))
-        return np.unique(np.concatenate(found), axis=0)
+                found.append(np.repeat(np.arange(len(windows)) * len(self.item), n) + order[np.repeat(left, n) + within])
+        return np.stack(np.divmod(np.unique(np.concatenate(found)), len(self.item)))
 
 
 def edit_distances(items: list[np.ndarray], windows: np.ndarray) -> np.ndarray:
     """Smallest edit distance of each item to a beginning of its window; all items as long as each other."""
-    columns = np.arange(windows.shape[1] + 1)
+    return _table_end(items, windows, np.arange(windows.shape[1] + 1), 1).min(1)
+
+
+def nearest_passages(items: list[np.ndarray], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest edit distance of each item to any passage of its window, and the first place such a passage begins."""
+    # A cell holds distance and beginning in one number, which the smallest of several compares in this order.
+    unit = windows.shape[1] + 1
+    return np.divmod(_table_end(items, windows, np.arange(unit), unit, free=True).min(1), unit)
+
+
+def _table_end(items: list[np.ndarray], windows: np.ndarray, columns: np.ndarray, unit: int, free: bool = False) -> np.ndarray:
+    """Last row of the edit tables of all items at once, an edit counting ``unit``; ``free`` passages begin anywhere."""
     row = np.broadcast_to(columns, (len(items), len(columns))).astype(np.int64)
+    costs = columns * unit
     for k, word in enumerate(np.array(items).T):
-        step = np.minimum(row[:, 1:] + 1, row[:, :-1] + (windows != word[:, None]))
-        step = np.concatenate([np.full((len(items), 1), k + 1), step], 1)
-        row = np.minimum.accumulate(step - columns, 1) + columns
-    return row.min(1)
+        step = np.minimum(row[:, 1:] + unit, row[:, :-1] + unit * (windows != word[:, None]))
+        step = np.concatenate([np.full((len(items), 1), (k + 1) * unit), step], 1)
+        row = np.minimum.accumulate(step - costs, 1) + costs
+    return row
 
 
 class ItemBlock:
@@ -124,15 +138,18 @@ class ItemBlock:
             words = normal_words(text)
             if len(words) > 1 and number is not None:
                 coded.append((number, np.array([self.words.setdefault(w, len(self.words) + 1) for w in words], np.int64)))
-        by_class: dict[int, list] = {}
-        for number, item in coded:
-            by_class.setdefault(int(np.log(len(item)) / np.log(1.25)), []).append((number, item))
-        self.classes = [SizeClass([i for _, i in group], [n for n, _ in group], percent, seed) for group in by_class.values()]
+        self.items, self.numbers = [i for _, i in coded], np.array([n for n, _ in coded])
+        by_length: dict[int, list] = {}
+        for k, item in enumerate(self.items):
+            length = min(PART, len(item))
+            for place in {*range(0, len(item) - length + 1, length), len(item) - length}:
+                by_length.setdefault(length, []).append((k, place, item[place:]))
+        self.parts = [Parts(length, parts, percent, seed) for length, parts in by_length.items()]
         pairs = [i[:-1] * (len(self.words) + 1) + i[1:] for _, i in coded]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
 
     def search(self, texts: list[str | None], vocabulary: Vocabulary) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, word position, item words, distance) of every verified match."""
+        """(text, item, word position, item words, distance) of verified matches, the best of each passage among them."""
         tokens = [(t or "").lower().split() for t in texts]
         codes = np.fromiter((c for ws in tokens for c in map(vocabulary.__getitem__, ws)), np.int64)
         text = np.repeat(np.arange(len(texts)), [len(ws) for ws in tokens])
@@ -149,24 +166,50 @@ class ItemBlock:
         total = np.concatenate([[0], np.cumsum(hit)])
         # Before the first kept pair, each kept word is followed by an edit: it begins within 2k words of the passage.
         reached = lambda starts, reach: starts[total[np.minimum(starts + reach + 1, len(hit))] > total[starts]]
-        near = reached(np.arange(len(hit)), max(g.reach for g in self.classes))
-        found = []
-        for group in self.classes:
+        near = reached(np.arange(len(hit)), max(g.reach for g in self.parts))
+        placed = []
+        for group in self.parts:
             starts = reached(near, group.reach)
             ends = np.minimum(starts + group.span, begins[text[starts] + 1])
             starts = starts[total[ends - 1] - total[starts] >= group.need]
             for some in np.array_split(starts, len(starts) // 5000 + 1):
-                where = some[:, None] + np.arange(group.span)
-                windows = np.where(where < begins[text[some] + 1][:, None], codes[np.minimum(where, len(codes) - 1)], -9)
-                both = group.candidates(windows) if len(some) else np.zeros((0, 2), np.int64)
-                lengths = np.array([len(group.items[i]) for i in both[:, 1]], np.int64)
-                for n in np.unique(lengths):
-                    these = both[lengths == n]
-                    k = allowed_edits(int(n), self.percent)
-                    apart = edit_distances([group.items[i] for i in these[:, 1]], windows[these[:, 0], : n + k])
-                    for (window, item), d in zip(these[apart <= k], apart[apart <= k], strict=True):
-                        start = some[window]
-                        found.append((int(text[start]), int(group.numbers[item]), int(start - begins[text[start]]), int(n), int(d)))
+                if len(some):
+                    windows = self.windows(codes, begins[text[some] + 1], some, group.span)
+                    window, part = group.candidates(windows)
+                    placed.append(np.stack([some[window] - group.place[part], group.item[part], text[some[window]]], 1))
+        return self.verified(codes, total, begins, np.concatenate(placed)) if placed else []
+
+    @staticmethod
+    def windows(codes: np.ndarray, ends: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+        """``span`` words from each start on, -9 for those behind the end of its text."""
+        where = starts[:, None] + np.arange(span)
+        return np.where(where < ends[:, None], codes[np.minimum(where, len(codes) - 1)], -9)
+
+    def verified(self, codes: np.ndarray, total: np.ndarray, begins: np.ndarray, placed: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """The passage nearest to the whole item around each (position, item, text)."""
+        found = []
+        lengths = np.array([len(i) for i in self.items])[placed[:, 1]]
+        for n in np.unique(lengths).tolist():
+            k = allowed_edits(n, self.percent)
+            these = placed[lengths == n]
+            # A passage begins at most k words from where its part puts it; places of a few words are looked at together.
+            these[:, 0] //= k + 1
+            low, width = these[:, 0].min(), np.ptp(these[:, 0]) + 1
+            pair, place = np.divmod(np.unique((these[:, 2] * len(self.items) + these[:, 1]) * width + these[:, 0] - low), width)
+            these = np.stack([(place + low) * (k + 1), pair % len(self.items), pair // len(self.items)], 1)
+            first, end, span = begins[these[:, 2]], begins[these[:, 2] + 1], n + 4 * k + 1
+            left = np.clip(these[:, 0] - k, first, end - 1)
+            right = np.minimum(left + span, end)
+            enough = total[right - 1] - total[left] >= max(1, n - 1 - 2 * k)
+            these, left, first, end = these[enough], left[enough], first[enough], end[enough]
+            for some in np.array_split(np.arange(len(these)), len(these) * span // 2_000_000 + 1):
+                if len(some):
+                    windows = self.windows(codes, end[some], left[some], span)
+                    apart, at = nearest_passages([self.items[i] for i in these[some, 1]], windows)
+                    for j in np.flatnonzero(apart <= k):
+                        _, item, text = these[some[j]].tolist()
+                        position = int(left[some[j]] + at[j] - first[some[j]])
+                        found.append((text, int(self.numbers[item]), position, n, int(apart[j])))
         return found
 
 
