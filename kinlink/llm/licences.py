@@ -31,6 +31,15 @@ SHORT = {
     "short_cc_sa": ["cc by sa 4 0", "a creative commons attribution sharealike 4 0 international license"],
     "short_cc_zero": ["cc0 1 0"],
 }
+#: Identifiers after "SPDX-License-Identifier:" in normal form, by the licence they name.
+SPDX = {
+    "mit": "MIT", "apache 2 0": "Apache-2.0", "bsd 4 clause": "BSD-4-Clause", "bsd 3 clause": "BSD-3-Clause",
+    "bsd 2 clause": "BSD-2-Clause", "isc": "ISC", "0bsd": "0BSD", "unlicense": "Unlicense", "mpl 2 0": "MPL-2.0",
+    "gpl 3 0 only": "GPL-3.0", "gpl 3 0 or later": "GPL-3.0-or-later", "gpl 2 0 only": "GPL-2.0", "gpl 2 0 or later": "GPL-2.0-or-later",
+    "lgpl 3 0 only": "LGPL-3.0", "lgpl 3 0 or later": "LGPL-3.0-or-later", "lgpl 2 1 only": "LGPL-2.1",
+    "lgpl 2 1 or later": "LGPL-2.1-or-later", "agpl 3 0 only": "AGPL-3.0", "agpl 3 0 or later": "AGPL-3.0-or-later",
+    "cc by 4 0": "CC-BY-4.0", "cc by sa 4 0": "CC-BY-SA-4.0", "cc by nc 4 0": "CC-BY-NC-4.0", "cc0 1 0": "CC0-1.0",
+}
 SUBJECTS = ["", "this project is ", "this software is ", "this work is "]
 # --- fixed values: licence sentences in normal form (lower case, other than letters and digits one blank) -------------
 SENTENCES = {
@@ -79,6 +88,8 @@ SENTENCES = {
     "cc_by_sa": "licensed under cc by sa 4 0",
     "cc_zero": "licensed under cc0 1 0",
     "reserved": "all rights reserved",
+    "spdx": "spdx license identifier",
+    **{f"spdx_{name.replace(' ', '_')}": name for name in SPDX},
 }
 for _key, _names in SHORT.items():
     _all = [f"{subject}{verb} under {name}" for name in _names for verb in ("licensed", "released") for subject in SUBJECTS]
@@ -102,6 +113,8 @@ def gnu(kind: str, version: str, *whole: str) -> list[str]:
 
 # --- fixed values: licence, class, identifiers that must occur in this order; "a,b" are neighbours, "(a|b)" is either --
 BSD_NAMES = "(bsd_names|bsd_names_of|bsd_author)"
+# Before the sentences of a licence this one belongs to the copyright notice: it counts only where none follows it.
+LAST = ["reserved"]
 RULES = [
     ("MIT", "permissive", [short("short_mit", "mit_notice", "mit_short")]), ("MIT", "permissive", ["mit_grant", "mit_keep"]),
     ("Apache-2.0", "permissive", [short("short_apache", "apache_notice")]), ("Apache-2.0", "permissive", ["apache_the", "apache_use"]),
@@ -120,8 +133,10 @@ RULES = [
     ("AGPL-3.0", "copyleft", [short("short_agpl3")]), ("AGPL-3.0-or-later", "copyleft", gnu("agpl", "v3")),
     ("CC-BY-NC-4.0", "noncommercial", [short("short_cc_nc", "cc_by_nc")]), ("CC-BY-4.0", "permissive", [short("short_cc_by", "cc_by")]),
     ("CC-BY-SA-4.0", "copyleft", [short("short_cc_sa", "cc_by_sa")]), ("CC0-1.0", "permissive", [short("short_cc_zero", "cc_zero")]),
-    ("Proprietary", "reserved", ["reserved"]),
+    ("Proprietary", "reserved", LAST),
 ]
+_class = {name: kind for name, kind, _ in RULES}
+RULES[-1:-1] = [(name, _class[name], [f"spdx,spdx_{words.replace(' ', '_')}"]) for words, name in SPDX.items()]
 #: What stands between a holder's name and "its contributors", in any line layout.
 NOR = r"|[Nn][Oo][Rr][ \t\r\n*#/]+[Tt][Hh][Ee][ \t\r\n*#/]+[Nn][Aa][Mm][Ee][Ss]?[ \t\r\n*#/]+[Oo][Ff][ \t\r\n]"
 #: Where sentences end when line ends count as ends, and when only blank lines do (wrapped notices).
@@ -147,6 +162,8 @@ def scan_licences(docs: DataFrame) -> DataFrame:
 
     ``line_ids`` are the sentences found with line ends as sentence ends, ``wrapped_ids`` those found where only blank
     lines end one; a rule that holds for either sequence counts.
+    "All rights reserved." makes a text proprietary only as the last known sentence of each sequence that has any: before
+    the sentences of a licence it belongs to the copyright notice.
     ``licences`` and ``licence_classes`` are distinct, in the order of the rules. Letters outside ASCII separate words.
 
     Defined results: null and empty texts have no sentences; repeated rows and ids are judged row by row; an empty table
@@ -156,7 +173,12 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", *[sentence_ids(text, e).alias(name) for name, e in ENDS.items()])
     chain = lambda c: F.concat(F.lit(","), F.array_join(c, ","), F.lit(","))
     rows = rows.select("doc_id", *[F.array_join(k, ",").alias(f"{k}_ids") for k in ENDS], chain(F.col("line")).alias("_l"), chain(F.col("wrapped")).alias("_w"))
-    hit = lambda ids: F.col("_l").rlike(rule_pattern(ids)) | F.col("_w").rlike(rule_pattern(ids))
+
+    def hit(ids: list[str]) -> Column:
+        line, wrapped = (F.col(c).rlike(f",{ids[0]},$" if ids is LAST else rule_pattern(ids)) for c in ("_l", "_w"))
+        either = line | wrapped
+        return either & (line | (F.col("_l") == ",,")) & (wrapped | (F.col("_w") == ",,")) if ids is LAST else either
+
     found = lambda at: F.array_join(F.array_distinct(F.filter(F.array(*[F.when(hit(r[2]), F.lit(r[at])) for r in RULES]), lambda x: x.isNotNull())), ",")
     return rows.select("doc_id", "line_ids", "wrapped_ids", found(0).alias("licences"), found(1).alias("licence_classes"))
 
@@ -169,7 +191,13 @@ def scan_sql() -> str:
         "list_filter(list_transform(string_split(lower(regexp_replace(regexp_replace(coalesce(text, ''), "
         f"{quoted(ends)}, chr(1), 'g'), '[^A-Za-z0-9\\x01]+', ' ', 'g')), chr(1)), lambda s: element_at({known}, trim(s))[1]), lambda k: k IS NOT NULL)"
     )
-    hit = lambda r: f"(regexp_matches(l, {quoted(rule_pattern(r[2]))}) OR regexp_matches(w, {quoted(rule_pattern(r[2]))}))"
+
+    def hit(rule: tuple[str, str, list[str]]) -> str:
+        pattern = quoted(f",{rule[2][0]},$" if rule[2] is LAST else rule_pattern(rule[2]))
+        either = f"(regexp_matches(l, {pattern}) OR regexp_matches(w, {pattern}))"
+        every = "".join(f" AND ({c} = ',,' OR regexp_matches({c}, {pattern}))" for c in "lw")
+        return f"({either}{every})" if rule[2] is LAST else either
+
     # Distinct in rule order: a value counts at its first rule only.
     found = lambda at: "array_to_string(list_filter([" + ", ".join(
         f"CASE WHEN ({' OR '.join(hit(r) for r in RULES if r[at] == v)}) THEN {quoted(v)} END" for v in dict.fromkeys(r[at] for r in RULES)

@@ -224,6 +224,29 @@ def test_licences_of_canonical_texts(spark):
     assert sorted(con.execute(licences.scan_sql()).fetchall()) == sorted(tuple(r) for r in got)
 
 
+def test_rights_reserved_and_spdx_tags(spark):
+    import duckdb
+
+    texts = []
+    for text, name in CANONICAL:
+        wrapped = "\n\n".join(textwrap.fill(p, 70, break_on_hyphens=False) for p in text.split("\n\n"))
+        for mark in ("\n", ". "):
+            texts += [(f"Copyright (c) 2012, Some Holder{mark}All rights reserved.\n\n{form}", name) for form in (text, wrapped)]
+    texts += [
+        ("// SPDX-License-Identifier: Apache-2.0\nint main", "Apache-2.0"), ("# SPDX-License-Identifier: MIT", "MIT"),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0-or-later"), ("MIT", ""), ("SPDX-License-Identifier: own", ""),
+        ("Copyright 2001 Some Firm. All rights reserved.", "Proprietary"),
+        ("All rights reserved. Licensed under the MIT License. All rights reserved.", "MIT,Proprietary"),
+    ]
+    frame = [(k, text) for k, (text, _) in enumerate(texts)]
+    got = licences.scan_licences(spark.createDataFrame(frame, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licences for r in got} == {k: name for k, (_, name) in enumerate(texts)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", frame)
+    assert sorted(con.execute(licences.scan_sql()).fetchall()) == sorted(tuple(r) for r in got)
+
+
 def test_licences_of_awkward_rows(docs, rows):
     assert licences.scan_licences(docs).count() == len(rows)
 
