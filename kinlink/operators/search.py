@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinlink import constants as K
@@ -98,14 +98,58 @@ def page_order(first: str = "commune", second: str = "denomination", key: str =
     return [F.asc_nulls_last(first), F.asc_nulls_last(second), F.col(key).asc()]
 
 
-def page(df: DataFrame, limit: int = 500, offset: int = 0, order: list[Column] | None = None) -> DataFrame:
+def _check_page(limit: int, offset: int) -> None:
     if not 1 <= limit <= 5000:
         raise ValueError("limit must be between 1 and 5000")
     if offset < 0:
         raise ValueError("offset must not be negative")
+
+
+def page(df: DataFrame, limit: int = 500, offset: int = 0, order: list[Column] | None = None) -> DataFrame:
+    """One page of a result. One task sorts ``offset + limit`` rows; ``write_pages`` and ``seek_page`` serve deep pages."""
+    _check_page(limit, offset)
     return df.orderBy(*(order or page_order())).offset(offset).limit(limit)
 
 
+def write_pages(df: DataFrame, path: str, order: list[Column] | None = None, ranges: int | None = None) -> DataFrame:
+    """Write a result once by ranges of its order, for pages at any depth; returns rows per range (``page_range, n``).
+
+    The order has to end in a unique column, so that a value shared by many rows can be split. ``ranges`` is the session's
+    number of shuffle partitions by default; a page then sorts that fraction of the rows.
+    """
+    order = order or page_order()
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(ranges, *order).withColumn("page_range", F.spark_partition_id())
+    ranged.sortWithinPartitions(*order).write.partitionBy("page_range").parquet(f"{path}/rows")
+    ranged.limit(0).write.parquet(f"{path}/empty")
+    # The folder names and file footers hold all that is counted here.
+    sizes = _ranged_rows(df.sparkSession, path).groupBy("page_range").agg(F.count(F.lit(1)).alias("n"))
+    sizes.coalesce(1).write.parquet(f"{path}/sizes")
+    return df.sparkSession.read.parquet(f"{path}/sizes")
+
+
+def _ranged_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``write_pages``; an empty result has no folders to take the columns from."""
+    return spark.read.schema(spark.read.parquet(f"{path}/empty").schema).parquet(f"{path}/rows")
+
+
+def seek_page(spark: SparkSession, path: str, limit: int = 500, offset: int = 0, order: list[Column] | None = None) -> DataFrame:
+    """A page of a result written by ``write_pages``, equal to ``page`` of it; reads only the ranges the page meets.
+
+    The sizes, one row per range, are read by the driver.
+    """
+    _check_page(limit, offset)
+    start, met, skipped = 0, [], 0
+    for r in spark.read.parquet(f"{path}/sizes").orderBy("page_range").collect():
+        if start + r.n <= offset:
+            skipped = start + r.n
+        elif start < offset + limit:
+            met.append(r.page_range)
+        start += r.n
+    rows = _ranged_rows(spark, path).filter(F.col("page_range").isin(met)).drop("page_range")
+    return rows.orderBy(*(order or page_order())).offset(offset - skipped if met else 0).limit(limit)
+
+
 def clamp_page_size(limit: int | None) -> int:
     return max(100, min(2000, limit or 500))
 

@@ -9,7 +9,7 @@ from kinlink.operators import registry as R
 from kinlink.operators.quality import assert_unique_key
 from kinlink.session import spread
 from kinlink.sources.readers import read_legal_units, read_registry, read_registry_csv
-from kinlink.sources.sinks import write_registry
+from kinlink.sources.sinks import publish, write_registry
 
 
 def registry_frame(establishments: DataFrame, units: DataFrame, corsica: str = "full") -> DataFrame:
@@ -21,7 +21,12 @@ def registry_frame(establishments: DataFrame, units: DataFrame, corsica: str = "
 
 
 def build_registry(spark: SparkSession, establishments_csv: str, units_csv: str, path: str) -> DataFrame:
-    """Read, join, derive, write and check; returns the written table."""
+    """Read, join, derive, write and check a new version, then publish it; returns the written table.
+
+    Whatever fails before leaves the registry of the last build in place.
+    """
     df = registry_frame(read_registry_csv(spark, establishments_csv), read_legal_units(spark, units_csv))
-    write_registry(df, path)
-    return assert_unique_key(read_registry(spark, path), "siret")
+    return read_registry(spark, publish(
+        spark, path, lambda version: write_registry(df, version),
+        lambda version: assert_unique_key(read_registry(spark, version), "siret"),
+    ))

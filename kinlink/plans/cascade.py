@@ -15,7 +15,7 @@ from kinlink.operators.extract import first_page_id, site_urls
 from kinlink.operators.normalize import explode_variants, normalize_prospects
 from kinlink.operators.registry import clean_search_columns
 from kinlink.operators.scoring import name_points, street_ratio
-from kinlink.session import cut
+from kinlink.session import Journal, cut, fingerprint
 
 PROSPECT_KEYS = [
     "prospect_id", "nom", "code_postal", "departement", "nom_clean", "nom_variantes", "adresse_numero",
@@ -288,20 +288,23 @@ def unmatched_results(prospects: DataFrame) -> DataFrame:
     return prospects.select("prospect_id", result_struct(fields).alias("result"))
 
 
-def union_stages(prospects: DataFrame, stages) -> DataFrame:
+def union_stages(prospects: DataFrame, stages, journal: Journal | None = None) -> DataFrame:
     """Run stages in order, each on what is left; every prospect comes out once.
 
+    With a ``journal`` the stages finished by an earlier run on the same inputs are read instead of run.
+
     ``stages`` are functions from prospects to (prospect_id, result). Each stage's matches and the remainder are
     written once, because the next stage and the final union both read them: no stage runs twice, and none runs
     once nobody is left.
     """
+    step = journal.step if journal else lambda name, run: cut(run(), name)
     matched, rest = [], prospects
     for i, stage in enumerate(stages):
         if rest.isEmpty():
             break
-        hits = cut(stage(rest), f"stage{i}")
+        hits = step(f"stage{i}", lambda stage=stage, rest=rest: stage(rest))
         matched.append(hits)
-        rest = cut(rest.join(hits.select("prospect_id"), "prospect_id", "left_anti"), f"rest{i}")
+        rest = step(f"rest{i}", lambda hits=hits, rest=rest: rest.join(hits.select("prospect_id"), "prospect_id", "left_anti"))
     results = unmatched_results(rest)
     for hits in matched:
         results = results.unionByName(hits)
@@ -335,9 +338,18 @@ def match_cascade(
     responses: DataFrame | None = None,
     use_registry: bool = True,
     enrich: bool = True,
+    journal: str | None = None,
 ) -> DataFrame:
-    """Match a whole prospect table (with ``prospect_id``) to a registry; returns the prospects with ``result``."""
-    p = cut(normalize_prospects(prospects), "prospects")
+    """Match a whole prospect table (with ``prospect_id``) to a registry; returns the prospects with ``result``.
+
+    ``journal`` names a folder all executors share, for a job that may break off: run again on the same inputs, it goes on
+    after the last finished stage. One pass over each input tells whether they are the same.
+    """
+    steps = None
+    if journal is not None:
+        inputs = fingerprint(prospects, registry, pages, addresses, responses)
+        steps = Journal(prospects.sparkSession, journal, f"{inputs}-{'registry' if use_registry else 'responses'}")
+    p = steps.step("prospects", lambda: normalize_prospects(prospects)) if steps else cut(normalize_prospects(prospects), "prospects")
     if "denomination_clean" not in registry.columns:
         registry = clean_search_columns(registry)
     active = C.active_only(registry)
@@ -347,7 +359,7 @@ def match_cascade(
         stages.append(lambda rest: match_by_trigram(rest, registry))
     if pages is not None:
         stages.append(lambda rest: match_by_page_id(rest, registry, pages))
-    results = union_stages(p, stages)
+    results = union_stages(p, stages, steps)
     if enrich:
         results = enrich_results(results, registry, funding, agreements)
     return p.join(results, "prospect_id", "left")

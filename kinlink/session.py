@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings a caller should start the session with. AQE splits skewed shuffle partitions at run time, also when a
 # window or an aggregate follows the join.
@@ -69,6 +72,57 @@ def remove_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+class Markers:
+    """Empty files in a folder. A name is set or not, whatever breaks off, so setting one is a single step."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        self.files = self.folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def add(self, name: str) -> None:
+        path = self.folder.suffix(f"/{name}")
+        if not self.files.exists(path):
+            self.files.create(path, False).close()
+
+    def names(self) -> list[str]:
+        """The names set so far, in order."""
+        return sorted(s.getPath().getName() for s in self.files.listStatus(self.folder)) if self.files.exists(self.folder) else []
+
+
+def fingerprint(*frames: DataFrame | None) -> str:
+    """A digest of the rows of tables, whatever their order and files; one pass each, summed map-side."""
+    parts = []
+    for df in frames:
+        if df is not None:
+            # Two sums of differently salted hashes, and the count: equal rows weigh as often as they come.
+            sums = [F.sum(F.xxhash64(F.lit(salt), F.to_json(F.struct(*df.columns))).cast("decimal(38,0)")) for salt in (1, 2)]
+            parts.append((df.schema.simpleString(), *df.agg(F.count(F.lit(1)), *sums).first()))
+        else:
+            parts.append(None)
+    return hashlib.sha256(repr(parts).encode()).hexdigest()[:32]
+
+
+class Journal:
+    """Finished steps of a job in a shared folder, by the fingerprint of the job's inputs and the step's name.
+
+    A step's rows are written to a folder of their own, then its marker names that folder. A run after one that broke off
+    reads the steps that have a marker and computes the others; other inputs are another job.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, inputs: str):
+        self.spark, self.folder = spark, f"{folder.rstrip('/')}/{inputs}"
+        self.markers = Markers(spark, f"{self.folder}/_finished")
+
+    def step(self, name: str, run: Callable[[], DataFrame]) -> DataFrame:
+        done = [m for m in self.markers.names() if m.rpartition("@")[0] == name]
+        if not done:
+            written = f"{name}@{uuid.uuid4().hex}"
+            run().write.parquet(f"{self.folder}/{written}")
+            self.markers.add(written)
+            done = [written]
+        return self.spark.read.parquet(f"{self.folder}/{done[0]}")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over the cores where it comes from files, fewer than there are cores.
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from kinlink import constants as K
 from kinlink.functions import text as X
+from kinlink.session import Markers
 
 CSV = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
@@ -143,7 +144,14 @@ def read_name_search_json(spark: SparkSession, path: str) -> DataFrame:
     return parse_name_search(spark.read.schema(schema).json(path))
 
 
+def current_version(spark: SparkSession, path: str) -> str:
+    """The folder of a published table's current version; the folder itself where no version was published."""
+    published = Markers(spark, f"{path}/_published").names()
+    return f"{path}/{published[-1]}" if published else path
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Registry as written by ``write_registry``, in its fixed column order."""
+    """Registry as written by ``write_registry``, or its current version, in its fixed column order."""
+    path = current_version(spark, path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in K.REGISTRY_COLUMNS])
     return spark.read.schema(schema).parquet(path).select(*K.REGISTRY_COLUMNS)

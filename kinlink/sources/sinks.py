@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import datetime
+import re
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlink import constants as K
 from kinlink.functions.text import or_blank
+from kinlink.session import Markers
 
 
 def write_registry(df: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
@@ -23,10 +27,36 @@ def write_registry(df: DataFrame, path: str, rows_per_file: int = 2_000_000) ->
 
 
 def full_refresh(df: DataFrame, path: str) -> None:
-    """Replace a table; there is no incremental load."""
+    """Replace a table; there is no incremental load. ``publish`` does it without a time in which there is no table."""
     df.write.mode("overwrite").parquet(path)
 
 
+def publish(
+    spark: SparkSession, path: str, write: Callable[[str], None], check: Callable[[str], object] | None = None, keep: int = 2
+) -> str:
+    """Refresh the table ``path`` as a new version: ``write`` it to a folder beside the others, ``check`` it, then set its
+    marker. Returns the folder.
+
+    Readers take the version of the last marker (``current_version``), so a write that breaks off or a check that raises
+    leaves the table as it was. Versions before the last ``keep`` are deleted, with what broken writes have left among them.
+    """
+    markers = Markers(spark, f"{path}/_published")
+    names = markers.names()
+    number = int(names[-1].split("-")[0]) + 1 if names else 1
+    version = f"{number:010d}-{uuid.uuid4().hex}"
+    write(f"{path}/{version}")
+    if check is not None:
+        check(f"{path}/{version}")
+    markers.add(version)
+    last = markers.names()[-keep:]
+    for status in markers.files.listStatus(markers.folder.getParent()):
+        name = status.getPath().getName()
+        # A version being written by another job has a number that is not below the kept ones.
+        if re.fullmatch(r"[0-9]{10}-[0-9a-f]{32}", name) and name.split("-")[0] < last[0].split("-")[0]:
+            markers.files.delete(status.getPath(), True)
+    return f"{path}/{version}"
+
+
 def enriched_rows(results: DataFrame) -> DataFrame:
     """The flat 28-column export, one row per prospect."""
     given = [

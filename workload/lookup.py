@@ -263,6 +263,16 @@ def page(spark, sf):
     return S.page(found.select("siret", "commune", "denomination"), limit=25, offset=10)
 
 
+@query("""SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders
+ORDER BY o_orderpriority NULLS LAST, o_totalprice NULLS LAST, o_orderkey LIMIT 500 OFFSET (SELECT count(*) // 2 FROM orders)""")
+def page_seek(spark, sf):
+    """The page in the middle of all orders, from ranges written once."""
+    orders = T.load(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    order, path = S.page_order("o_orderpriority", "o_totalprice", "o_orderkey"), scratch_path(spark, "pages")
+    total = S.write_pages(orders, path, order).agg(F.sum("n")).first()[0]
+    return S.seek_page(spark, path, 500, total // 2, order)
+
+
 @query("""SELECT i AS page, ceil(total / 500)::INT AS total_pages, total, (i - 1) * 500 AS "offset", 500 AS "limit"
 FROM (SELECT count(*) AS total FROM lineitem), LATERAL (SELECT unnest(range(1, ceil(total / 500)::BIGINT + 1)) AS i)""")
 def page_plan(spark, sf):
