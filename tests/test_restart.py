@@ -98,3 +98,18 @@ def test_pages_by_ranges(spark):
         S.seek_page(spark, path, 0, 0)
     S.write_pages(df.limit(0), path + "-empty")
     assert S.seek_page(spark, path + "-empty", 10, 0).count() == 0
+
+
+def test_cascade_with_a_journal(spark, monkeypatch):
+    from kinlink.sources.readers import with_prospect_id
+
+    fields = "nom adresse code_postal site_web ville departement telephone email secteur_recherche place_id rating avis".split()
+    prospects = with_prospect_id(spark.createDataFrame([("Foo Bar", *[""] * 11), ("Baz", *[""] * 11)], ", ".join(f"{c} string" for c in fields)))
+    pages = spark.createDataFrame([("https://a.example", "SIRET 44306184100047")], "url string, html string")
+    columns = "siret siren denomination denomination_usuelle enseigne enseigne2 naf numero_voie type_voie voie code_postal commune tranche_effectif date_creation etat_administratif departement".split()
+    registry = spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+    folder, calls = scratch_path(spark, "journal"), []
+    monkeypatch.setattr(M, "match_by_page_id", lambda rest, *_: calls.append(1) or M.unmatched_results(rest).limit(0))
+    run = lambda: sorted(M.match_cascade(prospects, registry, pages=pages, use_registry=False, enrich=False, journal=folder).collect())
+    first = run()
+    assert len(first) == 2 and run() == first and calls == [1]
