@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinlink import constants as K
 from kinlink.functions import similarity as S
+from kinlink.functions.rules import department_of
 from kinlink.functions.text import or_blank
 from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, best_by_words, encoded_sets, pairs_in_blocks, similar_pairs
 from kinlink.session import cut
@@ -160,6 +163,21 @@ def name_candidates_with_fallback(
     return near.withColumn("block_kind", F.lit("postcode")).unionByName(far.withColumn("block_kind", F.lit("department")))
 
 
+def in_asked_departments(
+    registry: DataFrame, asked: DataFrame, *, postcode: str = "code_postal", department: str = "departement",
+    own: str | None = None, also: tuple[str, ...] = (), corsica: str = "full", most: int = 1_000,
+) -> DataFrame:
+    """The registry's departments in which the asked postcodes lie, so that a search by postcode reads only their folders.
+
+    For a registry whose department follows from the postcode, as ``build_registry`` writes it. ``own`` names a column of
+    ``asked`` with departments to search as well, ``also`` lists others. The departments come to the driver as a filter on
+    the partition column; beyond ``most`` values the registry stays whole.
+    """
+    places = F.array(department_of(F.col(postcode), corsica), F.col(own) if own else F.lit(None).cast("string"))
+    codes = {r.d for r in asked.select(F.explode(places).alias("d")).distinct().limit(most + 1).collect()}
+    return registry if len(codes) > most else registry.filter(F.col(department).isin(sorted({*codes, *also} - {None})))
+
+
 def address_candidates(
     prospects: DataFrame,
     registry: DataFrame,
@@ -217,14 +235,27 @@ def nearby_address_candidates(
     table: dict[str, list[str]] | None = None,
     **options,
 ) -> DataFrame:
-    """Address search in neighbouring postcodes: the first one that has any row wins."""
-    turns = nearby_postcodes(prospects.filter(F.col(department).isin(*departments)), table=table)
-    found = address_candidates(
-        turns, registry, query_id=(query_id, "alt_ord"), postcode=("alt_postcode", "code_postal"), **options
-    )
-    # At most ten rows per turn and a handful of turns per prospect: the window groups are small by construction.
-    first = F.min("alt_ord").over(Window.partitionBy(query_id))
-    return found.withColumn("__first", first).filter(F.col("alt_ord") == F.col("__first")).drop("__first")
+    """Address search in neighbouring postcodes: the first one that has any row wins.
+
+    One search a turn, of the prospects without a hit so far; it ends when there are none or they have no more turns. There
+    are as many turns as the longest list of the table, a handful.
+    """
+    number = options.get("number", ("adresse_numero", "numero_voie"))[0]
+    asked = prospects.filter(F.col(department).isin(*departments) & (or_blank(F.col(number)) != ""))
+    turns = cut(nearby_postcodes(asked, table=table), "turns")
+
+    def search(rest: DataFrame) -> DataFrame:
+        return address_candidates(
+            rest, registry, query_id=(query_id, "alt_ord"), postcode=("alt_postcode", "code_postal"), **options
+        )
+
+    found, turn, rest = [], 0, turns.filter("alt_ord = 0")
+    while not rest.isEmpty():
+        found.append(cut(search(rest), f"turn{turn}"))
+        turns = turns.join(found[-1].select(query_id).distinct(), query_id, "left_anti")
+        turn += 1
+        rest = turns.filter(F.col("alt_ord") == turn)
+    return reduce(DataFrame.unionByName, found) if found else search(rest)
 
 
 def name_search(

@@ -75,13 +75,13 @@ def _with_facts(candidates: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 # --- stages 1 and 2: name search -----------------------------------------------------------------------------------
-def name_search_hits(prospects: DataFrame, registry: DataFrame, step: int) -> DataFrame:
+def name_search_hits(prospects: DataFrame, registry: DataFrame, step: int, by_id: DataFrame | None = None) -> DataFrame:
     """Name-search results over the registry: step 1 by postcode (4 variants, 5 rows), step 2 by department (3, 10)."""
     column, cap, k = ("code_postal", 4, 5) if step == 1 else ("departement", 3, 10)
     asked = explode_variants(prospects, ["prospect_id", column], cap)
     found = C.name_search(asked, registry, by=(column, column), k=k)
     hits = found.join(asked.select("prospect_id", "variant_pos", "variant"), ["prospect_id", "variant_pos"])
-    facts = registry.select(
+    facts = (registry if by_id is None else by_id).select(
         "siret", "siren", "enseigne", "naf", "tranche_effectif", "date_creation", "code_postal", "commune",
         "numero_voie", "voie", "denomination",
         F.concat_ws(" ", F.nullif("denomination", F.lit("")), F.nullif("denomination_usuelle", F.lit(""))).alias("full_name"),
@@ -165,6 +165,7 @@ def match_by_name_search(
     exact_at: float = K.NAME_EXACT_AT,
     probable_at: float = K.NAME_PROBABLE_AT,
     probable_stops: bool = True,
+    by_id: DataFrame | None = None,
 ) -> DataFrame:
     """Stages 1 and 2, from stored responses if given, else by searching the registry.
 
@@ -176,10 +177,10 @@ def match_by_name_search(
     if responses is not None:
         scored = score_hits(hits_from_responses(responses, prospects), prospects)
     else:
-        near = cut(score_hits(name_search_hits(prospects, registry, 1), prospects), "near")
+        near = cut(score_hits(name_search_hits(prospects, registry, 1, by_id), prospects), "near")
         settled = near.filter(F.col("score") >= exact_at).select("prospect_id").distinct()
         rest = prospects.join(settled, "prospect_id", "left_anti").filter(X.or_blank(F.col("departement")) != "")
-        scored = near.unionByName(score_hits(name_search_hits(rest, registry, 2), rest))
+        scored = near.unionByName(score_hits(name_search_hits(rest, registry, 2, by_id), rest))
     scored = scored.withColumn("position", F.col("step") * 100 + F.col("variant_pos"))
     tried = early_stop(scored, "position", at=exact_at)
     best = best_candidate(tried, ["position", "result_pos"]).filter(F.col("score") >= (probable_at if probable_stops else exact_at))
@@ -217,6 +218,7 @@ def match_by_address(
     addresses: DataFrame | None = None,
     accept_at: float = K.ADDRESS_AT,
     nearby: dict[str, list[str]] | None = None,
+    by_id: DataFrame | None = None,
 ) -> DataFrame:
     """Stage 3: equal postcode and number, similar street. One hit matches; several are told apart by name."""
     p = prospects if addresses is None else cut(C.geocode_fill(prospects, addresses), "geocoded")
@@ -224,7 +226,7 @@ def match_by_address(
     here = cut(C.address_candidates(p, active), "address")
     rest = p.join(here.select("prospect_id").distinct(), "prospect_id", "left_anti")
     around = C.nearby_address_candidates(rest, active, table=nearby).drop("alt_ord")
-    scored = score_address_candidates(here.unionByName(around), p, active)
+    scored = score_address_candidates(here.unionByName(around), p, active if by_id is None else by_id)
     best = best_candidate(scored, ["rank"])
     best = best.filter((F.col("candidates") == 1) | (F.col("score") >= accept_at))
     method = F.when(F.col("candidates") == 1, K.METHOD_ADDRESS_ONE).otherwise(K.METHOD_ADDRESS_MANY)
@@ -250,12 +252,14 @@ def score_trigram_candidates(candidates: DataFrame, prospects: DataFrame, regist
     return df.withColumn("score", score.cast("double")).drop("__names", "__denomination", "__enseigne", "__street")
 
 
-def match_by_trigram(prospects: DataFrame, registry: DataFrame, accept_at: float = K.TRIGRAM_AT) -> DataFrame:
+def match_by_trigram(
+    prospects: DataFrame, registry: DataFrame, accept_at: float = K.TRIGRAM_AT, by_id: DataFrame | None = None
+) -> DataFrame:
     """Stage 4: fuzzy name search over five variants, postcode first, department where that gave nothing."""
     variants = explode_variants(prospects, ["prospect_id", "code_postal", "departement"], 5)
     active = C.active_only(registry)
     found = C.best_variant_merge(C.name_candidates_with_fallback(variants, active, k=5))
-    scored = score_trigram_candidates(found, prospects, active)
+    scored = score_trigram_candidates(found, prospects, active if by_id is None else by_id)
     best = best_candidate(scored, ["rank"]).filter(F.col("score") >= accept_at)
     return _registry_result(best, F.lit(K.METHOD_TRIGRAM))
 
@@ -339,11 +343,19 @@ def match_cascade(
     use_registry: bool = True,
     enrich: bool = True,
     journal: str | None = None,
+    by_id: DataFrame | None = None,
+    asked_departments: bool = False,
 ) -> DataFrame:
     """Match a whole prospect table (with ``prospect_id``) to a registry; returns the prospects with ``result``.
 
     ``journal`` names a folder all executors share, for a job that may break off: run again on the same inputs, it goes on
     after the last finished stage. One pass over each input tells whether they are the same.
+
+    ``by_id`` is the same registry in buckets of its id (``read_by_id``). Candidates and results get their registry columns
+    from it, so those joins shuffle the candidates and never the registry; ``funding`` may be such a table too.
+
+    ``asked_departments`` is for a registry in folders by department, where that follows from the postcode: searches then
+    read the folders of the prospects' departments only.
     """
     steps = None
     if journal is not None:
@@ -352,14 +364,17 @@ def match_cascade(
     p = steps.step("prospects", lambda: normalize_prospects(prospects)) if steps else cut(normalize_prospects(prospects), "prospects")
     if "denomination_clean" not in registry.columns:
         registry = clean_search_columns(registry)
-    active = C.active_only(registry)
-    stages = [lambda rest: match_by_name_search(rest, active, responses)] if use_registry or responses is not None else []
+    near = registry
+    if asked_departments:
+        near = C.in_asked_departments(registry, p, own="departement", also=tuple(K.NEARBY_DEPARTMENTS))
+    active = C.active_only(near)
+    stages = [lambda rest: match_by_name_search(rest, active, responses, by_id=by_id)] if use_registry or responses is not None else []
     if use_registry:
-        stages.append(lambda rest: match_by_address(rest, registry, addresses))
-        stages.append(lambda rest: match_by_trigram(rest, registry))
+        stages.append(lambda rest: match_by_address(rest, near, addresses, by_id=by_id))
+        stages.append(lambda rest: match_by_trigram(rest, near, by_id=by_id))
     if pages is not None:
-        stages.append(lambda rest: match_by_page_id(rest, registry, pages))
+        stages.append(lambda rest: match_by_page_id(rest, registry if by_id is None else by_id, pages))
     results = union_stages(p, stages, steps)
     if enrich:
-        results = enrich_results(results, registry, funding, agreements)
+        results = enrich_results(results, registry if by_id is None else by_id, funding, agreements)
     return p.join(results, "prospect_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,6 +152,21 @@ def current_version(spark: SparkSession, path: str) -> str:
     return f"{path}/{published[-1]}" if published else path
 
 
+def read_by_id(spark: SparkSession, path: str) -> DataFrame:
+    """A table written by ``write_by_id``, or its current version. Joins on its id don't shuffle it.
+
+    The session's catalog gets a table over the folder, as Spark knows the buckets of tables only.
+    """
+    path = current_version(spark, path)
+    key, _, buckets = Markers(spark, f"{path}/_buckets").names()[0].rpartition("@")
+    name = f"by_id_{hashlib.md5(path.encode()).hexdigest()}"
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/_columns").schema)
+        clustered = f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {clustered} LOCATION '{path}'")
+    return spark.table(name)
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry as written by ``write_registry``, or its current version, in its fixed column order."""
     path = current_version(spark, path)

@@ -26,6 +26,23 @@ def write_registry(df: DataFrame, path: str, rows_per_file: int = 2_000_000) ->
     ordered.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("departement").parquet(path)
 
 
+def write_by_id(df: DataFrame, path: str, key: str = "siret", buckets: int | None = None) -> None:
+    """Write a table in buckets of its id, sorted, for joins by id that move the other side only (``read_by_id``).
+
+    There are ``buckets``, by default as many as shuffle partitions: Spark shuffles a table of fewer buckets after all. The
+    exchange uses the hash the buckets have, so each bucket is one file. Ids are the table's unique key, so no bucket is hot.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"by_id_{uuid.uuid4().hex}"
+    # Only a table can be written in buckets; the folder and the marker with their number are all that is kept of it.
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+    # An empty table has no bucket file to tell the columns.
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/_columns")
+    Markers(spark, f"{path}/_buckets").add(f"{key}@{buckets}")
+
+
 def full_refresh(df: DataFrame, path: str) -> None:
     """Replace a table; there is no incremental load. ``publish`` does it without a time in which there is no table."""
     df.write.mode("overwrite").parquet(path)

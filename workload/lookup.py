@@ -150,6 +150,23 @@ def lookup_by_id(spark, sf):
     )
 
 
+def _by_id(spark, table):
+    path = scratch_path(spark, "by-id")
+    sinks.write_by_id(table, path)
+    return readers.read_by_id(spark, path)
+
+
+def lookup_by_id_in_buckets(spark, sf):
+    """The lookup over registry and funding tables written in buckets of the id."""
+    return E.lookup_by_id(
+        T.run(spark, sf, ASKED_SQL), _by_id(spark, T.raw_registry(spark, sf)), _by_id(spark, T.funding(spark, sf)), T.agreements(spark, sf),
+        T.activity_labels(spark, sf), T.dept_region(spark, sf),
+    )
+
+
+query(SQL["lookup_by_id"])(lookup_by_id_in_buckets)
+
+
 def _search_sql(where: str, how: str = "LEFT") -> str:
     return f"""
 SELECT siret, siren, denomination, denomination_usuelle, enseigne, naf, code_postal, commune, departement, tranche_effectif,

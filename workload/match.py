@@ -530,6 +530,19 @@ def match_cascade(spark, sf):
     return out.select("prospect_id", "result.siret", "result.score", "result.methode", "result.opco", "result.idcc")
 
 
+@query(SQL["match_cascade"])
+def match_cascade_by_id(spark, sf):
+    """The cascade with registry columns from a copy in buckets of the id, and the registry by departments for the searches."""
+    search, by_id = scratch_path(spark, "registry"), scratch_path(spark, "by-id")
+    sinks.write_registry(_registry(spark, sf), search)
+    sinks.write_by_id(_registry(spark, sf), by_id)
+    out = M.match_cascade(
+        T.prospects(spark, sf), readers.read_registry(spark, search), funding=T.funding(spark, sf), agreements=T.agreements(spark, sf),
+        pages=T.run(spark, sf, _CASCADE_PAGES), by_id=readers.read_by_id(spark, by_id), asked_departments=True,
+    )
+    return out.select("prospect_id", "result.siret", "result.score", "result.methode", "result.opco", "result.idcc")
+
+
 @query(f"""WITH {_cascade_sql()} SELECT methode, count(*) AS count FROM every GROUP BY methode""")
 def union_stages(spark, sf):
     """Every prospect comes out of the stages once; counted per method."""
