@@ -62,6 +62,22 @@ def test_sampling_takes_smallest_keys_first(spark):
     assert left == 0
 
 
+@pytest.mark.parametrize("letters", [6, 300])
+def test_mix_cuts_full_slices_again(spark, letters):
+    """Long words have low weights, and their keys lie in the last slices; these are cut until few rows are left to order."""
+    frame = [(i, " ".join(["x" * letters] * (i % 5 + 1)), "s" if i % 3 else None, "clash") for i in range(3000)]
+    frame = spark.createDataFrame(frame, "doc_id long, text string, source string, _low string")
+    want = collected(mixing.mix(frame, share=0.7), "doc_id", "mix_taken", "mix_target")
+    names, whole = [], mixing.cut
+    mixing.cut = lambda df, name: names.append(name) or whole(df, name)
+    try:
+        fine = mixing.mix(frame, share=0.7, most_rows=3)
+    finally:
+        mixing.cut = whole
+    assert collected(fine, "doc_id", "mix_taken", "mix_target") == want and fine.columns[:4] == frame.columns
+    assert names.count("mix-finer-slices") >= 1
+
+
 def test_mixed_documents_repeat_whole_rows(docs):
     got = mixing.mixed_documents(docs)
     assert got.columns == docs.columns
