@@ -105,12 +105,13 @@ def address_points(spark, sf):
     return df.select("p_partkey", "a", "b", S.address_points(number("size_a"), number("size_b"), F.col("street_ratio")).alias("points"))
 
 
+# A part meets those of its brand and size in its range of keys, a dozen in a table of any size.
 TOTAL_SQL = """
 SELECT l.p_partkey AS id_a, r.p_partkey AS id_b, l.p_name AS name_a, r.p_name AS name_b, l.p_type || ' ' || r.p_name AS sign_b,
        CAST(l.p_size + CASE l.p_type WHEN 'SMALL' THEN 1 WHEN 'LARGE' THEN 30 ELSE 0 END AS STRING) AS cp_a, CAST(r.p_size AS STRING) AS cp_b, l.p_type AS dept_a, r.p_type AS dept_b,
        CAST(l.p_size + CASE l.p_type WHEN 'ECONOMY' THEN 1 ELSE 0 END AS STRING) AS num_a, CAST(r.p_size AS STRING) AS num_b, l.p_type || ' ' || l.p_name AS street_a,
        r.p_name || ' ' || r.p_type AS street_b, l.p_partkey = r.p_partkey AS sole
-FROM {part} l JOIN {part} r ON l.p_brand = r.p_brand AND l.p_size = r.p_size
+FROM {part} l JOIN {part} r ON l.p_brand = r.p_brand AND l.p_size = r.p_size AND floor(l.p_partkey / 15000) = floor(r.p_partkey / 15000)
 """
 
 
@@ -424,7 +425,7 @@ def method_score_trigram(spark, sf):
     return M.score_trigram_candidates(found, p, active).select("prospect_id", "siret", "candidates", "score")
 
 
-# Stored responses: the parts of a prospect's brand and size, dealt over both steps and three variants. Some companies are
+# Stored responses: the parts of a prospect's brand and size in its range of keys, dealt over both steps and three variants. Some companies are
 # closed, some establishments are closed or elsewhere, some companies have only a head office.
 STORED_SQL = f"""
 SELECT *, row_number() OVER (PARTITION BY prospect_id, step, variant_pos ORDER BY place_no) AS result_pos FROM (
@@ -442,7 +443,8 @@ SELECT *, row_number() OVER (PARTITION BY prospect_id, step, variant_pos ORDER B
          'rue de la ' || p_type || ' ' || p_name AS first_address,
          {T.long_id('p_partkey + 600000000')} AS second_siret, {T.POSTCODE} AS second_cp, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'F' END AS second_state,
          CAST(p_size AS STRING) || ' avenue ' || p_name AS second_address, p_partkey % 9 = 4 AS alone, p_type AS last_name
-  FROM (SELECT p_partkey AS asked, p_name AS asked_name, p_brand AS asked_brand, p_size AS asked_size FROM {{part}}) JOIN {{part}} ON p_brand = asked_brand AND p_size = asked_size)
+  FROM (SELECT p_partkey AS asked, p_name AS asked_name, p_brand AS asked_brand, p_size AS asked_size FROM {{part}})
+  JOIN {{part}} ON p_brand = asked_brand AND p_size = asked_size AND floor(p_partkey / 15000) = floor(asked / 15000))
 """
 
 
