@@ -125,45 +125,105 @@ def language_floors(stats: DataFrame) -> DataFrame:
 
 
 def with_factor(moments: DataFrame, scale: float, floors: DataFrame | None) -> DataFrame:
-    """Cholesky factor ``l_j_k`` of ``scale`` times the covariance ``c_j_k``, the floor of its language added to each variance."""
+    """Cholesky factor ``l_j_k`` of ``scale`` times the covariance ``c_j_k``, and ``root``, the root of its determinant.
+
+    The floor of the language is added to each variance, in every group alike; so the determinants of a group's estimates compare.
+    """
     rows = attach_small(moments, floors, ["lang"]) if floors is not None else moments.withColumns({f"f_{j}": F.lit(0.0) for j in range(len(NAMES))})
+    root = F.lit(1.0)
     for j in range(len(NAMES)):
         for k in range(j + 1):
-            left = F.col(f"c_{j}_{k}") * scale + (F.col(f"f_{j}") * F.col(f"f_{j}") if j == k else 0.0)
+            left = F.col(f"c_{j}_{k}") * scale
+            if j == k:
+                left = left + F.col(f"f_{j}") * F.col(f"f_{j}")
             for i in range(k):
                 left = left - F.col(f"l_{j}_{i}") * F.col(f"l_{k}_{i}")
             rows = rows.withColumn(f"l_{j}_{k}", F.sqrt(F.greatest(left, F.lit(1e-12))) if j == k else left / F.col(f"l_{k}_{k}"))
+        root = root * F.col(f"l_{j}_{j}")
     entries = [f"l_{j}_{k}" for j in range(len(NAMES)) for k in range(j + 1)]
-    return rows.select("lang", "source", "n_group", *[f"m_{j}" for j in range(len(NAMES))], *entries)
+    kept = ["start"] if "start" in moments.columns else []
+    return rows.select("lang", "source", *kept, "n_group", *[f"m_{j}" for j in range(len(NAMES))], *entries, root.alias("root"))
 
 
-def covariance_estimates(stats: DataFrame, keep: float = 0.75, steps: int = 3, floors: DataFrame | None = None) -> DataFrame:
-    """Minimum-covariance-determinant location and factor of each language and source, one row a group.
+def starting_estimates(stats: DataFrame, floors: DataFrame | None) -> DataFrame:
+    """Three robust estimates of each language and source, as column ``start``.
 
-    Starts from medians and median absolute deviations, then concentrates: the share ``keep`` of rows nearest to the
-    estimate gives the next one, which never has a larger determinant. The nearest rows are those within an approximate
-    quantile of the distances. The covariance is scaled to be consistent at the normal distribution.
+    All have medians as location and 1.4826 times the median absolute deviations as scale, at least the floors. They differ
+    in the correlations: none, those of the hyperbolic tangents of the standardised values, and those of their spatial signs.
     """
-    p = len(NAMES)
-    middle = stats.groupBy("lang", "source").agg(*[F.percentile_approx(n, 0.5, 10_000).alias(f"m_{j}") for j, n in enumerate(NAMES)])
+    p, group = len(NAMES), ["lang", "source"]
+    middle = stats.groupBy(*group).agg(*[F.percentile_approx(n, 0.5, 10_000).alias(f"m_{j}") for j, n in enumerate(NAMES)])
     middle = cut(middle, "quality-medians")
-    spread = attach_small(stats, middle, ["lang", "source"]).groupBy("lang", "source").agg(
+    spread = attach_small(stats, middle, group).groupBy(*group).agg(
         F.count("*").alias("n_group"), *[F.first(f"m_{j}").alias(f"m_{j}") for j in range(p)],
         *[(1.4826 * F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{j}")), 0.5, 10_000)).alias(f"s_{j}") for j, n in enumerate(NAMES)],
     )
-    diagonal = {f"c_{j}_{k}": F.col(f"s_{j}") * F.col(f"s_{j}") if j == k else F.lit(0.0) for j in range(p) for k in range(j + 1)}
-    found = cut(with_factor(spread.withColumns(diagonal), 1.0, floors), "quality-start")
-    point = chi_square_point(keep, p)
-    scale = keep / chi_square_share(point, p + 2)
+    least = (lambda j: F.col(f"f_{j}")) if floors is not None else (lambda j: F.lit(1e-6))
+    spread = attach_small(spread, floors, ["lang"]) if floors is not None else spread
+    spread = cut(spread.select(*group, "n_group", *[f"m_{j}" for j in range(p)], *[F.greatest(f"s_{j}", least(j)).alias(f"s_{j}") for j in range(p)]), "quality-scales")
+    z = [(F.col(n) - F.col(f"m_{j}")) / F.col(f"s_{j}") for j, n in enumerate(NAMES)]
+    length = F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0]))
+    placed = attach_small(stats, spread, group).withColumn("_length", F.greatest(length, F.lit(1e-12)))
+    pairs = [(j, k) for j in range(p) for k in range(j + 1)]
+    together = placed.groupBy(*group).agg(
+        *[F.covar_pop(F.tanh(z[j]), F.tanh(z[k])).alias(f"t_{j}_{k}") for j, k in pairs],
+        *[F.avg(z[j] * z[k] / (F.col("_length") * F.col("_length"))).alias(f"u_{j}_{k}") for j, k in pairs],
+    )
+    rows = attach_small(spread, cut(together, "quality-correlations"), group)
+
+    def correlation(of: str, j: int, k: int) -> Column:
+        variances = F.col(f"{of}_{j}_{j}") * F.col(f"{of}_{k}_{k}")
+        return F.when(variances > 0, F.col(f"{of}_{j}_{k}") / F.sqrt(variances)).otherwise(0.0)
+
+    correlations = [lambda j, k: F.lit(0.0), lambda j, k: correlation("t", j, k), lambda j, k: correlation("u", j, k)]
+    each = [
+        F.struct(F.lit(n).alias("start"), *[((F.lit(1.0) if j == k else r(j, k)) * F.col(f"s_{j}") * F.col(f"s_{k}")).alias(f"c_{j}_{k}") for j, k in pairs])
+        for n, r in enumerate(correlations)
+    ]
+    rows = rows.select(*group, "n_group", *[f"m_{j}" for j in range(p)], F.explode(F.array(*each)).alias("e"))
+    return cut(with_factor(rows.select(*group, "n_group", *[f"m_{j}" for j in range(p)], "e.*"), 1.0, None), "quality-starts")
+
+
+def concentrated(stats: DataFrame, found: DataFrame, group: list[str], keep: float, floors: DataFrame | None, name: str) -> DataFrame:
+    """The estimates of the share ``keep`` of rows nearest to ``found``, scaled to be consistent at the normal distribution.
+
+    The nearest rows are those within an approximate quantile of the distances.
+    """
+    p = len(NAMES)
+    scale = keep / chi_square_share(chi_square_point(keep, p), p + 2)
+    near = attach_small(stats, found, group).where("n_group IS NOT NULL").withColumn("d2", squared_distance())
+    limits = cut(near.groupBy(*group).agg(F.percentile_approx("d2", keep, 10_000).alias("d2_most")), f"quality-limit-{name}")
+    near = attach_small(near, limits, group).where("d2 <= d2_most")
+    moments = near.groupBy(*group).agg(
+        F.first("n_group").alias("n_group"), *[F.avg(n).alias(f"m_{j}") for j, n in enumerate(NAMES)],
+        *[F.covar_pop(NAMES[j], NAMES[k]).alias(f"c_{j}_{k}") for j in range(p) for k in range(j + 1)],
+    )
+    return cut(with_factor(moments, scale, floors), f"quality-fit-{name}")
+
+
+def covariance_estimates(stats: DataFrame, keep: float = 0.75, steps: int = 20, floors: DataFrame | None = None) -> DataFrame:
+    """Minimum-covariance-determinant location and factor of each language and source, one row a group.
+
+    Three starts are concentrated twice each; the one with the smallest determinant goes on until its determinant falls
+    by less than a thousandth, or for ``steps`` steps. Of all estimates met, the one with the smallest determinant counts.
+    """
+    group = ["lang", "source"]
+    tried = starting_estimates(stats, floors)
+    rows = stats.withColumn("start", F.explode(F.array(*[F.lit(n) for n in range(3)])))
+    for step in range(2):
+        tried = concentrated(rows, tried, [*group, "start"], keep, floors, f"start-{step}")
+    best = tried.groupBy(*group).agg(F.min_by(F.struct(*[c for c in tried.columns if c not in group]), F.struct("root", "start")).alias("b"))
+    found = cut(best.select(*group, "b.*").drop("start"), "quality-best")
+    moving = found
     for step in range(steps):
-        near = attach_small(stats, found, ["lang", "source"]).withColumn("d2", squared_distance())
-        limits = cut(near.groupBy("lang", "source").agg(F.percentile_approx("d2", keep, 10_000).alias("d2_most")), f"quality-limit-{step}")
-        near = attach_small(near, limits, ["lang", "source"]).where("d2 <= d2_most")
-        moments = near.groupBy("lang", "source").agg(
-            F.first("n_group").alias("n_group"), *[F.avg(n).alias(f"m_{j}") for j, n in enumerate(NAMES)],
-            *[F.covar_pop(NAMES[j], NAMES[k]).alias(f"c_{j}_{k}") for j in range(p) for k in range(j + 1)],
-        )
-        found = cut(with_factor(moments, scale, floors), f"quality-fit-{step}")
+        moving = concentrated(stats, moving, group, keep, floors, str(step))
+        before = found.select(*group, F.col("root").alias("_before"))
+        judged = attach_small(moving, before, group)
+        moving = cut(judged.where("root < 0.9995 * _before").drop("_before"), "quality-moving")
+        if moving.isEmpty():
+            break
+        kept = attach_small(found, moving.select(*group, F.lit(True).alias("_moved")), group).where("_moved IS NULL").drop("_moved")
+        found = cut(kept.unionByName(moving), "quality-found")
     return found
 
 
@@ -189,15 +249,17 @@ def with_wider_estimates(found: DataFrame, clean: DataFrame, floors: DataFrame,
     every = clean.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
     every_floors = language_floors(every)
     whole = covariance_estimates(every, floors=every_floors).select(entries)
-    return cut(out.unionByName(rest.crossJoin(F.broadcast(whole))), "quality-estimates")
+    one = rest.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return cut(out.unionByName(one), "quality-estimates")
 
 
-def judge_quality(docs: DataFrame, cutoff: float | None = None, least_group: int = 20) -> DataFrame:
+def judge_quality(docs: DataFrame, cutoff: float | None = None, least_group: int = 4 * len(NAMES)) -> DataFrame:
     """``doc_id, n_words``, the base statistics, ``base_failed``, ``distance2`` and ``kept`` for every row.
 
     ``kept`` is false if the base rules fail or the transformed statistics lie beyond ``cutoff`` (default: the
     point a normal cloud exceeds once in 100,000) from the estimate of the document's language and source. Documents that
-    fail the base rules take no part in estimates. Groups with fewer than ``least_group`` others are judged by the estimate of
+    fail the base rules take no part in estimates. Groups with fewer than ``least_group`` others, by default four
+    for each statistic, are judged by the estimate of
     their language, or of all documents where the language has fewer too; a table with fewer rejects nothing.
 
     Defined results: a null or empty text has no words and fails the base rules, with no distance; null languages and
