@@ -205,7 +205,7 @@ def covariance_estimates(stats: DataFrame, keep: float = 0.75, steps: int = 20,
     """Minimum-covariance-determinant location and factor of each language and source, one row a group.
 
     Three starts are concentrated twice each; the one with the smallest determinant goes on until its determinant falls
-    by less than a thousandth, or for ``steps`` steps. Of all estimates met, the one with the smallest determinant counts.
+    by less than a hundredth, or for ``steps`` steps. Of all estimates met, the one with the smallest determinant counts.
     """
     group = ["lang", "source"]
     tried = starting_estimates(stats, floors)
@@ -219,7 +219,7 @@ def covariance_estimates(stats: DataFrame, keep: float = 0.75, steps: int = 20,
         moving = concentrated(stats, moving, group, keep, floors, str(step))
         before = found.select(*group, F.col("root").alias("_before"))
         judged = attach_small(moving, before, group)
-        moving = cut(judged.where("root < 0.9995 * _before").drop("_before"), "quality-moving")
+        moving = cut(judged.where("root < 0.995 * _before").drop("_before"), "quality-moving")
         if moving.isEmpty():
             break
         kept = attach_small(found, moving.select(*group, F.lit(True).alias("_moved")), group).where("_moved IS NULL").drop("_moved")
