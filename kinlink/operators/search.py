@@ -84,13 +84,22 @@ def search_count(
     idcc: str | None = None,
     naf: str | None = None,
     section: str | None = None,
+    agreements: DataFrame | None = None,
 ) -> DataFrame:
-    """Row count of a search. The funding table is read only when the agreement filters on it."""
+    """Row count of a search. The funding table is read only when the agreement filters on it.
+
+    Without ``agreements`` every agreement has one label. With them the count is that of ``search_prospects``, which has a
+    row per label; labels are counted before the join.
+    """
     require_criterion(idcc, naf, section)
-    kept = _filtered(registry, departments, size, idcc, naf)
-    if idcc:
-        kept = kept.join(funding.filter(F.col("idcc") == idcc).select("siret"), "siret")
-    return kept.agg(F.count(F.lit(1)).alias("total"))
+    kept = _filtered(registry, departments, size, idcc, naf).select("siret")
+    if agreements is None:
+        if idcc:
+            kept = kept.join(funding.filter(F.col("idcc") == idcc).select("siret"), "siret")
+        return kept.agg(F.count(F.lit(1)).alias("total"))
+    labels = agreements.groupBy("idcc").agg(F.count(F.lit(1)).alias("__labels"))
+    found = by_agreement(kept, funding.select("siret", "idcc"), idcc).join(labels, "idcc", "left")
+    return found.agg(F.coalesce(F.sum(F.coalesce("__labels", F.lit(1))), F.lit(0)).alias("total"))
 
 
 def page_order(first: str = "commune", second: str = "denomination", key: str = "siret") -> list[Column]:
