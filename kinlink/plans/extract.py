@@ -22,14 +22,14 @@ def extract(
     idcc: str | None = None,
     naf: str | None = None,
 ) -> DataFrame:
-    """All rows of a region's search in the extract's shape, one per id."""
+    """All rows of a region's search in the extract's shape, one per id: of several labels of its agreement the first."""
     if region not in K.REGION_DEPARTMENTS:
         raise ValueError(f"unknown region {region!r}")
     found = Q.search_prospects(
         registry, funding, agreements, departments=K.REGION_DEPARTMENTS[region], size=size, idcc=idcc, naf=naf
     )
     rows = found.select(F.array(F.struct(*found.columns)).alias("results"))
-    return Q.dedupe_by_id(Q.flatten_pages(rows))
+    return Q.dedupe_by_id(Q.flatten_pages(rows), order=["convention_collective"])
 
 
 def run_extract(registry, funding, agreements, folder: str, *, region: str, size: str = K.ALL_SIZES, idcc=None, naf=None,
