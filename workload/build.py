@@ -89,12 +89,16 @@ def _units_frame(spark, sf):
     )
 
 
+#: Rows one task sorts.
+UNITS_PER_RANGE = 500_000
 UNIT_ORDER = ["l_suppkey", "l_quantity", "l_orderkey", "l_linenumber", "l_extendedprice"]
 
 
 def _units_csv(spark, sf):
-    """Range-partitioned and sorted, so that file names and rows follow the order."""
-    ordered = _units_frame(spark, sf).repartitionByRange(4, *UNIT_ORDER).sortWithinPartitions(*UNIT_ORDER)
+    """Range-partitioned and sorted, so that file names and rows follow the order; as many ranges as the rows need."""
+    units = _units_frame(spark, sf)
+    ranges = max(4, -(-units.count() // UNITS_PER_RANGE))
+    ordered = units.repartitionByRange(ranges, *UNIT_ORDER).sortWithinPartitions(*UNIT_ORDER)
     return _write_csv(ordered.drop(*UNIT_ORDER), "units")
 
 
