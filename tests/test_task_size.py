@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kinlink.operators.scoring import name_points, street_ratio
 from kinlink.sources import readers
-from workload import build
+from workload import build, tables
 
 
 def test_candidates_stay_where_few_strings_are_scored(spark):
@@ -24,3 +24,9 @@ def test_units_in_as_many_ranges_as_rows_need(spark, monkeypatch):
     dealt = readers.read_legal_units(spark, path)
     assert "REPARTITION" in dealt._jdf.queryExecution().executedPlan().toString()
     assert sorted(dealt.collect()) == sorted(whole.collect()) == sorted(build.read_legal_units(spark, SF).collect())
+
+
+def test_tables_of_one_file_are_dealt(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert tables.run(spark, SF, "SELECT p_partkey FROM {part}").rdd.getNumPartitions() >= cores
+    assert tables.lines(spark, SF).rdd.getNumPartitions() >= cores
