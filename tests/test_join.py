@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions import similarity as S
 from kinlink.operators.candidates import name_candidates, name_search
-from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, _meet, _rare_first, block_pairs, encoded_sets, jaccard_join
+from kinlink.operators.setjoin import TEXT_CODE, TRIGRAM_CODE, _meet, _rare_first, best_in_cells, block_pairs, encoded_sets, jaccard_join
 
 
 def grams(s):
@@ -72,6 +72,27 @@ def test_word_search_equals_brute_force(spark, most_pairs, short):
         assert [s for _, s in sorted(got.get(pid, []))] == [s for x, s in sorted(scored) if x < 0][:5]
 
 
+@pytest.mark.parametrize("cell", [(7, 11), (8_192, 32_768)])
+def test_best_in_cells_equals_brute_force(spark, cell):
+    """Titles of a few syllables share tokens with nearly all others; a cell still sends three rows a query, not its pairs."""
+    rng = random.Random(21)
+    titles = sorted({" ".join("".join(rng.choices(["ta", "re", "on", "her", "ing"], k=3)) for _ in range(3)) for _ in range(150)})
+    encode = lambda texts, number: encoded_sets(
+        spark.createDataFrame([("b", t, t) for t in texts], "block string, text string, `order` string").withColumn("tokens", S.trigrams(F.col("text"))),
+        "tokens", TRIGRAM_CODE, number, "sets",
+    )
+    q, r = encode([*titles[:60], "zzz"], "q_id"), encode(titles, "r_id")
+    got = best_in_cells(q.drop("order"), r, ["block"], 3, 0.3, cell)
+    assert got.groupBy("q_id").count().filter(f"count > {3 * -(-len(titles) // cell[1])}").isEmpty()
+    found = {}
+    for row in got.join(q.select("q_id", F.col("text").alias("q")), "q_id").join(r.select("r_id", F.col("text").alias("r")), "r_id").collect():
+        assert row.sim == pytest.approx(jac(row.q, row.r)) and row.shared == len(grams(row.q) & grams(row.r))
+        found.setdefault(row.q, []).append((-row.sim, row.r))
+    assert found.keys() == set(titles[:60])
+    for text, rows in found.items():
+        assert [r for _, r in sorted(rows)[:3]] == [r for x, r in sorted((-jac(text, t), t) for t in titles) if -x >= 0.3][:3]
+
+
 @pytest.mark.parametrize("most_pairs", [0, 200, 1_000_000])
 def test_top_k_equals_brute_force(spark, most_pairs):
     prospects, registry = skewed(150, 3), [(*row, "AUTO RELAIS" if i % 3 else "") for i, row in enumerate(skewed(200, 4))]
