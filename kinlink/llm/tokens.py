@@ -101,7 +101,7 @@ class WordEncoder:
     About ``most`` words are remembered; when there are more, those used several times stay.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 250_000):
+    def __init__(self, path: str, end_id: int, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -237,7 +237,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
         from pyspark import TaskContext
 
         part, piece = TaskContext.get().partitionId(), 0
-        # The loaded model stays with the worker, the words of a task go with it.
+        # Model and words stay with the worker: a task's new words are most of its time, and the next one has many of them.
         kept, key = worker_cache(), ("encoder", vocabulary, end_id)
         encoder = kept.get(key) or kept.setdefault(key, WordEncoder(vocabulary, end_id))
         system, root = open_fs(folder)
@@ -265,7 +265,6 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
                     doc_ids, counts, ids, held, piece = [], [], [], 0, piece + 1
         if doc_ids:
             yield flush()
-        encoder.forget()
 
     made = cut(rows.mapInArrow(returning_memory(write), "part long, piece long, path string, n_docs long, n_ids long"), "token-shards")
     order = Window.orderBy("part", "piece")

@@ -594,3 +594,17 @@ def test_empty_tables(spark, empty):
 def test_no_benchmark_keeps_all(spark, docs, rows):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.without_leaks(docs, items).count() == len(rows)
+
+
+def test_encoder_remembers_the_words_of_several_tasks():
+    """A task of the check's documents learns about 300,000 words; forgetting them made the next task learn them again."""
+    import public_tokenizers
+
+    encoder = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    letters = "abcdefghijklmnopqrstuvwx"
+    text = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in letters[:22])
+    first, _ = encoder.encode([text])
+    assert len(encoder.slots) > 300_000
+    again, _ = encoder.encode([text])
+    assert len(encoder.slots) > 300_000 and (first == again).all()
+    assert first[:-1].tolist()[:50] == encoder.whole(text[:1000])[:50]
