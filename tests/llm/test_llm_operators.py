@@ -597,7 +597,7 @@ def test_no_benchmark_keeps_all(spark, docs, rows):
 
 
 def test_encoder_remembers_the_words_of_several_tasks():
-    """A task of the check's documents learns about 300,000 words; forgetting them made the next task learn them again."""
+    """5,000 documents of the check had 430,000 words to learn; forgetting them made the next task learn them again."""
     import public_tokenizers
 
     encoder = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 2)
