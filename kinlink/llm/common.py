@@ -51,14 +51,28 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_kinlink_worker", types.ModuleType("_kinlink_worker")).__dict__
 
 
+def stage_cache() -> dict:
+    """What this worker keeps from task to task of one stage; the first task of another stage forgets it."""
+    from pyspark import TaskContext
+
+    cache, stage = worker_cache(), TaskContext.get().stageId()
+    if cache.get("stage") != stage:
+        cache["stage"], cache["of_stage"] = stage, {}
+    return cache["of_stage"]
+
+
 def returning_memory(run):
-    """``run`` over the batches of a task, then what it freed handed to the system, for later stages in the same worker."""
+    """``run`` over the batches of a task, then what it freed handed to the system, for later stages in the same worker.
+
+    What an earlier stage kept in ``stage_cache`` goes before the task starts.
+    """
 
     def task(batches):
         import ctypes
 
         import pyarrow as pa
 
+        stage_cache()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

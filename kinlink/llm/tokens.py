@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import open_fs, returning_memory, worker_cache
+from kinlink.llm.common import open_fs, returning_memory, stage_cache
 from kinlink.session import cut, scratch_path
 
 MAGIC = b"TOKSEQ01"
@@ -27,6 +27,8 @@ BLOCK = 512
 #: Words of Latin letters are one pre-token in lower case; a mark after them is a second one.
 MARKS = ".,;:!?"
 PLAIN = re.compile("[a-zà-öø-ÿ]+")
+#: The end of a text among its words, which hold no blank.
+END = " "
 
 
 class EliasFano:
@@ -116,10 +118,10 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
-        self.slots, self.cores, self.chars = _Slots(), {}, 0
-        self.slots[()], self.slots[""] = 0, 1
-        self.flat, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.array([0, 1]), np.array([1, 0])
-        self.uses = np.zeros(2, np.int64)
+        self.slots, self.chars = _Slots(), 0
+        self.slots[END], self.slots[""] = 0, 1
+        self.flat, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.array([0, 1], np.uint32), np.array([1, 0], np.uint32)
+        self.uses = np.zeros(2, np.uint32)
 
     def thin(self) -> None:
         """Forget the words used once or twice since the last time, or all if too many are left."""
@@ -130,30 +132,39 @@ class WordEncoder:
         if len(keep) < self.most // 2 and sum(len(words[k]) for k in keep) < 20 * self.most:
             for slot, k in enumerate(keep, 2):
                 self.slots[words[k]] = slot
-            lengths = np.array([n for _, n in spans], np.int64)
-            self.starts = np.append(self.starts, 1 + np.cumsum(lengths) - lengths)
+            lengths = np.array([n for _, n in spans], np.uint32)
+            self.starts = np.append(self.starts, 1 + np.cumsum(lengths, dtype=np.uint32) - lengths)
             self.lengths = np.append(self.lengths, lengths)
             self.flat = np.concatenate([self.flat, *[flat[a : a + n] for a, n in spans]])
-            self.uses = np.zeros(len(self.lengths), np.int64)
+            self.uses = np.zeros(len(self.lengths), np.uint32)
             self.chars = sum(len(words[k]) for k in keep)
 
     def learn(self, words: list[str]) -> None:
-        """Append the ids of new words; the letters of plain words go to the library's model once in lower case."""
-        flat, lengths, cores, model = [], [], self.cores, self.model
+        """Append the ids of new words; the letters of plain words go to the library's model in lower case, once where that
+        is a remembered word. Only words and their ids are held: what is kept beside them is memory of every worker.
+        """
+        flat, lengths, cores, model = [], [], {}, self.model
+        slots, known = self.slots, len(self.starts)
         for word in words:
             mark = word[-1] if word[-1] in MARKS else ""
             core = (word[:-1] if mark else word).lower()
             ids = cores.get(core)
             if ids is None and PLAIN.fullmatch(core) and len(core) + len(mark) == len(word):
-                cores[core] = ids = tuple([t.id for t in model.tokenize(core if core.isascii() else core.translate(self.as_bytes))])
-            ids = self.whole(word) if ids is None else ids + self.marks[mark]
+                slot = slots.get(core, known)
+                if slot < known:
+                    first = int(self.starts[slot])
+                    ids = self.flat[first : first + int(self.lengths[slot])].tolist()
+                else:
+                    ids = [t.id for t in model.tokenize(core if core.isascii() else core.translate(self.as_bytes))]
+                cores[core] = ids
+            ids = self.whole(word) if ids is None else [*ids, *self.marks[mark]]
             flat += ids
             lengths.append(len(ids))
-        sizes = np.array(lengths, np.int64)
-        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
+        sizes = np.array(lengths, np.uint32)
+        self.starts = np.append(self.starts, np.uint32(len(self.flat)) + np.cumsum(sizes, dtype=np.uint32) - sizes)
         self.lengths = np.append(self.lengths, sizes)
         self.flat = np.append(self.flat, np.array(flat, np.uint32))
-        self.uses = np.append(self.uses, np.zeros(len(words), np.int64))
+        self.uses = np.append(self.uses, np.zeros(len(words), np.uint32))
         self.chars += sum(map(len, words))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,33 +173,34 @@ class WordEncoder:
         ends = []
         for text in texts:
             words += (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            words.append(())
+            words.append(END)
             ends.append(len(words))
         slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
         if new := self.slots.waiting:
             self.learn(new)
             self.slots.waiting = []
-        sizes = self.lengths[slots]
-        starts = self.starts[slots]
+        sizes = self.lengths[slots].astype(np.int64)
+        starts = self.starts[slots].astype(np.int64)
         stops = np.cumsum(sizes)
         ids = self.flat[np.repeat(starts - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)]
         counts = np.diff(stops[np.array(ends, np.int64) - 1], prepend=0) if ends else np.zeros(0, np.int64)
-        self.uses += np.bincount(slots, minlength=len(self.uses))
+        self.uses += np.bincount(slots, minlength=len(self.uses)).astype(np.uint32)
         if len(self.slots) > self.most or self.chars > 40 * self.most:
             self.thin()
         return ids, counts
 
 
-def shard_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
-    """The parts of a shard file; ids without a document id come first."""
+def shard_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: list[np.ndarray]) -> Iterator[bytes]:
+    """The parts of a shard file; ids without a document id come first. ``ids`` are pieces of the array, written one by one."""
     known = np.array([d for d in doc_ids if d is not None], np.int64)
     base = int(known[0]) if len(known) else 0
-    width = 2 if not len(ids) or int(ids.max()) < 65536 else 4
+    width = 2 if all(not len(some) or int(some.max()) < 65536 for some in ids) else 4
     blocks = [EliasFano.of(known.astype(np.uint64) - np.uint64(base % 2**64)).to_bytes(), EliasFano.of(np.cumsum(counts)).to_bytes()]
-    head = [len(doc_ids), len(doc_ids) - len(known), base, len(ids), width, *map(len, blocks)]
+    head = [len(doc_ids), len(doc_ids) - len(known), base, sum(map(len, ids)), width, *map(len, blocks)]
     yield MAGIC + np.array(head, "<i8").tobytes()
     yield from blocks
-    yield ids.astype("<u2" if width == 2 else "<u4").tobytes()
+    for some in ids:
+        yield some.astype(f"<u{width}").tobytes()
 
 
 class Shard:
@@ -237,8 +249,8 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
         from pyspark import TaskContext
 
         part, piece = TaskContext.get().partitionId(), 0
-        # Model and words stay with the worker: a task's new words are most of its time, and the next one has many of them.
-        kept, key = worker_cache(), ("encoder", vocabulary, end_id)
+        # Model and words stay for this stage: a task's new words are most of its time, and the next one has many of them.
+        kept, key = stage_cache(), ("encoder", vocabulary, end_id)
         encoder = kept.get(key) or kept.setdefault(key, WordEncoder(vocabulary, end_id))
         system, root = open_fs(folder)
         system.create_dir(root, recursive=True)
@@ -247,7 +259,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
         def flush() -> pa.RecordBatch:
             name = f"{root}/{part:06d}-{piece:04d}-{uuid.uuid4().hex}.tok"
             with system.open_output_stream(name) as out:
-                for data in shard_bytes(doc_ids, np.concatenate(counts), np.concatenate(ids)):
+                for data in shard_bytes(doc_ids, np.concatenate(counts), ids):
                     out.write(data)
             uri = f"{folder.rstrip('/')}/{name.rpartition('/')[2]}"
             return pa.RecordBatch.from_pydict({"part": [part], "piece": [piece], "path": [uri], "n_docs": [len(doc_ids)], "n_ids": [held]})
@@ -297,7 +309,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     )
 
     shards = manifest.repartition(max(1, manifest.count()), "path").select("path", "shard", "first_id")
-    return shards.mapInArrow(read, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(returning_memory(read), "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
 
 
 def token_rows(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int = 2) -> DataFrame:
