@@ -184,7 +184,7 @@ class WordEncoder:
         stops = np.cumsum(sizes)
         ids = self.flat[np.repeat(starts - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)]
         counts = np.diff(stops[np.array(ends, np.int64) - 1], prepend=0) if ends else np.zeros(0, np.int64)
-        self.uses += np.bincount(slots, minlength=len(self.uses)).astype(np.uint32)
+        np.add.at(self.uses, slots, np.uint32(1))
         if len(self.slots) > self.most or self.chars > 40 * self.most:
             self.thin()
         return ids, counts
@@ -265,8 +265,10 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
             return pa.RecordBatch.from_pydict({"part": [part], "piece": [piece], "path": [uri], "n_docs": [len(doc_ids)], "n_ids": [held]})
 
         for batch in batches:
-            for first in range(0, batch.num_rows, 100):
-                some = batch.slice(first, 100)
+            # About half a megabyte of text at a time, less for small shards: each call passes over the arrays of all remembered words.
+            step = max(1, min(500, min(500_000, most_ids) * batch.num_rows // max(1, batch.column(1).nbytes)))
+            for first in range(0, batch.num_rows, step):
+                some = batch.slice(first, step)
                 new, sizes = encoder.encode(some.column(1).to_pylist())
                 doc_ids += some.column(0).to_pylist()
                 counts.append(sizes)
