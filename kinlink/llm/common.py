@@ -17,7 +17,8 @@ def attach_small(df: DataFrame, small: DataFrame, keys: list[str], limit: int =
     """Left join of a written table with one row per key, null keys equal; keys of ``df`` may be as skewed as they like.
 
     ``small`` is counted: up to ``limit`` rows it is broadcast, beyond that each of its rows is repeated once per salt
-    and the rows of a hot key in ``df`` are spread over the salts.
+    and the rows of a hot key in ``df`` are spread over the salts. The repeated rows are never broadcast: Spark knows the
+    size of the file they come from, not how often they are repeated.
     """
     small = small.withColumnsRenamed({k: f"_small_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_small_{k}")) for k in keys]
@@ -25,7 +26,7 @@ def attach_small(df: DataFrame, small: DataFrame, keys: list[str], limit: int =
     if small.count() <= limit:
         return df.join(F.broadcast(small), reduce(lambda a, b: a & b, same), "left").drop(*drop)
     spread = df.withColumn("_salt", F.floor(F.rand(17) * salts).cast("int"))
-    copies = small.withColumn("_salt_small", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = small.withColumn("_salt_small", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     same.append(F.col("_salt") == F.col("_salt_small"))
     return spread.join(copies, reduce(lambda a, b: a & b, same), "left").drop("_salt", "_salt_small", *drop)
 
