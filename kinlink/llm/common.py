@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Fixed value: what separates words, as a regex class body (space, tab, line feed, vertical tab, form feed, return).
 SPACES = r"\x20\x09-\x0D"
 
+#: Most counted rows that are sent to all tasks, of digests and of ids: 34 MB each as a hash table, and the driver holds several.
+MOST_DIGESTS, MOST_IDS = 200_000, 400_000
+
 
 def attach_small(df: DataFrame, small: DataFrame, keys: list[str], limit: int = 20_000, salts: int = 32) -> DataFrame:
     """Left join of a written table with one row per key, null keys equal; keys of ``df`` may be as skewed as they like.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import returning_memory
+from kinlink.llm.common import MOST_IDS, returning_memory
 from kinlink.session import cut
 
 BLOCK = 20_000
@@ -256,5 +256,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame
 def without_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document holds no benchmark passage, with all columns; rows without id stay."""
     bad = cut(leaks(docs, benchmark, percent).select("doc_id").distinct(), "leaking")
-    few = bad.count() <= 1_000_000
+    few = bad.count() <= MOST_IDS
     return docs.join(F.broadcast(bad) if few else bad, "doc_id", "left_anti").select(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import attach_small, returning_memory
+from kinlink.llm.common import MOST_DIGESTS, MOST_IDS, attach_small, returning_memory
 from kinlink.session import cut
 
 K, RETAINED, SMALL, LARGE = 32, 32, 100, 64
@@ -288,7 +288,7 @@ def verified_links(clusters: DataFrame, classes: DataFrame, docs: DataFrame, n:
     placed = clusters.withColumnRenamed("label", "cluster").join(classes.select("node", F.col("first_id").alias("doc_id")), "node")
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("n_cluster"))
     placed = cut(placed.join(sizes, "cluster"), "near-clusters")
-    few = placed.count() <= 200_000
+    few = placed.count() <= MOST_DIGESTS
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(placed) if few else placed, "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +381,7 @@ def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> D
     # An id that repeats with other texts goes only if none of its rows is kept.
     drop = cut(judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "near-ids")
     gone = drop.where("NOT kept").select("doc_id")
-    few = gone.count() <= 1_000_000
+    few = gone.count() <= MOST_IDS
     rows = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = drop.where("kept AND n > 1").select("doc_id")
     if repeated.isEmpty():

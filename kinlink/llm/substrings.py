@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.llm.common import attach_small
+from kinlink.llm.common import MOST_DIGESTS, attach_small
 from kinlink.session import cut
 
 #: Bytes handled at once; a longer text is cut into overlapping parts.
@@ -143,7 +143,7 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return runs
 
 
-def within(rows: DataFrame, keys: DataFrame, key: str, most: int = 500_000) -> DataFrame:
+def within(rows: DataFrame, keys: DataFrame, key: str, most: int = MOST_DIGESTS) -> DataFrame:
     """Rows with a key in ``keys``; up to ``most`` keys are broadcast, so that the others' texts are not shuffled."""
     return rows.join(F.broadcast(keys), key, "left_semi") if keys.count() <= most else rows
 
@@ -238,7 +238,7 @@ def remove_repeats(docs: DataFrame, span: int = 200, gram: int = 32, hot: int =
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
     copies = rows.where(F.col("n_bytes") >= span).groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
     copies = cut(copies.where("copies > 1"), "suffix-copies")
-    rows = attach_small(rows, copies, ["sha"], limit=200_000)
+    rows = attach_small(rows, copies, ["sha"], limit=MOST_DIGESTS)
     one = F.col("copies").isNull() | F.col("doc_id").eqNullSafe(F.col("first"))
     pieces = repeated_pieces(rows.where(one & (F.col("n_bytes") >= span)).select("sha", "text"), span, gram)
     marks = repeated_suffixes(pieces, span, hot)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kinlink.llm.common import attach_small
+from kinlink.llm.substrings import within
 from kinlink.operators.extract import site_urls
 from kinlink.session import cut
 
@@ -31,6 +32,12 @@ def test_files_count_for_their_rows(spark):
     assert "BroadcastHashJoin" in planned(prospects.join(few, "prospect_id"))
 
 
+def test_digests_are_sent_up_to_a_few_dozen_megabytes(spark):
+    rows, keys = spark.range(10).withColumnRenamed("id", "k"), spark.range(250_000).withColumnRenamed("id", "k")
+    assert "Broadcast" not in planned(within(rows, keys, "k"))
+    assert "BroadcastHashJoin" in planned(within(rows, keys.limit(1000), "k"))
+
+
 def test_settings_of_the_caller_stay(spark):
     factor, limit = "spark.sql.sources.fileCompressionFactor", "spark.sql.autoBroadcastJoinThreshold"
     for given, left in (({factor: "3.0"}, "3.0"), ({limit: "256k"}, "1.0"), ({limit: "-1"}, "1.0"), ({limit: "10m"}, "40.0")):
